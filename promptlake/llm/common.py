@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import import_on_workers
+
 #: ASCII white space, as Java regular expressions and as a trim set.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_SET = " \t\n\x0b\f\r"
@@ -34,8 +36,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    import_on_workers(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 20_000) -> DataFrame:

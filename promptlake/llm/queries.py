@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .language_id import op8_language_id
 from .quality_rules import op3_quality_rules
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op8_language_id)}
 
 SQL: dict[str, str] = {}
