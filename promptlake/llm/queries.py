@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .language_id import op8_language_id
+from .packing import op7_best_fit_packing
 from .quality_rules import op3_quality_rules
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op7_best_fit_packing, op8_language_id)}
 
 SQL: dict[str, str] = {}
