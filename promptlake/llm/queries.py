@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op5_ngram_jaccard_join
 from .language_id import op8_language_id
 from .packing import op7_best_fit_packing
 from .quality_rules import op3_quality_rules
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op7_best_fit_packing, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_ngram_jaccard_join, op7_best_fit_packing, op8_language_id)}
 
 SQL: dict[str, str] = {}
