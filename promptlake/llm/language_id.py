@@ -136,17 +136,20 @@ def fit(labelled: DataFrame, sample: int = 600) -> LanguageModel:
     return train(ranked.toPandas().sort_values(["rank", "lang"]).reset_index(drop=True), idf)
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred and score of every row of docs."""
+def identify(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns named, lang_pred and score of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+            found = [shared.value.predict(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
+                names=[*columns, "lang_pred", "score"],
+            )
+
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(predict, f"{schema}, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, sample: int = 600) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_extract import op10_html_extraction
 from .jaccard_join import op5_ngram_jaccard_join
 from .language_id import op8_language_id
 from .packing import op7_best_fit_packing
