@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from .fingerprints import op4_document_fingerprints
 from .html_extract import op10_html_extraction
 from .jaccard_join import op5_ngram_jaccard_join
 from .language_id import op8_language_id
 from .packing import op7_best_fit_packing
 from .quality_rules import op3_quality_rules
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_ngram_jaccard_join, op7_best_fit_packing, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_document_fingerprints, op5_ngram_jaccard_join, op7_best_fit_packing, op8_language_id)}
 
 SQL: dict[str, str] = {}
