@@ -23,13 +23,13 @@ from .common import SPACE, SPACE_SET, broadcast_if_small, documents, let, materi
 
 #: Name, transformed value, and the least standard deviation that scatter estimates are given for it.
 FEATURES = (
-    ("ln_words", F.log(F.greatest(F.col("n_words"), F.lit(1))), 0.3),
-    ("ln_word_length", F.log(F.greatest(F.try_divide("word_chars", "n_words"), F.lit(1.0))), 0.06),
-    ("symbols", F.log1p(100 * F.try_divide("n_symbols", "word_chars")), 0.25),
-    ("dup_lines", F.try_divide("n_dup_lines", "n_lines"), 0.12),
-    ("repeats", F.try_divide("n_repeat_words", "n_words"), 0.12),
-    ("upper", F.try_divide("n_upper", "word_chars"), 0.05),
-    ("marks", F.log1p(100 * F.try_divide("n_marks", "word_chars")), 0.5),
+    ("ln_words", "ln(greatest(n_words, 1))", 0.3),
+    ("ln_word_length", "ln(greatest(try_divide(word_chars, n_words), 1.0D))", 0.06),
+    ("symbols", "log1p(100 * try_divide(n_symbols, word_chars))", 0.25),
+    ("dup_lines", "try_divide(n_dup_lines, n_lines)", 0.12),
+    ("repeats", "try_divide(n_repeat_words, n_words)", 0.12),
+    ("upper", "try_divide(n_upper, word_chars)", 0.05),
+    ("marks", "log1p(100 * try_divide(n_marks, word_chars))", 0.5),
 )
 P = len(FEATURES)
 #: Quantiles of the chi-squared distribution with P = 7 degrees of freedom: the median and the cut-off (1 - 1e-9).
@@ -166,7 +166,7 @@ def quality_rules(docs: DataFrame, cut: float = CHI2_CUT, min_rows: int = 100) -
     stats = text_statistics(docs)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = stats.withColumn("base_failed", base)
-    stats = materialize(stats.select("*", *[F.coalesce(v, F.lit(0.0)).alias(f"x{i}") for i, (_, v, _) in enumerate(FEATURES)]), "quality-statistics")
+    stats = materialize(stats.select("*", *[F.coalesce(F.expr(v), F.lit(0.0)).alias(f"x{i}") for i, (_, v, _) in enumerate(FEATURES)]), "quality-statistics")
     fine, coarse = _key("lang", "source"), _key("lang")
     vectors = stats.filter(~F.col("base_failed")).select(F.explode(F.array(fine, coarse)).alias("g"), *[f"x{i}" for i in range(P)])
     estimates = mcd_estimates(vectors, min_rows=min_rows)

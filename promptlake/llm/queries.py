@@ -7,8 +7,18 @@ from .html_extract import op10_html_extraction
 from .jaccard_join import op5_ngram_jaccard_join
 from .language_id import op8_language_id
 from .packing import op7_best_fit_packing
+from .preference import OP6_SQL, op6_preference_formatting
 from .quality_rules import op3_quality_rules
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_document_fingerprints, op5_ngram_jaccard_join, op7_best_fit_packing, op8_language_id)}
+_FUNCTIONS = (
+    op3_quality_rules,
+    op4_document_fingerprints,
+    op5_ngram_jaccard_join,
+    op6_preference_formatting,
+    op7_best_fit_packing,
+    op8_language_id,
+    op10_html_extraction,
+)
+QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_preference_formatting": OP6_SQL}
