@@ -51,8 +51,9 @@ def _word_slots(word: str, bits: int) -> tuple[int, ...]:
     core = "".join(c for c in word if c.isalnum())
     low = core.lower()
     marks = "".join(c for c in word if not c.isalnum())
-    shape = "U" if len(core) > 1 and core.isupper() else "l"
-    keys = [f"w{low}", f"m{marks[-3:]}", f"s{shape}"] + [f"p{low[:n]}" for n in (3, 4, 5) if len(low) > n]
+    keys = [f"w{low}"] + [f"p{low[:n]}" for n in (3, 4, 5) if len(low) > n]
+    keys += [f"m{marks[-3:]}"] if len(marks) > 1 else []
+    keys += ["s"] if len(core) > 1 and core.isupper() else []
     return tuple(digest(k) >> (64 - bits) for k in keys)
 
 

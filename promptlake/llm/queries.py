@@ -8,6 +8,7 @@ from .jaccard_join import op5_ngram_jaccard_join
 from .language_id import op8_language_id
 from .packing import op7_best_fit_packing
 from .preference import OP6_SQL, op6_preference_formatting
+from .quality_classifier import op9_quality_classifier
 from .quality_rules import op3_quality_rules
 
 _FUNCTIONS = (
@@ -17,6 +18,7 @@ _FUNCTIONS = (
     op6_preference_formatting,
     op7_best_fit_packing,
     op8_language_id,
+    op9_quality_classifier,
     op10_html_extraction,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
