@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import analytics  # noqa: F401
+from .plans.registry import QUERIES, SQL
+
+FLAGSHIP = "b01_cost_summary"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
