@@ -6,12 +6,16 @@ from .fingerprints import op4_document_fingerprints
 from .html_extract import op10_html_extraction
 from .jaccard_join import op5_ngram_jaccard_join
 from .language_id import op8_language_id
+from .lm_scoring import op2_lm_scoring
 from .packing import op7_best_fit_packing
 from .preference import OP6_SQL, op6_preference_formatting
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import op3_quality_rules
+from .sentencepiece_lattice import op1_sentencepiece
 
 _FUNCTIONS = (
+    op1_sentencepiece,
+    op2_lm_scoring,
     op3_quality_rules,
     op4_document_fingerprints,
     op5_ngram_jaccard_join,
