@@ -82,8 +82,8 @@ def _descend(texts: list[np.ndarray], grade: np.ndarray, size: int, thresholds:
 
 
 def train(rows: pd.DataFrame, l1: float = 4e-3, least: int = 10, most: float = 0.12, steps: int = 600) -> OrdinalModel:
-    """rows: grade and text. Features found in under ``least`` texts or over a share ``most`` of them are left out;
-    an l1 penalty picks among the others, and those it picks are fitted once more with a slight one."""
+    """rows: grade and text. Features found in under ``least`` texts, or over a share ``most`` of them without telling grades
+    apart, are left out; an l1 penalty picks among the others, and those it picks are fitted once more with a slight one."""
     grades = sorted(int(g) for g in rows["grade"].unique())
     model = OrdinalModel(grades, np.zeros(1 << BITS), np.arange(len(grades) - 1, dtype=float) - (len(grades) - 2) / 2)
     if len(grades) < 2:
@@ -91,7 +91,10 @@ def train(rows: pd.DataFrame, l1: float = 4e-3, least: int = 10, most: float = 0
     texts = [word_features(t, BITS) for t in rows["text"]]
     grade = np.array([grades.index(g) for g in rows["grade"]])
     found = np.bincount(np.concatenate(texts), minlength=1 << BITS)
-    keep = (found >= min(least, max(1, len(texts) // 20))) & (found <= max(most * len(texts), 1))
+    rows_of, share = np.bincount(grade), found / len(texts)
+    by_grade = np.stack([np.bincount(np.concatenate([x for x, g in zip(texts, grade, strict=True) if g == k]), minlength=1 << BITS) for k in range(len(grades))])
+    explained = (rows_of[:, None] * (by_grade / rows_of[:, None] - share) ** 2).sum(0) / np.maximum(len(texts) * share * (1 - share), 0.5)
+    keep = (found >= min(least, max(1, len(texts) // 20))) & ((share <= most) | (explained >= 0.2))
     for penalty in (l1, l1 / 15):
         if not keep.any():
             break
