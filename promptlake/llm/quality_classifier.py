@@ -2,7 +2,7 @@
 
 A cumulative-link (proportional odds) model: one weight per hashed text feature, shared by all grades, gives a document
 a latent value; ordered thresholds cut it into grades: P(grade > k) = 1 / (1 + exp(threshold_k - latent)). It is learned
-by proximal gradient steps on a bounded sample of rated rows: ``sample`` rows of each grade, those whose texts hash
+by proximal gradient steps on a bounded sample of rated rows: ``sample`` documents of each grade, those whose ids hash
 lowest, which is the documented bound. Every document is then scored from
 its whole text: the expected grade, and the tail probability of reaching the selected grade.
 
@@ -107,16 +107,19 @@ def train(rows: pd.DataFrame, l1: float = 4e-3, least: int = 10, most: float = 0
     return model
 
 
-def fit(rated: DataFrame, sample: int = 4000) -> OrdinalModel:
-    """rated: text and grade. At most ``sample`` rows of each grade reach the driver."""
-    rated = rated.filter(F.col("grade").isNotNull() & F.col("text").isNotNull()).select("grade", "text")
-    counts = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}
+def fit(docs: DataFrame, graded: DataFrame, sample: int = 4000) -> OrdinalModel:
+    """docs: doc_id and text; graded: doc_id and grade. At most ``sample`` documents of each grade, those whose ids hash
+    lowest, are looked up (a broadcast of that many ids) and reach the driver."""
+    graded = graded.filter(F.col("grade").isNotNull())
+    counts = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}
     if not counts:
         return OrdinalModel([], np.zeros(1 << BITS), np.zeros(0))
     share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, 3 * sample / n))])
-    low = rated.withColumn("order", F.xxhash64("text")).filter(F.pmod("order", F.lit(1 << 20)) <= share[F.col("grade")] * (1 << 20))
-    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("grade").orderBy("order"))).filter(F.col("rank") <= sample)
-    return train(ranked.toPandas().sort_values(["rank", "grade"]).reset_index(drop=True))
+    low = graded.withColumn("order", F.xxhash64("doc_id")).filter(F.pmod("order", F.lit(1 << 20)) <= share[F.col("grade")] * (1 << 20))
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("grade").orderBy("order", "doc_id"))).filter(F.col("rank") <= sample)
+    chosen = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ranked.select("doc_id", "grade", "rank")), "doc_id")
+    rows = chosen.select("rank", "grade", "text").toPandas()
+    return train(rows.sort_values(["rank", "grade"]).reset_index(drop=True)) if len(rows) else OrdinalModel([], np.zeros(1 << BITS), np.zeros(0))
 
 
 def score(docs: DataFrame, model: OrdinalModel, select: int, least: float = 0.5) -> DataFrame:
@@ -152,8 +155,7 @@ def graded_labels(labels: DataFrame) -> DataFrame:
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:
-    rated = docs.select("doc_id", "text").join(graded_labels(labels), "doc_id")
-    return score(docs, fit(rated, sample), select=2)
+    return score(docs, fit(docs, graded_labels(labels), sample), select=2)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
