@@ -7,15 +7,18 @@ same members in at least one segment: (band, segment, members) is a signature, a
 
 Costs decide what a text spends on a segment. A segment gets one signature as a rule. One whose signature tells little -
 it has one member or none, or more than ``few`` texts that may still lack links share it - gets none; instead the next segment gets its
-one-deletion neighbourhood, under a signature that names both. That loses nothing: if a pair agrees in k such segments
-only, the other m - k differ in H = m - 1 members at most and in one each at least, so that at most k - 1 of them differ
-in two or more, and one of the k that follow the shared segments agrees up to one deletion.
+one-deletion neighbourhood, under a signature that names both. Where more than ``few`` open texts share that one too, the segment
+after the next follows under a signature that names all three. That loses nothing: let d(i) be the number of members in
+which a linked pair differs in segment i. All d sum to at most m - 1, so by the cycle lemma there is a segment i from which
+on, around the circle, any first l segments differ in at most l - 1 members: d(i) = 0, d(i + 1) <= 1, and
+d(i + 1) + d(i + 2) <= 2. The pair meets under i alone, under i with one deletion in i + 1, and then with one deletion in
+i + 2, or two where i + 1 agrees. What starts at i is only ever replaced by what is longer and starts at i.
 
 Within a signature's group no pairs are listed. Each member is verified against the group's least member, and links give
 components. A member that misses may still link with another: distances obey the triangle inequality, so one further
 than twice a link's distance from the least member can only link with other members that miss. Those, and all members where
 one comes nearer, are looked at again, across components: pair by pair in groups of up to ``few``, larger ones by
-one-deletion neighbourhoods.
+the neighbourhoods that follow, whose groups are listed pair by pair whatever their size.
 
 Defined cases: null and blank texts have no n-grams and link with nothing; texts of fewer than n words have one, their
 whole sequence; equal sets are collapsed before verification; repeated rows get the same answer each; an empty table gives an
@@ -102,12 +105,29 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
+def _after_neighbourhood(tag: np.ndarray, whole: bool, j: int, at: np.ndarray, values: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Signatures of segment j's members and of what one deletion, or up to two under a ``whole`` segment, leaves of them."""
+    inside = values[at == j]
+    gone = [np.zeros(1, np.uint64), inside]
+    if whole:
+        a, b = np.triu_indices(len(inside), 1)
+        gone.append(inside[a] + inside[b])
+    return _mix((sums[j] - np.concatenate(gone)) * _A + _mix(tag + _B + np.uint64(j + 1)))
+
+
 def reallocated(grams: np.ndarray, percent: int, dropped: np.ndarray) -> np.ndarray:
-    """What a set spends instead of its dropped signatures: one-deletion neighbourhoods of the segments that follow."""
+    """What a set spends instead of its dropped signatures: neighbourhoods of the segments that follow."""
     found = []
     for b, m, at, values, sums in _segments(grams, percent):
         own = _mix(sums * _A + _mix(np.uint64(b << 32) + np.arange(m, dtype=np.uint64)))
-        found += [_neighbourhood(own[i : i + 1] + _C, (i + 1) % m, at, values, sums) for i in np.flatnonzero(np.isin(own, dropped))]
+        bare = np.bincount(at, minlength=m) < min(2, len(grams))
+        gone = np.isin(own, dropped)
+        for i in np.flatnonzero(gone | bare):
+            near = _neighbourhood(own[i : i + 1] + _C, (i + 1) % m, at, values, sums)
+            if gone[i]:
+                found.append(near)
+            else:  # the first of a neighbourhood is the segment without deletions
+                found += [_after_neighbourhood(near[k : k + 1], k == 0, (i + 2) % m, at, values, sums) for k in np.flatnonzero(np.isin(near, dropped))]
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 

@@ -166,6 +166,30 @@ def test_jaccard_join(spark, few):
     assert got == brute_components([x[:2] for x in rows])
 
 
+def test_jaccard_join_keeps_links_under_neighbourhoods(spark):
+    """Thirty variants of each base, which comes last: they link with the base only, and often under bare segments."""
+    rows = []
+    for base, size in enumerate([9] * 12 + [10, 11, 12, 14, 16, 18, 20, 24]):
+        words = [f"b{base}w{k}" for k in range(size)]
+        rows += [(len(rows) + v, " ".join([*words, f"b{base}v{v}"]), "en", "a") for v in range(30)]
+        rows.append((len(rows), " ".join(words), "en", "a"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.jaccard_join(frame(spark, rows)).collect()}
+    assert got == brute_components([x[:2] for x in rows])
+
+
+def test_dropped_signatures_are_replaced():
+    """Whatever signatures of a linked pair are dropped, it shares another one."""
+    rng = np.random.default_rng(6)
+    for size in (1, 2, 3, 5, 6, 7, 13, 30, 100, 400):
+        for trial in range(40):
+            both = rng.integers(0, 2**63, size).astype(np.uint64)
+            extra = int(size * 15 / 85)
+            left = rng.integers(0, extra + 1)
+            a, b = (np.unique(np.concatenate((both, rng.integers(0, 2**63, n).astype(np.uint64)))) for n in (left, extra - left))
+            shared = np.intersect1d(jj.signatures(a, 85), jj.signatures(b, 85))
+            assert len(np.intersect1d(jj.reallocated(a, 85, shared), jj.reallocated(b, 85, shared)))
+
+
 def test_jaccard_join_edges(spark):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jj.jaccard_join(frame(spark)).collect())
     want = brute_components([x[:2] for x in EDGES])
