@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests.
 
-A paragraph is a line, or a sentence of a line over ``LONG`` characters. The set of a text's paragraph digests is
+A paragraph is a sentence of a line, whatever the line's length. The set of a text's paragraph digests is
 sketched in cells; each digest enters one cell in each of three sub-tables, where a cell keeps the count, the exclusive
 or of its digests, and that of their check values. The sketches of two versions subtract cell by cell, which leaves only
 what differs; peeling cells that hold a single digest recovers the differing digests, and where peeling stops short the
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_SET, documents, let
 
-LONG = 800
+#: Lines of more characters than this are cut into sentences: all that are not empty.
+LONG = 0
 #: Widths of a sub-table that are tried in turn, and how many digests of both versions a table is meant for.
 WIDTHS, LOAD = (8, 16, 32, 64, 128, 256), 48
 ROUNDS = 12
@@ -30,8 +31,7 @@ ROUNDS = 12
 
 def digests(text: Column) -> Column:
     """The sorted distinct 64-bit digests of the text's paragraphs that are not blank."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) > LONG, F.split(x, "(?<=[.!?]) ")).otherwise(F.array(x)))
-    trimmed = F.transform(F.flatten(lines), lambda x: F.btrim(x, F.lit(SPACE_SET)))
+    trimmed = F.transform(F.split(text, "\n|(?<=[.!?]) "), lambda x: F.btrim(x, F.lit(SPACE_SET)))
     return F.sort_array(F.array_distinct(F.transform(F.filter(trimmed, lambda x: F.length(x) > 0), lambda x: F.xxhash64(x))))
 
 

@@ -110,6 +110,14 @@ def test_fingerprints(spark, sf_dir, edges):
         assert math.isclose(out[i].near_next, jaccard(paragraphs(text), paragraphs(after)))
 
 
+@pytest.mark.parametrize("length", (200, 700, 790, 810, 900, 1600))
+def test_fingerprints_of_one_line(spark, length):
+    """An edit of half a line leaves the other half's sentences in common, on both sides of 800 characters and across."""
+    rows = [(i, "".join(f"Sentence {k} of text {i} ends here. " for k in range(200))[: length if i % 2 else 400], "en", "a") for i in range(6)]
+    out = fp.document_fingerprints(frame(spark, rows)).collect()
+    assert len(out) == 6 and all(0 < r.near_edited < 1 and r.near_next == 0 for r in out)
+
+
 def test_next_row_across_ranges(spark):
     rows = spark.createDataFrame([(i * i, str(i)) for i in range(100)], "doc_id long, text string")
     out = {r.text: r.next_text for r in fp.with_next(rows, ["text"], rows_each=7).collect()}
