@@ -1,13 +1,16 @@
 """Stupid-backoff language-model scores.
 
-Counts of words and word pairs come from all rows of the corpus, as tables keyed and partitioned by 64-bit hashes; what is
-seen under ``least`` times is pruned, so that a document does not support its own rare pairs. Each document's distinct
-pairs meet the count tables in equi-joins, and what they find is summed per document. With N words in all,
+Counts of the n-grams of 1 to ``order`` words come from all rows of the corpus, as tables keyed and partitioned by their
+words' 64-bit hashes. Each distinct n-gram of full order gets its value from these tables, and each document's n-grams meet
+those values in one equi-join and are summed per document. With N words in all and a context u of up to order - 1 words,
 
-    ln S(w | v) = ln c(v w) - ln c(v)               where the pair is kept,
-                  ln(backoff) + ln c(w) - ln N      where it is not; a first word has no penalty,
+    ln S(w | u) = ln c(u w) - ln c(u)               where u w is kept,
+                  ln(backoff) + ln S(w | u')        where it is not, u' being u without its first word,
+    ln S(w)     = ln c(w) - ln N;
 
-and a word that is pruned itself counts as seen once. Words are what white space parts, in lower case.
+the first words of a document have the contexts that there are, without a penalty. The query keeps all counts and takes
+three words; with a greater ``least``, what is seen less often is pruned, and a word that is pruned counts as seen
+once. Words are what white space parts, in lower case.
 
 Hot n-grams: counts are summed before they are exchanged, and the joins are plain equi-joins between shuffled sides, which
 adaptive execution splits where one key is large; no group of rows is collected.
@@ -27,9 +30,6 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .common import documents, materialize
-from .jaccard_join import _mix
-
-_C = np.uint64(0x165667B19E3779F9)
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -37,50 +37,70 @@ def _hashes(text: str | None) -> np.ndarray:
     return np.fromiter((xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def bigrams(docs: DataFrame) -> DataFrame:
-    """(doc_id, context, word, n): each document's distinct word pairs as hashes; the first word's context is 0."""
+def ngrams(docs: DataFrame, order: int) -> DataFrame:
+    """(doc_id, x1, ..., x<order>, n): each document's distinct n-grams as hashes of words; what comes before the first is 0."""
+    names = [f"x{j}" for j in range(1, order + 1)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                at, left, right, n = [], [], [], []
+                at, grams, n = [], [], []
                 for row, text in enumerate(part.column(1).to_pylist()):
                     w = _hashes(text)
                     if len(w):
-                        pair, counts = np.unique(np.stack([np.append(np.zeros(1, np.uint64), w[:-1]), w], 1), axis=0, return_counts=True)
-                        at.append(np.full(len(pair), row))
-                        left.append(pair[:, 0])
-                        right.append(pair[:, 1])
+                        padded = np.concatenate((np.zeros(order - 1, np.uint64), w))
+                        found, counts = np.unique(np.lib.stride_tricks.sliding_window_view(padded, order), axis=0, return_counts=True)
+                        at.append(np.full(len(found), row))
+                        grams.append(found)
                         n.append(counts)
                 if at:
+                    columns = np.concatenate(grams).view(np.int64).T
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(left).view(np.int64)), pa.array(np.concatenate(right).view(np.int64)), pa.array(np.concatenate(n).astype(np.int32))],
-                        names=["doc_id", "context", "word", "n"],
+                        [part.column(0).take(pa.array(np.concatenate(at))), *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(np.concatenate(n).astype(np.int32))],
+                        names=["doc_id", *names, "n"],
                     )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, context long, word long, n int")
-
-
-def score(docs: DataFrame, least: int = 2, backoff: float = 0.4) -> DataFrame:
-    """doc_id, n_words, log_score and perplexity of every row of docs, with bigram counts from all of docs."""
-    pairs = bigrams(docs)
-    words = pairs.groupBy("word").agg(F.sum("n").alias("c")).filter(F.col("c") >= least)
-    words = materialize(words, "word-counts")
-    total = pairs.agg(F.sum("n")).first()[0] or 1
-    both = materialize(pairs.groupBy("context", "word").agg(F.sum("n").alias("c2")).filter(F.col("c2") >= least), "pair-counts")
-    known = pairs.join(both, ["context", "word"], "left")
-    # what a pair asks of the word table: its context's count if the pair is kept, its own word's if it is not
-    kept = F.col("c2").isNotNull() & (F.col("context") != 0)
-    asks = known.select("doc_id", "n", F.when(kept, F.col("context")).otherwise(F.col("word")).alias("word"), kept.alias("kept"), (F.col("context") == 0).alias("first"), F.when(kept, F.log("c2")).alias("ln_c2"))
-    # per document and word before the second exchange
-    found = asks.join(words, "word", "left").withColumn("ln_c", F.log(F.coalesce("c", F.lit(1)).cast("double")))
-    alone = F.col("ln_c") - F.log(F.lit(float(total)))
-    value = F.when(F.col("kept"), F.col("ln_c2") - F.col("ln_c")).when(F.col("first"), alone).otherwise(F.log(F.lit(backoff)) + alone)
-    sums = found.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * value).alias("log_score"))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{x} long' for x in names)}, n int")
+
+
+def _values(rows: DataFrame, tables: dict[int, DataFrame], names: list[str], size: int, total: int, least: int, backoff: float) -> DataFrame:
+    """rows (names) with the value of their last ``size`` words: ln S of the last word after the others."""
+    keys = names[len(names) - size :]
+    found = rows.join(tables[size].withColumnRenamed("c", "_c"), keys)
+    if size == 1:
+        return found.select(*names, (F.log(F.when(F.col("_c") >= least, F.col("_c")).otherwise(F.lit(1)).cast("double")) - F.log(F.lit(float(total)))).alias("value"))
+    context = tables[size - 1].select(*[F.col(k).alias(to) for k, to in zip(names[len(names) - size + 1 :], keys[:-1])], F.col("c").alias("_of_context"))
+    kept = found.filter(F.col("_c") >= least).join(context, keys[:-1]).select(*names, (F.log("_c") - F.log("_of_context")).alias("value"))
+    if least <= 1:  # every n-gram of a row of the corpus is in its table
+        return kept
+    shorter = _values(found.filter(F.col("_c") < least).select(*names), tables, names, size - 1, total, least, backoff)
+    return kept.unionByName(shorter.withColumn("value", F.log(F.lit(backoff)) + F.col("value")))
+
+
+def score(docs: DataFrame, least: int = 2, backoff: float = 0.4, order: int = 2) -> DataFrame:
+    """doc_id, n_words, log_score and perplexity of every row of docs, with counts of up to ``order`` words from all of docs."""
+    names = [f"x{j}" for j in range(1, order + 1)]
+    rows = ngrams(docs, order)
+    # with those that begin before the document: each word ends one row's n-gram, so that shorter ones are counted from these
+    whole = materialize(rows.groupBy(*names).agg(F.sum("n").alias("c")), "ngram-counts")
+    total = whole.agg(F.sum("c")).first()[0] or 1
+    tables = {order: whole.filter(F.col(names[0]) != 0)}
+    for size in range(order - 1, 0, -1):
+        keys = names[order - size :]
+        tables[size] = materialize(whole.filter(F.col(keys[0]) != 0).groupBy(*keys).agg(F.sum("c").alias("c")), f"counts-of-{size}")
+    values = None
+    for size in range(order, 0, -1):
+        of_size = whole.filter(F.col(names[order - size]) != 0)
+        if size < order:
+            of_size = of_size.filter(F.col(names[order - size - 1]) == 0)
+        found = _values(of_size.select(*names), tables, names, size, total, least, backoff)
+        values = found if values is None else values.unionByName(found)
+    sums = rows.join(values, names).groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * F.col("value")).alias("log_score"))
     out = docs.select("doc_id").join(sums, "doc_id", "left")
     return out.select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.round("log_score", 6).alias("log_score"), F.round(F.exp(-F.col("log_score") / F.col("n_words")), 6).alias("perplexity"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir))
+    return score(documents(spark, sf_dir), least=1, order=3)

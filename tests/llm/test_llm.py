@@ -470,6 +470,35 @@ def test_lm_scoring_edges(spark):
     assert lm.score(frame(spark)).count() == len(EDGES) and lm.score(frame(spark, [])).count() == 0
 
 
+def backoff_brute(texts, least, order):
+    w = {i: t.lower().split() for i, t in texts.items()}
+    counts = Counter(tuple(v[k : k + n]) for v in w.values() for n in range(1, order + 1) for k in range(len(v) - n + 1))
+    total = sum(map(len, w.values()))
+
+    def ln(gram):
+        if len(gram) == 1:
+            return math.log((counts[gram] if counts[gram] >= least else 1) / total)
+        return math.log(counts[gram] / counts[gram[:-1]]) if counts[gram] >= least else math.log(0.4) + ln(gram[1:])
+
+    return {i: (len(v), sum(ln(tuple(v[max(0, k - order + 1) : k + 1])) for k in range(len(v))) if v else None) for i, v in w.items()}
+
+
+@pytest.mark.parametrize("least, order", ((1, 3), (2, 3), (1, 1), (3, 4)))
+def test_lm_scoring_orders(spark, least, order):
+    rng = random.Random(order)
+    texts = {i: " ".join(rng.choice("abcdef") * rng.randint(1, 2) for _ in range(rng.randint(0, 40))) for i in range(30)}
+    want = backoff_brute(texts, least, order)
+    for r in lm.score(frame(spark, [(i, t, "en", "a") for i, t in texts.items()]), least=least, order=order).collect():
+        n, score = want[r.doc_id]
+        assert r.n_words == n and (n == 0 or math.isclose(r.log_score, score, abs_tol=1e-4))
+
+
+def test_lm_scoring_query_keeps_all_counts(spark, sf_dir):
+    want = backoff_brute({r.doc_id: r.text or "" for r in documents(spark, sf_dir).collect()}, 1, 3)
+    for r in lm.op2_lm_scoring(spark, sf_dir).collect():
+        assert r.n_words == want[r.doc_id][0] and math.isclose(r.log_score, want[r.doc_id][1], abs_tol=1e-4)
+
+
 # --- pipeline
 
 
