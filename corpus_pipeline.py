@@ -29,7 +29,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = jaccard_join(docs).filter("doc_id = component_id").select("doc_id")
+    kept = jaccard_join(docs, n=5, percent=80).filter("doc_id = component_id").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -502,6 +502,22 @@ def test_lm_scoring_query_keeps_all_counts(spark, sf_dir):
 # --- pipeline
 
 
+def test_pipeline_near_duplicates(spark):
+    """Five words and 0.8: pairs that 4 words and 0.85 keep apart are one group here."""
+    import corpus_pipeline as cp
+
+    rng, rows = random.Random(7), []
+    for family in range(20):
+        words = [f"f{family}w{k}" for k in range(60)]
+        for _ in range(3):
+            w = list(words)
+            w[rng.randrange(10, 50)] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(w[: rng.randint(56, 60)]), "en", "a"))
+    kept = {r.doc_id for r in cp.keep_one_of_each_group(spark, frame(spark, rows), "").collect()}
+    stays = lambda n, percent: {i for i, (_, c) in brute_components([x[:2] for x in rows], n, percent).items() if i == c}
+    assert kept == stays(5, 80) and kept != stays(4, 85)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as cp
 
