@@ -5,8 +5,10 @@ what they are (a bounded sample of ``sample`` pages, those whose HTML hashes low
 these prices are the capacities from the source and to the sink. Blocks that follow each other, and blocks with the same
 parent, are tied by smoothness edges that grow weaker with their distance in the DOM. The minimum cut labels the blocks.
 
-Defined cases: null and empty HTML give an empty text; a page without content blocks gives an empty text; markup that is
-never closed ends with the page; repeated rows get the same text each; an empty table gives an empty result; other
+Defined cases: null and empty HTML give an empty text; a page without content blocks gives an empty text; scripts, styles,
+text areas and comments that are never closed end with the page, and of other elements that are dropped with what
+is in them, those never closed or closed in themselves lose their tag only; a head without end tag ends where its
+content does; the text of math stays, without annotations; repeated rows get the same text each; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -26,9 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-RAW = "script style noscript template svg math iframe object textarea select canvas audio video head".split()
+#: Elements dropped with what is in them: up to the end tag or the page's end, and only where there is an end tag.
+RAW = "script style textarea".split()
+DROPPED = "noscript template svg iframe object select canvas audio video annotation-xml annotation".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input br".split())
+INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics none".split())
 BOILERPLATE_TAGS = set("nav footer aside form menu dialog button fieldset".split())
 CONTENT_TAGS = {"article", "main"}
 #: Words of class, id and role that name what is not content, and what is.
@@ -39,9 +44,11 @@ BOILERPLATE_WORDS = set(
 )
 CONTENT_WORDS = set("article content post entry main story".split())
 #: Opening one of these closes an open element of the kinds named.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
+_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(%s)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|[^<]+|<" % "|".join(RAW),
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?![\w:-]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<({'|'.join(DROPPED)})(?![\w:-]){_ATTRIBUTES}(?<!/)>.*?</\2\s*>"
+    rf"|<title(?![\w:-]){_ATTRIBUTES}>(?:.*?</title\s*>|[^<]*)|<(/?)([a-zA-Z][\w:-]*)({_ATTRIBUTES})>|<[!?/][^>]*>|[^<]+|<",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -115,7 +122,7 @@ def blocks(page: str | None) -> list[Block]:
         open_ = _Open()
 
     for token in TOKEN.finditer(page or ""):
-        tag = token[3]
+        tag = token[4]
         if tag is None:
             part = token[0]
             if part[0] != "<" or part == "<":
@@ -126,17 +133,17 @@ def blocks(page: str | None) -> list[Block]:
                 open_.parts.append(part)
                 if any(e.tag == "a" for e in stack):
                     open_.linked += len(part)
-            elif not token[1] and part.startswith("<!--"):
-                continue
             continue
         tag = tag.lower()
+        if tag in DROPPED:
+            continue
         if tag == "br":
             open_.parts.append(" ")
             continue
         inline = tag in INLINE
         if not inline:
             close()
-        if token[2]:
+        if token[3]:
             if any(e.tag == tag for e in stack):
                 while stack[-1].tag != tag:
                     stack.pop()
@@ -152,8 +159,8 @@ def blocks(page: str | None) -> list[Block]:
                 elif stack[i].tag not in INLINE:
                     break
         key += 1
-        if not token[4].endswith("/"):
-            stack.append(_element(tag, token[4], key, stack[-1]))
+        if not token[5].endswith("/"):
+            stack.append(_element(tag, token[5], key, stack[-1]))
     close()
     return found
 

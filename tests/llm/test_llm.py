@@ -358,6 +358,30 @@ def test_html_edges(spark):
     assert he.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>Site</title><meta charset=utf-8><link rel=x href=y><script>a()</script><body><article><p>%s</p></article>", ""),
+        ("<html><head><title>Site</title><article><p>%s</p></article>", ""),
+        ("<head><title>Site</title><style>p {}</style></head><article><p>%s</p></article>", ""),
+        ("<article><svg viewBox='0 0 1 1' /><p>%s</p></article>", ""),
+        ("<article><svg><title>t</title><path d='M0'/></svg><p>%s</p></article><svg><text>no</text></svg>", ""),
+        ("<article><svg/><p>%s</p></article><svg><text>no</text></svg>", ""),
+        ("<article><math/><p>%s</p><math /></article>", ""),
+        ("<article><p>%s</p><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='t'>no</annotation></math> holds, the sentence goes on.</p></article>", "\nWhere x=2 holds, the sentence goes on."),
+        ("<article><iframe src='a'/><p>%s</p></article>", ""),
+        ("<article><canvas><p>%s</p></article>", ""),
+        ("<article><video-note><p>%s</p></video-note></article>", ""),
+        ("<article><p>%s</p></article><script>var x = '<p>no</p>'", ""),
+        ("<article><p>%s</p></article><!-- <p>no</p>", ""),
+        ("<article><p>%s</p></article><textarea><p>no</p>", ""),
+    ],
+)
+def test_html_elements_without_end_tags(page, text):
+    words = "A first paragraph with enough words to be read and kept."
+    assert he.main_text(page % words, he.PRIOR) == words + text
+
+
 def test_minimum_cut_is_least():
     rng = random.Random(3)
     for _ in range(30):
