@@ -2,11 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Defined cases: each row has its own verdict, whether its doc_id is null, repeated or shared by other texts; of each group of
+near-duplicates one row stays, that with the least doc_id (null after all others; any of those that repeat it); texts
+without words are in no group and all stay there.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from promptlake.llm.common import documents, materialize
 from promptlake.llm.jaccard_join import jaccard_join
@@ -18,9 +23,16 @@ from promptlake.llm.quality_rules import quality_rules
 LEAST_SCORE = 0.3
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with a number for each row as _row, and the same with that number for doc_id. Written once, so that it stays."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    return rows, rows.withColumn("doc_id", F.col("_row")).drop("_row")
+
+
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = quality_rules(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows, by_number = numbered(docs)
+    kept = quality_rules(by_number).filter("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +41,11 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = jaccard_join(docs, n=5, percent=80).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows, by_number = numbered(docs)
+    groups = jaccard_join(by_number, n=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(least.alias("least")).select("least._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -542,6 +542,21 @@ def test_pipeline_near_duplicates(spark):
     assert kept == stays(5, 80) and kept != stays(4, 85)
 
 
+def test_pipeline_judges_rows(spark):
+    """Null, repeated and shared doc_ids: each row has its own verdict, and one of each group stays."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    good = [" ".join(f"t{t}w{rng.randint(0, 10**6)}" for _ in range(100)) for t in range(8)]
+    rows = [(None, good[0], "en", "a"), (1, good[1], "en", "a"), (1, "too short", "en", "a"), (2, good[2], "en", "a"), (2, good[2], "en", "a"), (None, "short", "en", "a")]
+    found = cp.keep_good_quality(spark, frame(spark, rows), "")
+    assert sorted(found.select("doc_id", "text").collect(), key=str) == sorted([x[:2] for k, x in enumerate(rows) if k not in (2, 5)], key=str)
+    rows = [(None, good[0], "en", "a"), (None, good[0], "en", "a"), (None, good[1], "en", "a"), (9, good[1], "en", "a"), (5, good[1], "en", "a"), (5, good[1], "en", "a"),
+            (3, good[2], "en", "a"), (3, good[3], "en", "a"), (4, good[3], "en", "a"), (4, good[4], "en", "a")]
+    found = cp.keep_one_of_each_group(spark, frame(spark, rows), "")
+    assert sorted(found.select("doc_id", "text").collect(), key=str) == sorted([(None, good[0]), (5, good[1]), (3, good[2]), (3, good[3]), (4, good[4])], key=str)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as cp
 
