@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies cover every labelled training row. The weights are learned with follow-the-regularised-leader
-(FTRL-proximal, elastic-net penalty) on a bounded sample: ``sample`` rows of each language, those whose texts hash
+(FTRL-proximal, elastic-net penalty) on a bounded sample: ``sample`` distinct texts of each language, those that hash
 lowest, which is the documented bound; a third of them is kept back to fit the temperature that calibrates the
 scores. Every document is then predicted from its whole text alone.
 
@@ -117,7 +117,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def fit(labelled: DataFrame, sample: int = 600) -> LanguageModel:
-    """labelled: text and lang. The sample that reaches the driver has at most ``sample`` rows of each language."""
+    """labelled: text and lang. The sample that reaches the driver has at most ``sample`` texts of each language, all different."""
     labelled = labelled.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     found = labelled.select("text").mapInArrow(_document_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(1 << BITS)
@@ -125,13 +125,14 @@ def fit(labelled: DataFrame, sample: int = 600) -> LanguageModel:
     found = found[found["slot"] >= 0]
     df[found["slot"].to_numpy(int)] = found["n"].to_numpy()
     idf = np.log((1 + rows) / (1 + df)) + 1
-    by_language = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    labelled = labelled.withColumn("order", F.xxhash64("text"))
+    by_language = {r["lang"]: r["count"] for r in labelled.select("lang", "order").distinct().groupBy("lang").count().collect()}
     if not by_language:
         return LanguageModel([], idf, np.zeros((0, len(idf) + 1)), 1.0)
     # a first cut by the hash, loose by a factor of three, so that few rows reach the ranking
     share = F.create_map(*[F.lit(x) for lang, n in by_language.items() for x in (lang, min(1.0, 3 * sample / n))])
-    order = F.xxhash64("text")
-    low = labelled.withColumn("order", order).filter(F.pmod("order", F.lit(1 << 20)) <= share[F.col("lang")] * (1 << 20))
+    low = labelled.filter(F.pmod("order", F.lit(1 << 20)) <= share[F.col("lang")] * (1 << 20))
+    low = low.groupBy("lang", "order").agg(F.first("text").alias("text"))  # copies are one, combined before they are exchanged
     ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("rank") <= sample)
     return train(ranked.toPandas().sort_values(["rank", "lang"]).reset_index(drop=True), idf)
 

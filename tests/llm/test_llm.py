@@ -298,6 +298,16 @@ def test_language_id_held_out(spark):
     assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.97 and all(0 <= r.score <= 1 for r in out)
 
 
+def test_language_sample_takes_distinct_texts(spark, monkeypatch):
+    texts = [f"this is text number {'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for k in range(100)]
+    rows = [(k, x, "en", "a") for k, x in enumerate(texts)]
+    rows += [(100 + k, texts[0], "en", "a") for k in range(300)]
+    taken = []
+    monkeypatch.setattr(li, "train", lambda sample, idf: taken.append(sample))
+    li.fit(frame(spark, rows), sample=20)
+    assert len(taken[0]) == taken[0]["text"].nunique() == 20
+
+
 def test_language_id_edges(spark):
     out = [(r.doc_id, r.lang_pred) for r in li.language_id(frame(spark)).collect()]
     assert len(out) == len(EDGES) and {i for i, p in out if p == "und"} == {1, 2, 3, 11}
