@@ -1,28 +1,30 @@
 """Exact Jaccard self-join on word n-grams, by universe partition and the pigeonhole principle.
 
-A text's set holds the 64-bit hashes of its distinct word n-grams. Two sets of sizes s <= r that link differ in at most
-H = (r + s)(1 - t) / (1 + t) members, which bounds r by s / t; sizes are cut into bands so narrow that a partner lies in
-the same band or the next. In each band the hash universe is cut into m = H + 1 segments, so that linked sets have the
-same members in at least one segment: (band, segment, members) is a signature, and texts that share none cannot link.
-
-Costs decide what a text spends on a segment. A segment gets one signature as a rule. One whose signature tells little -
-it has one member or none, or more than ``few`` texts that may still lack links share it - gets none; instead the next segment gets its
-one-deletion neighbourhood, under a signature that names both. Where more than ``few`` open texts share that one too, the segment
-after the next follows under a signature that names all three. That loses nothing: let d(i) be the number of members in
-which a linked pair differs in segment i. All d sum to at most m - 1, so by the cycle lemma there is a segment i from which
-on, around the circle, any first l segments differ in at most l - 1 members: d(i) = 0, d(i + 1) <= 1, and
-d(i + 1) + d(i + 2) <= 2. The pair meets under i alone, under i with one deletion in i + 1, and then with one deletion in
-i + 2, or two where i + 1 agrees. What starts at i is only ever replaced by what is longer and starts at i.
-
-Within a signature's group no pairs are listed. Each member is verified against the group's least member, and links give
-components. A member that misses may still link with another: distances obey the triangle inequality, so one further
-than twice a link's distance from the least member can only link with other members that miss. Those, and all members where
-one comes nearer, are looked at again, across components: pair by pair in groups of up to ``few``, larger ones by
-the neighbourhoods that follow, whose groups are listed pair by pair whatever their size.
+A text's set holds the 64-bit hashes of its distinct word n-grams (exact up to collisions of these). Two sets of sizes
+s <= r that link differ in at most H = (r + s)(1 - t) / (1 + t) members, which bounds r by s / t; sizes are cut into bands
+so narrow that a partner lies in the same band or the next. In each band the hash universe is cut into m = H + 1 segments,
+so that linked sets have the same members in at least one segment: (band, segment, members) is a signature, and texts that
+share none cannot link. Costs decide what a text spends on a segment: one signature as a rule; a segment of one member or
+none tells little and gets none, and the next segment gets its one-deletion neighbourhood instead, under signatures that
+name both. That loses nothing: the numbers of members in which a linked pair differs in the segments sum to at most m - 1, so by
+the cycle lemma there is a segment i without a difference after which segment i + 1 has at most one.
+
+Within a signature's group no pairs are listed. Equal sets count once. Each member is verified against the group's pivot, the
+member that shares most signatures with other texts, and links give components. A member that misses may still link with
+another: distances obey the triangle inequality, so one further than twice a link's distance from the pivot can only link
+with other members that miss. Those, and all members where one comes nearer, stay open if they are of different components.
+
+Open texts share a passage or are many edits of one text, and are refined (``_refine``): the rarest members of their sets (prefix
+filtering; linked sets share one of them) part most. Texts that still meet under more than ``few`` of them form a cluster with
+a reference set C, the members that most of its texts have. With D(x) = x xor C and k(x) = |D(x)| - |x|(1 - t) / (1 + t), two texts
+link exactly if they share at least (k(x) + k(y)) / 2 members of D(x) and D(y). Where that is not above 0 for a pair, it is not
+for either with the text y0 of least k, so that verifying all against y0 finds what links without a shared member, and prefix
+filtering of D(x) the rest. What the cluster has in common is in no D(x), so the groups that are left are small; those that
+are not are clusters of the next round, and after ``rounds`` rounds their pairs are listed, so that no link is lost.
 
 Defined cases: null and blank texts have no n-grams and link with nothing; texts of fewer than n words have one, their
-whole sequence; equal sets are collapsed before verification; repeated rows get the same answer each; an empty table gives an
-empty result; other columns are not read.
+whole sequence; rows that share a doc_id are one document, which links where one of its texts does, and a row without doc_id
+has the answer of the texts that it equals; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,11 +34,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import documents, materialize
+from .common import discard, documents, materialize
 from .components import connected_components
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -105,159 +107,180 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def _after_neighbourhood(tag: np.ndarray, whole: bool, j: int, at: np.ndarray, values: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """Signatures of segment j's members and of what one deletion, or up to two under a ``whole`` segment, leaves of them."""
-    inside = values[at == j]
-    gone = [np.zeros(1, np.uint64), inside]
-    if whole:
-        a, b = np.triu_indices(len(inside), 1)
-        gone.append(inside[a] + inside[b])
-    return _mix((sums[j] - np.concatenate(gone)) * _A + _mix(tag + _B + np.uint64(j + 1)))
-
-
-def reallocated(grams: np.ndarray, percent: int, dropped: np.ndarray) -> np.ndarray:
-    """What a set spends instead of its dropped signatures: neighbourhoods of the segments that follow."""
-    found = []
-    for b, m, at, values, sums in _segments(grams, percent):
-        own = _mix(sums * _A + _mix(np.uint64(b << 32) + np.arange(m, dtype=np.uint64)))
-        bare = np.bincount(at, minlength=m) < min(2, len(grams))
-        gone = np.isin(own, dropped)
-        for i in np.flatnonzero(gone | bare):
-            near = _neighbourhood(own[i : i + 1] + _C, (i + 1) % m, at, values, sums)
-            if gone[i]:
-                found.append(near)
-            else:  # the first of a neighbourhood is the segment without deletions
-                found += [_after_neighbourhood(near[k : k + 1], k == 0, (i + 2) % m, at, values, sums) for k in np.flatnonzero(np.isin(near, dropped))]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
+def _sign(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
+    """n_shingles, digest and signatures of every row; of equal sets in one batch only the first has signatures."""
 
-def _describe(docs: DataFrame, n: int, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [ngram_set(x, n) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())], names=["doc_id", "n_shingles", "digest"])
-
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary")
-
+        for whole in batches:
+            seen: set[bytes] = set()
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                sizes, digests, found = [], [], []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    grams = ngram_set(text, n)
+                    digest = xxh3_128_digest(grams.tobytes())
+                    sizes.append(len(grams))
+                    digests.append(digest)
+                    signs = doc_id is not None and len(grams) and digest not in seen
+                    found.append(signatures(grams, percent) if signs else grams[:0])
+                    if signs:
+                        seen.add(digest)
+                edges = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32())
+                sigs = pa.ListArray.from_arrays(edges, pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), sigs], names=["doc_id", "n_shingles", "digest", "sigs"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, sigs array<long>")
+
+
+def _grams(docs: DataFrame, n: int, kind: str) -> DataFrame:
+    """node (the doc_id) and its set as an array."""
 
-def _flat(ids: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
-    at = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    rows = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(rows.view(np.int64)), ids.take(pa.array(at, pa.int64()))], names=["sig", "doc_id"])
-
-
-def _sign(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                yield _flat(part.column(0), [signatures(ngram_set(x, n), percent) for x in part.column(1).to_pylist()])
+            sets = [ngram_set(x, n).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
 
-    return docs.mapInArrow(run, f"sig long, doc_id {kind}")
+    return docs.mapInArrow(run, f"node {kind}, grams array<long>")
 
 
-def _resign(rows: DataFrame, docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
-    """Rows (sig, doc_id) of dropped signatures to those that replace them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            yield _flat(batch.column(0), [reallocated(ngram_set(x, n), percent, np.array(sigs, np.int64).view(np.uint64)) for sigs, x in cells])
+def verify(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes with ``link``, and ``near``: whether they lie within twice a link's distance."""
+    sides = [grams.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab"]
+    both = F.size(F.array_intersect("grams_a", "grams_b"))
+    found = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", both.alias("both"), (F.size("grams_a") + F.size("grams_b")).alias("sum"))
+    holds = lambda p: 100 * F.col("both") >= p * (F.col("sum") - F.col("both"))
+    return found.groupBy("a", "b").agg(F.max(holds(percent)).alias("link"), F.max(holds(2 * percent - 100)).alias("near"))
 
-    by_text = rows.groupBy("doc_id").agg(F.collect_set("sig").alias("sigs")).join(docs, "doc_id").select("doc_id", "sigs", "text")
-    return by_text.mapInArrow(run, f"sig long, doc_id {kind}")
 
+class _Links:
+    """Links found so far, as components: the least node of each."""
 
-def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of doc_ids those that link, and those that miss a link but lie within twice its distance,
-    told apart by ``link``; by their whole texts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    near = 2 * percent - 100
+    def __init__(self, grams: DataFrame, percent: int):
+        self.grams, self.percent, self.labels = grams, percent, None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, right = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            keep, link = [], []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if b is not last:
-                    right = right if b == last else ngram_set(b, n)
-                    last = b
-                left = ngram_set(a, n)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                union = len(left) + len(right) - both
-                keep.append(both > 0 and 100 * both >= near * union)
-                link.append(both > 0 and 100 * both >= percent * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link, pa.bool_())], names=["a", "b", "link"]).filter(pa.array(keep, pa.bool_()))
-
-    with_a = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    found = both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, link boolean")
-    return found.groupBy("a", "b").agg(F.max("link").alias("link"))
-
-
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs of texts of different components that share a signature, from rows (sig, doc_id, component)."""
-    left = rows.select("sig", F.col("doc_id").alias("b"), F.col("component").alias("c"))
-    right = rows.select("sig", F.col("doc_id").alias("a"), F.col("component").alias("d"))
-    return left.join(right, "sig").filter("a > b and c <> d").select("a", "b").distinct()
-
-
-def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, few: int = 6) -> DataFrame:
+    def check(self, pairs: DataFrame) -> DataFrame:
+        """verify(pairs), written; what links is taken up into the components."""
+        found = materialize(verify(pairs, self.grams, self.percent), "verified")
+        links = found.filter("link").select("a", "b")
+        before = self.labels
+        if before is not None:
+            links = links.unionByName(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        self.labels = materialize(connected_components(links), "components")
+        if before is not None:
+            discard(before)
+        return found
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """rows (node, ...) with the node's component."""
+        return rows.join(self.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _parted(rows: DataFrame, *keys: str) -> DataFrame:
+    """Those of rows (keys, node, component) whose keys hold more than one component, with the number of rows as ``size``."""
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return rows.join(groups.filter("low <> high").select(*keys, "size"), list(keys))
+
+
+def _pairs(rows: DataFrame, *keys: str) -> DataFrame:
+    """Pairs of nodes of different components with equal keys; not of two texts on the side of the cluster's core."""
+    left = rows.select(*keys, F.col("node").alias("a"), F.col("component").alias("c"), F.col("core").alias("core_a"))
+    right = rows.select(*keys, F.col("node").alias("b"), F.col("component").alias("d"), F.col("core").alias("core_b"))
+    return left.join(right, list(keys)).filter("a < b and c <> d and (not meets_core or core_a <> core_b)").select("a", "b").distinct()
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """rows (cluster, node, component, core, members, and whom to meet: need, or need_core for pairs of a core text and another) as
+    (cluster, meets_core, member, node, component, core): of each text its rarest members, so many that any pair that shares as
+    many as needed shares one of these."""
+    members = rows.select("cluster", "node", F.explode("members").alias("member"))
+    often = members.groupBy("cluster", "member").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = members.join(often, ["cluster", "member"]).groupBy("cluster", "node").agg(F.sort_array(F.collect_list(F.struct("n", "member"))).alias("shared"))
+    # those that no other text has come first, and part nothing
+    length = lambda need: F.greatest(F.lit(0), F.size("shared") - F.col(need) + 1)
+    kinds = F.array(*[F.struct(F.lit(meets).alias("meets_core"), F.slice("shared", 1, length(need)).alias("first")) for meets, need in ((False, "need"), (True, "need_core"))])
+    out = rows.drop("members").join(shared, ["cluster", "node"]).withColumn("kind", F.explode(kinds))
+    out = out.filter("(core and kind.meets_core and need_core is not null) or (not core and (not kind.meets_core or need_core is not null))")
+    return out.select("cluster", F.col("kind.meets_core").alias("meets_core"), F.explode("kind.first.member").alias("member"), "node", "component", "core")
+
+
+def _around_references(clusters: DataFrame, links: _Links, percent: int) -> DataFrame:
+    """clusters (node, cluster) as rows for _prefixes, after all texts are verified against the one that is least from the
+    cluster's reference set; without clusters that this leaves with one component."""
+    rows = clusters.join(links.grams, "node")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("texts"))
+    often = rows.select("cluster", F.explode("grams").alias("member")).groupBy("cluster", "member").agg(F.count("*").alias("n"))
+    # at most twice as many members as the cluster's texts have on average
+    reference = often.join(sizes, "cluster").filter("2 * n > texts").groupBy("cluster").agg(F.collect_list("member").alias("reference"))
+    rows = rows.join(reference, "cluster", "left").withColumn("reference", F.coalesce("reference", F.array().cast("array<long>")))
+    members = F.concat(F.array_except("grams", "reference"), F.array_except("reference", "grams"))
+    rows = rows.select("cluster", "node", F.size("grams").alias("size"), members.alias("members"))
+    rows = materialize(rows.withColumn("k", (100 + percent) * F.size("members") - (100 - percent) * F.col("size")), "around-references")
+    least = rows.groupBy("cluster").agg(F.min(F.struct("k", "node")).alias("least"))
+    links.check(clusters.join(least, "cluster").select(F.col("node").alias("a"), F.col("least.node").alias("b")).filter("a <> b"))
+    rows = links.of(rows)
+    at = links.of(least.select("cluster", F.col("least.k").alias("k_least"), F.col("least.node").alias("node"))).select("cluster", "k_least", F.col("component").alias("core_component"))
+    rows = rows.join(at, "cluster").withColumn("core", F.col("component") == F.col("core_component"))
+    others = rows.filter("not core").groupBy("cluster").agg(F.min("k").alias("k_other"))
+    rows = rows.join(others, "cluster")
+    # how many members a pair shares at least if it links
+    share = lambda k: F.greatest(F.lit(1), F.ceil((F.col("k") + F.col(k)) / (2 * (100 + percent)))).cast("int")
+    return rows.select("cluster", "node", "component", "core", "members", share("k_other").alias("need"), F.when(F.col("core"), share("k_other")).otherwise(share("k_least")).alias("need_core"))
+
+
+def _refine(nodes: DataFrame, links: _Links, percent: int, few: int, rounds: int) -> None:
+    """Adds all links between nodes of different components."""
+    keys = ["cluster", "meets_core", "member"]
+    rows = links.of(nodes.join(links.grams, "node")).select(
+        F.lit(0).alias("cluster"), "node", "component", F.lit(False).alias("core"), F.col("grams").alias("members"),
+        F.ceil(F.size("grams") * percent / F.lit(100)).cast("int").alias("need"), F.lit(None).cast("int").alias("need_core"),
+    )
+    for last in (*[False] * rounds, True):
+        open_ = materialize(_parted(_prefixes(rows), *keys), "prefixes")
+        links.check(_pairs(open_ if last else open_.filter(F.col("size") <= few), *keys))
+        if last:
+            return
+        left = links.of(open_.filter(F.col("size") > few).drop("component", "size"))
+        left = materialize(_parted(left, *keys), "open-prefixes")
+        if left.isEmpty():
+            return
+        hub = left.groupBy(*keys).agg(F.min("node").alias("b"))
+        clusters = connected_components(left.join(hub, keys).select(F.col("node").alias("a"), "b").distinct())
+        clusters = materialize(clusters.withColumnRenamed("component", "cluster"), "clusters")
+        rows = materialize(_around_references(clusters, links, percent), "open-clusters")
+        discard(open_, left)
+
+
+def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, few: int = 16, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links of at least percent / 100 reach) per row of docs."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = materialize(_describe(docs, n, kind), "ngram-sets")
+    signed = materialize(_sign(docs, n, percent, kind), "signatures")
+    sets = signed.select("doc_id", "n_shingles", "digest")
     first = materialize(sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first")), "first-of-set")
-    stands = materialize(sets.join(first, "digest").groupBy("doc_id").agg(F.min("first").alias("first")), "stands-for")
-
-    def of_sets(rows: DataFrame, *names: str) -> DataFrame:
-        """Each named doc_id replaced by the first one with the same set."""
-        for name in names:
-            rows = rows.join(stands.select(F.col("doc_id").alias(name), F.col("first").alias("_first")), name).withColumn(name, F.col("_first")).drop("_first")
-        return rows
-
-    def check(pairs: DataFrame) -> DataFrame:
-        nonlocal links
-        found = materialize(verify(pairs, docs, n, percent), "verified")
-        new = found.filter("link").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        return found
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        at = labels.select(F.col("node").alias("doc_id"), "component")
-        return rows.join(at, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-    rows, links = _sign(docs, n, percent, kind), None
-    for last in (False, True):
-        stars = rows.withColumn("pivot", F.min("doc_id").over(Window.partitionBy("sig"))).filter("doc_id <> pivot")
-        stars = materialize(stars, "signature-stars")
-        pairs = of_sets(stars.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "a", "b")
-        pairs = materialize(pairs.filter("a <> b").distinct(), "pairs")
-        found = check(pairs)
-        labels = materialize(connected_components(links), "components")
-        # members that do not link with their group's least member, and where one of them comes near, those that do as well:
-        # whoever is further from the least member than twice a link's distance links with none of these
-        told = pairs.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("link", F.lit(False)).alias("link"), F.col("link").isNotNull().alias("near"))
-        told = materialize(told.filter("not link"), "missed")
-        if told.isEmpty():
-            break
-        members = of_sets(stars.select("sig", F.col("doc_id").alias("a"), F.col("pivot").alias("b")), "a", "b")
-        missed = materialize(members.join(told, ["a", "b"]).select("sig", "a", "near").distinct(), "missed-members")
-        close = missed.filter("near").select("sig").distinct()
-        whole = members.join(close, "sig", "left_semi")
-        members = missed.select("sig", F.col("a").alias("doc_id")).unionByName(whole.select("sig", F.col("a").alias("doc_id"))).unionByName(whole.select("sig", F.col("b").alias("doc_id")))
-        members = materialize(labelled(members.distinct()), "open-members")
-        groups = members.groupBy("sig").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        groups = materialize(groups.filter("low <> high").select("sig", "size"), "open-groups")
-        small = members.join(groups if last else groups.filter(F.col("size") <= few), "sig", "left_semi")
-        check(materialize(_across(small).join(pairs, ["a", "b"], "left_anti"), "pairs-across"))
-        labels = materialize(connected_components(links), "components")
-        if not last:
-            rows = _resign(members.join(groups.filter(F.col("size") > few), "sig", "left_semi").select("sig", "doc_id"), docs, n, percent, kind)
-    return _answer(sets, first, labels)
-
-
-def _answer(sets: DataFrame, first: DataFrame, labels: DataFrame) -> DataFrame:
-    by_set = first.join(labels.select(F.col("node").alias("first"), "component"), "first", "left").select("digest", F.coalesce("component", "first").alias("component_id"))
+    rows = signed.filter("doc_id is not null").select("doc_id", F.explode("sigs").alias("sig"))
+    shared = materialize(rows.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("sig"), "shared-signatures")
+    stands = sets.join(first, "digest").groupBy("doc_id").agg(F.min("first").alias("node"))
+    members = materialize(rows.join(shared, "sig").join(stands, "doc_id").select("sig", "node").distinct(), "members")
+    sizes = members.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
+    sized = members.join(sizes, "sig")
+    degrees = sized.groupBy("node").agg(F.sum("size").alias("degree"))
+    pivots = sized.join(degrees, "node").groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("pivot"))
+    stars = sized.join(pivots, "sig").select("sig", F.col("node").alias("a"), F.col("pivot.node").alias("b")).filter("a <> b")
+    stars = materialize(stars, "signature-stars")
+    pairs = stars.select("a", "b").distinct()
+    involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    links = _Links(materialize(_grams(docs.join(involved, "doc_id", "left_semi").distinct(), n, kind), "grams"), percent)
+
+    missed = stars.join(links.check(pairs).filter("not link").drop("link"), ["a", "b"])
+    missed = materialize(missed, "missed-members")
+    whole = stars.join(missed.filter("near").select("sig").distinct(), "sig", "left_semi")
+    open_ = missed.select("sig", F.col("a").alias("node")).unionByName(whole.select("sig", F.col("a").alias("node"))).unionByName(whole.select("sig", F.col("b").alias("node")))
+    nodes = materialize(_parted(links.of(open_.distinct()), "sig").select("node").distinct(), "open-nodes")
+    if not nodes.isEmpty():
+        _refine(nodes, links, percent, few, rounds)
+    discard(shared, members, stars, missed)
+    by_set = first.join(links.labels.withColumnRenamed("node", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("component_id"))
     return sets.join(by_set, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

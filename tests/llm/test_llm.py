@@ -167,7 +167,7 @@ def families(seed):
     return rows
 
 
-@pytest.mark.parametrize("few", (1, 6))
+@pytest.mark.parametrize("few", (1, 6, 16))
 def test_jaccard_join(spark, few):
     rows = families(few)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.jaccard_join(frame(spark, rows), few=few).collect()}
@@ -185,17 +185,49 @@ def test_jaccard_join_keeps_links_under_neighbourhoods(spark):
     assert got == brute_components([x[:2] for x in rows])
 
 
-def test_dropped_signatures_are_replaced():
-    """Whatever signatures of a linked pair are dropped, it shares another one."""
-    rng = np.random.default_rng(6)
-    for size in (1, 2, 3, 5, 6, 7, 13, 30, 100, 400):
-        for trial in range(40):
-            both = rng.integers(0, 2**63, size).astype(np.uint64)
-            extra = int(size * 15 / 85)
-            left = rng.integers(0, extra + 1)
-            a, b = (np.unique(np.concatenate((both, rng.integers(0, 2**63, n).astype(np.uint64)))) for n in (left, extra - left))
-            shared = np.intersect1d(jj.signatures(a, 85), jj.signatures(b, 85))
-            assert len(np.intersect1d(jj.reallocated(a, 85, shared), jj.reallocated(b, 85, shared)))
+@pytest.mark.parametrize(("few", "rounds"), [(1, 0), (1, 3), (3, 1), (16, 3)])
+def test_refinement_alone_finds_all_links(spark, few, rounds):
+    """Without any pivot's links: texts around passages and many edits of one text, all taken as open."""
+    rng, rows = random.Random(few), families(7)
+    for family in range(3):
+        words = [f"p{family}w{k}" for k in range(60)]
+        for v in range(30):
+            if v % 2:  # edits
+                w = [x if rng.random() > 0.03 else f"e{family}{v}{k}" for k, x in enumerate(words)]
+            else:  # a passage with words of the text's own
+                w = [*words, *(f"o{family}x{v}x{k}" for k in range(rng.randint(0, 14)))]
+            rows.append((len(rows), " ".join(w), "en", "a"))
+    docs = frame(spark, rows).select("doc_id", "text")
+    grams = jj._grams(docs, 4, "bigint").distinct()
+    least = grams.groupBy("grams").agg(F.min("node").alias("node")).select("node", "grams").cache()
+    links = jj._Links(least, 85)
+    links.check(least.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b")))
+    jj._refine(least.select("node"), links, 85, few, rounds)
+    found = {r.node: r.component for r in links.labels.collect()}
+    want = brute_components([x[:2] for x in rows])
+    assert {r.node: found.get(r.node, r.node) for r in least.collect()} == {r.node: want[r.node][1] for r in least.collect()}
+
+
+def test_jaccard_join_one_large_group(spark):
+    """5,000 near copies of one text, each with edits of its own, and texts that share its passage; all pairs by one product."""
+    rng = random.Random(3)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for v in range(5000):
+        w = list(base)
+        for k in rng.sample(range(120), rng.choice([0, 1, 1, 2, 3, 4])):
+            w[k] = f"e{v}x{k}"
+        rows.append((v, " ".join(w), "en", "a"))
+    rows += [(5000 + v, " ".join([*base[:80], *(f"o{v}x{k}" for k in range(rng.randint(5, 25)))]), "en", "a") for v in range(60)]
+    sets = [{tuple(x[k : k + 4]) for k in range(len(x) - 3)} for x in (t.split() for _, t, _, _ in rows)]
+    often = [g for g, n in Counter(g for x in sets for g in x).items() if n > 1]
+    has = np.array([[g in x for g in often] for x in sets], np.float32)
+    both, size = has @ has.T, np.array([len(x) for x in sets])
+    linked = 100 * both >= 85 * (size[:, None] + size[None, :] - both)
+    at = np.arange(len(rows))
+    while (now := np.where(linked, at[None, :], len(rows)).min(1)).tolist() != at.tolist():
+        at = now
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.jaccard_join(frame(spark, rows)).collect()}
+    assert got == {i: (int(size[i]), int(at[i])) for i in range(len(rows))}
 
 
 def test_jaccard_join_edges(spark):
