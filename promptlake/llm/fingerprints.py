@@ -2,13 +2,13 @@
 
 A paragraph is a sentence of a line, whatever the line's length. The set of a text's paragraph digests is
 sketched in cells; each digest enters one cell in each of three sub-tables, where a cell keeps the count, the exclusive
-or of its digests, and that of their check values. The sketches of two versions subtract cell by cell, which leaves only
-what differs; peeling cells that hold a single digest recovers the differing digests, and where peeling stops short the
-pair is sketched again with tables twice as wide. Sets too large for one table are split by digest into tables of
-their own, so that the work grows with the text's length. Everything is column expressions.
+or of its digests, and that of their check values. Sets too large for one table are split by digest into a power of two
+of tables, so that the work grows with the text's length. Everything is column expressions.
 
-The likeness of two versions is their digests' Jaccard similarity, from the number of recovered differences.
-The fingerprint string is the text's smallest sketch.
+The fingerprint is these cells as text, and equal for equal sets. Fingerprints of two versions subtract cell by cell, which leaves only
+what differs; peeling cells that hold a single digest recovers the differing digests. Where peeling stops short, or the two
+have different numbers of tables, both are sketched again with tables twice as wide, and where the widest fail, with other
+hashes. The likeness of two versions is their digests' Jaccard similarity, from the number of recovered differences.
 
 Defined cases: null text counts as empty; two texts without paragraphs are alike (1.0); rows that repeat a doc_id follow
 one another in the order of their texts' hashes; a table of one row has itself as next; an empty table gives an empty
@@ -17,15 +17,16 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_SET, documents, let
 
-#: Lines of more characters than this are cut into sentences: all that are not empty.
-LONG = 0
-#: Widths of a sub-table that are tried in turn, and how many digests of both versions a table is meant for.
-WIDTHS, LOAD = (8, 16, 32, 64, 128, 256), 48
+#: Width of a fingerprint's sub-tables, how many digests of one version a table is meant for, and of both versions in retries.
+WIDTH, LOAD, LOAD_BOTH = 8, 24, 48
+#: Widths of a sub-table that are tried in turn, with the seeds of their hashes.
+RETRIES = ((16, 0), (32, 0), (64, 0), (128, 0), (256, 0), (256, 1), (512, 2))
 ROUNDS = 12
 
 
@@ -35,8 +36,9 @@ def digests(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.filter(trimmed, lambda x: F.length(x) > 0), lambda x: F.xxhash64(x))))
 
 
-def _slot(digest: Column, table: Column, width: Column) -> Column:
+def _slot(digest: Column, table: Column, width: Column, seed: Column) -> Column:
     """The digest's cell in a sub-table: the tables read different bits of the digest."""
+    digest = F.when(seed == 0, digest).otherwise(F.xxhash64(digest, seed))
     bits = F.when(table == 0, digest).when(table == 1, F.shiftrightunsigned(digest, 21)).otherwise(F.shiftrightunsigned(digest, 42))
     return F.pmod(bits, width)
 
@@ -49,12 +51,12 @@ def _put(cell: Column, digest: Column, n: Column) -> Column:
     return _cell(cell["n"] + n, cell["key"].bitwiseXOR(digest), cell["check"].bitwiseXOR(F.xxhash64(digest)))
 
 
-def sketch(found: Column, width: Column) -> Column:
+def sketch(found: Column, width: Column, seed: Column) -> Column:
     """The cells of the three sub-tables, one after the other."""
     empty = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
     def sub_table(table: Column) -> Column:
-        slots = F.transform(found, lambda x: _slot(x, table, width).cast("int"))
+        slots = F.transform(found, lambda x: _slot(x, table, width, seed).cast("int"))
         cell = lambda at, j: F.aggregate(F.filter(found, lambda x, i: F.get(at, i) == j), empty, lambda a, x: _put(a, x, F.lit(1)))
         return let(slots, lambda at: F.transform(F.sequence(F.lit(0), width.cast("int") - 1), lambda j: cell(at, j)))
 
@@ -65,14 +67,14 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["check"].bitwiseXOR(y["check"])))
 
 
-def peel(cells: Column, width: Column) -> Column:
+def peel(cells: Column, width: Column, seed: Column) -> Column:
     """How many digests the subtracted cells hold, or null where peeling stops before they are empty."""
     def single(c: Column) -> Column:
         return (F.abs(c["n"]) == 1) & (F.xxhash64(c["key"]) == c["check"])
 
     def taken(c: Column, i: Column, out: Column) -> Column:
         table, at = F.floor(i / width).cast("int"), F.pmod(i, width)
-        return F.aggregate(F.filter(out, lambda x: _slot(x["key"], table, width) == at), c, lambda a, x: _put(a, x["key"], -x["n"]))
+        return F.aggregate(F.filter(out, lambda x: _slot(x["key"], table, width, seed) == at), c, lambda a, x: _put(a, x["key"], -x["n"]))
 
     def step(state: Column, _: Column) -> Column:
         def with_singles(out: Column) -> Column:
@@ -91,31 +93,49 @@ def peel(cells: Column, width: Column) -> Column:
 
 def _differing(a: Column, b: Column) -> Column:
     """The number of digests in one of two sets only, by sketches of growing width."""
-    def attempt(state: Column, width: Column) -> Column:
-        tried = peel(subtract(sketch(a, width), sketch(b, width)), width)
+    def attempt(state: Column, x: Column) -> Column:
+        width, seed = x["width"], x["seed"]
+        tried = peel(subtract(sketch(a, width, seed), sketch(b, width, seed)), width, seed)
         hopeless = F.abs(F.size(a) - F.size(b)) > 3 * width
         return F.when(state.isNotNull() | hopeless, state).otherwise(tried)
 
-    by_sketch = F.aggregate(F.array(*[F.lit(w) for w in WIDTHS]), F.lit(None).cast("int"), attempt)
-    # digests that share all three cells in the widest table too: counted from the sets themselves
+    tries = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(s).alias("seed")) for w, s in RETRIES])
+    by_sketch = F.aggregate(tries, F.lit(None).cast("int"), attempt)
+    # for the case that digests share all cells under each seed
     return F.coalesce(by_sketch, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The Jaccard similarity of two digest arrays, from what their sketches' difference peels to."""
+def _part(found: Column, tables: Column, i: Column) -> Column:
+    return F.filter(found, lambda x: F.pmod(F.shiftrightunsigned(x, 11), tables) == i)
+
+
+def cells(found: Column) -> Column:
+    """The cells of a digest array's tables, one after the other."""
+    tables = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.size(found) / F.lit(float(LOAD)))))).cast("int")
+    table = lambda i: let(_part(found, tables, i), lambda x: sketch(x, F.lit(WIDTH), F.lit(0)))
+    return F.when(F.size(found) <= LOAD, sketch(found, F.lit(WIDTH), F.lit(0))).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), tables - 1), table)))
+
+
+def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
+    """The Jaccard similarity of two digest arrays, from what the difference of their cells peels to, or of wider ones."""
+    each = 3 * WIDTH
+    peeled = lambda i: peel(subtract(F.slice(cells_a, i * each + 1, F.lit(each)), F.slice(cells_b, i * each + 1, F.lit(each))), F.lit(WIDTH), F.lit(0))
+    # a table that does not peel leaves null, and those after it are left out
+    by_cells = F.aggregate(F.sequence(F.lit(0), (F.size(cells_a) / each).cast("int") - 1), F.lit(0), lambda s, i: F.when(s.isNotNull(), s + peeled(i)))
+
     both = F.size(a) + F.size(b)
-    tables = F.ceil(both / F.lit(LOAD)).cast("int")
-    part = lambda found, i: F.filter(found, lambda x: F.pmod(F.shiftrightunsigned(x, 11), tables) == i)
-    by_table = lambda i: let(part(a, i), lambda x: let(part(b, i), lambda y: _differing(x, y)))
+    tables = F.ceil(both / F.lit(LOAD_BOTH)).cast("int")
+    by_table = lambda i: let(_part(a, tables, i), lambda x: let(_part(b, tables, i), lambda y: _differing(x, y)))
     many = F.aggregate(F.transform(F.sequence(F.lit(0), tables - 1), by_table), F.lit(0), lambda s, x: s + x)
-    differing = F.when(both == 0, F.lit(0)).when(a == b, F.lit(0)).when(tables == 1, _differing(a, b)).otherwise(many)
+    wider = F.when(tables == 1, _differing(a, b)).otherwise(many)
+    differing = F.when((both == 0) | (a == b), F.lit(0)).otherwise(F.coalesce(F.when(F.size(cells_a) == F.size(cells_b), by_cells), wider))
     return let(differing.cast("double"), lambda d: F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d)))
 
 
-def fingerprint(found: Column) -> Column:
-    """The smallest sketch as text: the number of digests, then the count and digests of each cell in hexadecimal."""
-    cells = F.transform(sketch(found, F.lit(WIDTHS[0])), lambda c: F.concat(F.hex(c["n"].cast("long")), F.lit("."), F.hex(c["key"])))
-    return F.concat(F.size(found).cast("string"), F.lit(":"), F.array_join(cells, ","))
+def fingerprint(found: Column, sketched: Column) -> Column:
+    """The number of digests, then of each cell the count, digests and check values in hexadecimal; empty cells as nothing."""
+    shown = F.transform(sketched, lambda c: F.when(c["n"] == 0, F.lit("")).otherwise(F.concat(F.hex(c["n"].cast("long")), F.lit("."), F.hex(c["key"]), F.lit("."), F.hex(c["check"]))))
+    return F.concat(F.size(found).cast("string"), F.lit(":"), F.array_join(shown, ","))
 
 
 def with_next(docs: DataFrame, columns: list[str], rows_each: int = 2000, most: int = 65_536) -> DataFrame:
@@ -131,7 +151,7 @@ def with_next(docs: DataFrame, columns: list[str], rows_each: int = 2000, most:
     order = F.xxhash64(*columns)
     placed = docs
     if bounds:
-        held = F.array(*[F.lit(b).cast("long") for b in bounds])
+        held = F.lit(np.array(bounds, np.int64))  # one literal of `most` numbers at most
         half = lambda lo_hi, _: let(F.floor((lo_hi["lo"] + lo_hi["hi"]) / 2).cast("int"), lambda mid: F.when(
             lo_hi["lo"] >= lo_hi["hi"], lo_hi).when(F.get(held, mid) < F.col("doc_id"), F.struct((mid + 1).alias("lo"), lo_hi["hi"].alias("hi"))).otherwise(F.struct(lo_hi["lo"].alias("lo"), mid.alias("hi"))))
         search = F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), half, lambda x: x["lo"])
@@ -156,9 +176,12 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.left("text", F.length("text") - half), F.left("next_text", half))
     pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "found", "next_found", edited.alias("edited"))
     out = pairs.select("doc_id", "n_chars", "found", "next_found", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("edited")).alias("edited_found"))
+    out = out.withColumns({f"{c}_cells": cells(F.col(f"{c}found")) for c in ("", "edited_", "next_")})
+    of = lambda c: (F.col(f"{c}found"), F.col(f"{c}_cells"))
+    near = lambda c: likeness(F.col("found"), of(c)[0], F.col("_cells"), of(c)[1])
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("found")).alias("fingerprint"), fingerprint(F.col("edited_found")).alias("edited_fingerprint"),
-        likeness(F.col("found"), F.col("edited_found")).alias("near_edited"), likeness(F.col("found"), F.col("next_found")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(*of("")).alias("fingerprint"), fingerprint(*of("edited_")).alias("edited_fingerprint"),
+        near("edited_").alias("near_edited"), near("next_").alias("near_next"),
     )
 
 

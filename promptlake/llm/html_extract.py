@@ -1,15 +1,22 @@
 """Main text of web pages by minimum-cut labelling of their text blocks.
 
-A page is cut into blocks of text at block-level tags. A logistic classifier, fitted to blocks whose container tags tell
-what they are (a bounded sample of ``sample`` pages, those whose HTML hashes lowest), prices the two labels of each block;
-these prices are the capacities from the source and to the sink. Blocks that follow each other, and blocks with the same
-parent, are tied by smoothness edges that grow weaker with their distance in the DOM. The minimum cut labels the blocks.
+A page is cut into blocks of text at block-level tags. A block's two labels cost what a logistic classifier says of its text
+(links, length, density around it, place in the page, what kind of element), and what its containers say: fixed log-odds for
+elements that hold the article, elements of menus, footers and forms, class words, and hidden ones. The classifier sees nothing of the
+containers; it is fitted to blocks whose containers tell what they are, of a bounded sample of ``sample`` pages, those
+whose HTML hashes lowest. Both together are the capacities from the source and to the sink. Blocks that follow each other,
+and blocks with the same parent, are tied by smoothness edges that grow weaker with their distance in the DOM. The minimum cut
+labels the blocks.
+
+A word of a class, id or role counts for its own element and what is in it, only at the end of a name ("site-footer") that does not
+tell a state ("no-sidebar", "share-enabled"), and not where the element holds the page's article or body. A heading such as "3 Comments" says the same of what
+follows it under its parent, and a block that begins as adverts do ("Sponsored", "Advertisement") of itself.
 
 Defined cases: null and empty HTML give an empty text; a page without content blocks gives an empty text; scripts, styles,
 text areas and comments that are never closed end with the page, and of other elements that are dropped with what
 is in them, those never closed or closed in themselves lose their tag only; a head without end tag ends where its
-content does; the text of math stays, without annotations; repeated rows get the same text each; an empty table gives an empty result; other
-columns are not read.
+content does; the text of math stays, without annotations; after a quote that is never closed, tags end at the next ">"; repeated
+rows get the same text each; an empty table gives an empty result; other columns are not read. Pages are read in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -45,126 +52,232 @@ BOILERPLATE_WORDS = set(
 CONTENT_WORDS = set("article content post entry main story".split())
 #: Opening one of these closes an open element of the kinds named.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
-_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?![\w:-]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<({'|'.join(DROPPED)})(?![\w:-]){_ATTRIBUTES}(?<!/)>.*?</\2\s*>"
-    rf"|<title(?![\w:-]){_ATTRIBUTES}>(?:.*?</title\s*>|[^<]*)|<(/?)([a-zA-Z][\w:-]*)({_ATTRIBUTES})>|<[!?/][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+_TAG = r"<(/?)([a-zA-Z][\w:-]*)({})>"
+TAG = re.compile(_TAG.format(r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"))
+#: Once a quote is found open at the page's end.
+LENIENT = re.compile(_TAG.format("[^>]*"))
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Parts of a name that say that the page has, or lacks, what another part names.
+STATES = set("has no with without is not show hide enable disable enabled disabled active open closed inside off on".split())
+COMMENTS = re.compile(r"(?:\d+\s+)?(?:(?:reader|user)s?'?\s+)?(?:comments?|replies|responses|comentarios|kommentare|commentaires)(?:\s*\(?\d+\)?)?\s*:?|(?:leave|post|write) a (?:comment|reply)|join the (?:discussion|conversation)", re.I)
+ADVERT = re.compile(r"(?:advertisement|advertorial|sponsored|paid (?:content|partnership|post)|promoted|anzeige|werbung|publicidad|publicité)\b(?=\s*(?:[:.|–—-]|$)|\s+(?:content|post|by)\b)", re.I)
 
-FEATURES = ("bias", "in_content", "in_boilerplate", "named_boilerplate", "named_content", "link_share", "ln_words", "sentence", "heading", "paragraph", "list_item", "hidden")
-#: Centre of the weights' prior, in FEATURES' order: what the classifier says where no block teaches it.
-PRIOR = np.array([-0.5, 2.5, -6.0, -7.0, 0.5, -3.0, 0.6, 0.5, 0.3, 0.7, -0.6, -8.0])
+#: What the classifier sees of a block, and the centre of its weights' prior: what it says where no block teaches it.
+FEATURES = ("bias", "link_share", "ln_words", "sentence", "heading", "paragraph", "list_item", "density", "edge")
+PRIOR = np.array([-0.5, -3.0, 0.6, 0.5, 0.3, 0.7, -0.6, 0.2, -0.3])
+#: Log-odds of being content that containers and labels add.
+EVIDENCE = {"content": 2.5, "boilerplate": -6.0, "named": -7.0, "named_content": 0.5, "hidden": -8.0, "advert": -14.0}
 
 
-@dataclass
-class Block:
-    path: tuple[int, ...]
-    x: np.ndarray
-    text: str
+class _Element:
+    """An open element; ``block`` is the innermost one around it (or itself) that is not inline, ``up`` the one around that."""
 
+    __slots__ = ("tag", "block", "up", "level", "marks", "holds_article")
 
-@dataclass
-class _Element:
-    tag: str
-    key: int
-    content: bool = False
-    boilerplate: bool = False
-    named: bool = False
-    named_content: bool = False
-    hidden: bool = False
+    def __init__(self, tag: str, parent: "_Element | None", marks: frozenset):
+        self.tag, self.marks, self.holds_article = tag, marks, False
+        if parent is not None and tag in INLINE:
+            self.block, self.up, self.level = parent.block, parent.up, parent.level
+        else:
+            self.block, self.up, self.level = self, parent and parent.block, parent.level + 1 if parent else 0
 
 
 @dataclass
-class _Open:
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-    stack: list[_Element] | None = None
-
-
-def _element(tag: str, attributes: str, key: int, parent: _Element) -> _Element:
-    words = set()
-    if "=" in attributes:
-        for found in NAMES.findall(attributes):
-            words.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(found)).lower()))
-    inside = parent.content or tag in CONTENT_TAGS
-    outer_header = not inside and (tag == "header" or "header" in words)
-    return _Element(
-        tag, key, inside, parent.boilerplate or tag in BOILERPLATE_TAGS or outer_header,
-        parent.named or bool(words & BOILERPLATE_WORDS), parent.named_content or bool(words & CONTENT_WORDS),
-        parent.hidden or bool(attributes and HIDDEN.search(attributes)),
-    )
-
-
-def _finish(block: _Open) -> Block | None:
-    text = " ".join(html.unescape("".join(block.parts)).split())
-    if not text:
-        return None
-    stack = block.stack
-    last, tags = stack[-1], {e.tag for e in stack}
-    x = np.array([
-        1, last.content, last.boilerplate, last.named, last.named_content, min(1.0, block.linked / len(text)), math.log1p(text.count(" ") + 1), text[-1] in ".!?…:;\"”)",
-        bool(tags & {"h1", "h2", "h3", "h4", "h5", "h6"}), "p" in tags, "li" in tags, last.hidden,
-    ], float)
-    return Block(tuple(e.key for e in stack if e.tag not in INLINE), x, text)
+class Block:
+    at: _Element
+    named: tuple[_Element, ...]
+    marks: frozenset
+    text: str
+    link_share: float
+    heading: bool
+    paragraph: bool
+    list_item: bool
+    noted: set[str] = field(default_factory=set)
+
+    def evidence(self) -> set[str]:
+        """Which of EVIDENCE hold for the block."""
+        return self.noted | self.marks | ({"named"} if any(not e.holds_article for e in self.named) else set())
+
+
+def _words(attributes: str) -> set[str]:
+    """What an element's class, id and role name: the last two parts of each name."""
+    found = set()
+    for name in " ".join("".join(x) for x in NAMES.findall(attributes)).split():
+        parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if parts and not STATES.intersection(parts):
+            found.update(parts[-2:])
+    return found
+
+
+def _marks(tag: str, words: set[str], parent: frozenset, attributes: str) -> frozenset:
+    found = set()
+    if tag in CONTENT_TAGS:
+        found.add("content")
+    if tag in BOILERPLATE_TAGS or "content" not in parent | found and (tag == "header" or "header" in words):
+        found.add("boilerplate")
+    if words & CONTENT_WORDS:
+        found.add("named_content")
+    if attributes and HIDDEN.search(attributes):
+        found.add("hidden")
+    return parent | found if found - parent else parent
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, tag or text, attributes): text, opened and closed elements, without those that are dropped."""
+    at, end, last, tag_of = 0, len(page), page.rfind(">"), TAG
+    closing: dict[str, int] = {}  # where an element's last end tag is
+
+    def closes(tag: str, start: int):
+        pattern = re.compile(rf"</{tag}\s*>", re.I)
+        if tag not in closing:
+            closing[tag] = max((m.start() for m in pattern.finditer(page)), default=-1)
+        return pattern.search(page, start) if closing[tag] >= start else None
+
+    while at < end:
+        if page[at] != "<":
+            after = page.find("<", at)
+            after = end if after < 0 else after
+            yield "text", page[at:after], ""
+            at = after
+            continue
+        if page.startswith("<!--", at):
+            after = page.find("-->", at + 4)
+            at = end if after < 0 else after + 3
+            continue
+        if at > last:
+            yield "text", page[at:], ""
+            return
+        found = tag_of.match(page, at)
+        if not found and tag_of is TAG and page[at + 1 : at + 3].lstrip("/")[:1].isalpha():
+            tag_of = LENIENT
+            found = tag_of.match(page, at)
+        if not found:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                at = page.find(">", at) + 1
+            else:
+                yield "text", "<", ""
+                at += 1
+            continue
+        shut, tag, attributes = found[1], found[2].lower(), found[3]
+        at = found.end()
+        if tag in RAW and not shut:
+            close = closes(tag, at)
+            at = close.end() if close else end
+        elif tag in DROPPED:
+            close = None if shut or attributes.endswith("/") else closes(tag, at)
+            at = close.end() if close else at
+        elif tag == "title" and not shut:
+            close = closes(tag, at)
+            after = page.find("<", at)
+            at = close.end() if close else end if after < 0 else after
+        elif tag not in RAW:
+            yield "shut" if shut else "open", tag, attributes
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The page's text blocks in order, with their places in the DOM and features."""
-    stack, found, open_, key = [_Element("", 0)], [], _Open(), 0
+    """The page's text blocks in order, with their places in the DOM and what is known of them."""
+    root = _Element("", None, frozenset())
+    stack, named, found, open_tags = [root], [], [], Counter()
+    parts: list[str] = []
+    linked, where = 0, None  # where: what was open when the block's text began
 
     def close() -> None:
-        nonlocal open_
-        if open_.parts and (block := _finish(open_)):
-            found.append(block)
-        open_ = _Open()
-
-    for token in TOKEN.finditer(page or ""):
-        tag = token[4]
-        if tag is None:
-            part = token[0]
-            if part[0] != "<" or part == "<":
-                if open_.stack is None:
-                    if part.isspace():
-                        continue
-                    open_.stack = list(stack)
-                open_.parts.append(part)
-                if any(e.tag == "a" for e in stack):
-                    open_.linked += len(part)
-            continue
-        tag = tag.lower()
-        if tag in DROPPED:
+        nonlocal parts, linked, where
+        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+        if text and where:
+            element, names, tags = where
+            found.append(Block(element.block, names, element.marks, text, min(1.0, linked / len(text)), any(tags[h] for h in HEADINGS), tags["p"] > 0, tags["li"] > 0))
+        parts, linked, where = [], 0, None
+
+    def pop() -> None:
+        element = stack.pop()
+        open_tags[element.tag] -= 1
+        if named and named[-1] is element:
+            named.pop()
+
+    for kind, tag, attributes in tokens(page or ""):
+        if kind == "text":
+            if where is None:
+                if tag.isspace():
+                    continue
+                where = (stack[-1], tuple(named), {k: open_tags[k] for k in (*HEADINGS, "p", "li")})
+            parts.append(tag)
+            if open_tags["a"]:
+                linked += len(tag)
             continue
         if tag == "br":
-            open_.parts.append(" ")
+            parts.append(" ")
             continue
         inline = tag in INLINE
         if not inline:
             close()
-        if token[3]:
-            if any(e.tag == tag for e in stack):
+        if kind == "shut":
+            if open_tags[tag]:
                 while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
+                    pop()
+                pop()
             continue
         if tag in VOID:
             continue
         if not inline:
-            shut = CLOSES.get(tag, ()) + ("p", "h1", "h2", "h3", "h4", "h5", "h6")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in shut:
-                    del stack[i:]
-                elif stack[i].tag not in INLINE:
-                    break
-        key += 1
-        if not token[5].endswith("/"):
-            stack.append(_element(tag, token[5], key, stack[-1]))
+            shut = CLOSES.get(tag, ()) + ("p", *HEADINGS)
+            if any(open_tags[x] for x in shut):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in shut:
+                        while len(stack) > i:
+                            pop()
+                    elif stack[i].tag not in INLINE:
+                        break
+        if attributes.endswith("/"):
+            continue
+        words = _words(attributes) if "=" in attributes else set()
+        element = _Element(tag, stack[-1], _marks(tag, words, stack[-1].marks, attributes))
+        stack.append(element)
+        open_tags[tag] += 1
+        if words & BOILERPLATE_WORDS:
+            named.append(element)
+        if tag in CONTENT_TAGS or tag == "body":
+            for e in named:
+                e.holds_article = True
     close()
+    return _noted(found)
+
+
+def _noted(found: list[Block]) -> list[Block]:
+    """Marks adverts by how they begin, and what follows a heading of comments under its parent, up to the next such heading."""
+    under = None
+    for b in found:
+        if ADVERT.match(b.text):
+            b.noted.add("advert")
+        parent = b.at.up if b.at.tag in HEADINGS else None
+        if parent is not None and COMMENTS.fullmatch(b.text):
+            under = parent
+        elif under is not None and parent is under:
+            under = None
+        if under is not None:
+            e = b.at
+            while e is not None and e.level > under.level:
+                e = e.up
+            if e is under:
+                b.noted.add("named")
+            else:
+                under = None
     return found
 
 
+def features(found: list[Block]) -> np.ndarray:
+    """One row of FEATURES per block."""
+    ln_words = np.array([math.log1p(b.text.count(" ") + 1) for b in found])
+    around = np.pad(ln_words, 1)
+    place = np.abs(2 * np.arange(len(found)) / max(1, len(found) - 1) - 1)
+    return np.column_stack([
+        np.ones(len(found)), [b.link_share for b in found], ln_words, [b.text[-1] in ".!?…:;\"”)" for b in found], [b.heading for b in found], [b.paragraph for b in found],
+        [b.list_item for b in found], (around[:-2] + around[2:]) / 2, place,
+    ]).astype(float)
+
+
 def minimum_cut(content: np.ndarray, boilerplate: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
     """Whether each node stays on the source's side. A node costs boilerplate[i] there and content[i] on the other;
     an edge costs its weight when cut. Dinic's algorithm; only the difference of a node's costs needs an edge."""
@@ -212,25 +325,29 @@ def minimum_cut(content: np.ndarray, boilerplate: np.ndarray, edges: list[tuple[
                 at[path[-1][0] if path else s] += 1
 
 
-def _distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+def _distance(a: _Element, b: _Element) -> int:
+    """How many steps up and down the DOM lie between two elements."""
+    steps = 0
+    while a is not b:
+        if a.level >= b.level:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return steps
 
 
 def main_text(page: str | None, weights: np.ndarray, smoothness: float = 1.5) -> str:
     found = blocks(page)
     if not found:
         return ""
-    z = np.clip(np.stack([b.x for b in found]) @ weights, -30, 30)
+    z = features(found) @ weights + [sum(EVIDENCE[k] for k in b.evidence()) for b in found]
+    z = np.clip(z, -30, 30)
     edges, last_of = [], {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, smoothness / (1 + _distance(found[i - 1].path, b.path))))
-        parent = b.path[:-1]
+            edges.append((i - 1, i, smoothness / (1 + _distance(found[i - 1].at, b.at))))
+        parent = id(b.at.up)
         if last_of.get(parent, i - 1) < i - 1:
             edges.append((last_of[parent], i, smoothness / (2 + i - last_of[parent])))
         last_of[parent] = i
@@ -240,21 +357,21 @@ def main_text(page: str | None, weights: np.ndarray, smoothness: float = 1.5) ->
 
 
 def _taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features and labels of the blocks whose containers tell; each once with and once without its containers' features."""
+    """Labels by their containers and features of the blocks whose containers tell."""
     for batch in batches:
         for page in batch.column(0).to_pylist():
-            rows = []
-            for b in blocks(page):
-                bad, good = bool(b.x[2] or b.x[3]), bool(b.x[1])
-                if bad or good:
-                    bare = b.x.copy()
-                    bare[1:3] = 0
-                    rows += [[float(not bad), *b.x], [float(not bad), *bare]]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["row"])
-
-
-def fit(pages: DataFrame, sample: int = 300, ridge: float = 20.0, steps: int = 25) -> np.ndarray:
+            found = blocks(page)
+            if not found:
+                continue
+            evidence = [b.evidence() for b in found]
+            bad = np.array([bool(e & {"boilerplate", "named", "hidden", "advert"}) for e in evidence])
+            told = bad | np.array(["content" in e for e in evidence])
+            rows = np.column_stack([~bad, features(found)])[told].astype(float)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["row"])
+
+
+def fit(pages: DataFrame, sample: int = 300, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Weights of the logistic classifier: Newton steps on the sample's blocks, shrunk towards PRIOR."""
     chosen = pages.select("html").filter(F.col("html").isNotNull()).orderBy(F.xxhash64("html"), "html").limit(sample)
     rows = chosen.mapInArrow(_taught, "row array<double>").toPandas()["row"]

@@ -100,7 +100,8 @@ def train(sample: pd.DataFrame, idf: np.ndarray, epochs: int = 3) -> LanguageMod
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """Whether a row is held out; one without doc_id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +138,8 @@ def fit(labelled: DataFrame, sample: int = 600) -> LanguageModel:
     return train(ranked.toPandas().sort_values(["rank", "lang"]).reset_index(drop=True), idf)
 
 
-def identify(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named, lang_pred and score of every row of docs."""
+def identify(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns named, and the language and score of every row of docs under names that are not among them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +147,11 @@ def identify(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = (
             found = [shared.value.predict(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
-                names=[*columns, "lang_pred", "score"],
+                names=[*columns, *names],
             )
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    return docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_text")).mapInArrow(predict, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def language_id(docs: DataFrame, sample: int = 600) -> DataFrame:

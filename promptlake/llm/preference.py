@@ -6,11 +6,12 @@ points of the completion that a loss may count: the texts of the target role's t
 
 Defined cases: null roles and texts count as empty; pairs of which one side has no turns get an empty prompt and an
 empty completion there; equal sides keep both completions empty; repeated turns are kept, in the order of their role
-and text where ``turn`` ties or is null (nulls first); an empty table gives an empty result; other columns are not read.
+and text where ``turn`` ties or is null (nulls first); turns without key are of no conversation and are left out; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,10 +73,10 @@ def swapped_replies(conversations: DataFrame, target: str = "assistant", ranges:
     turns = conversations.select("conv_id", "turn", "role", "text").filter(F.col("conv_id").isNotNull())
     replies = turns.filter(F.col("role") == target).groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
     replies = replies.select("conv_id", F.col("last.turn").alias("last_turn"), F.col("last.text").alias("last_text"))
-    # the next conversation: within a range of ids by a window, across ranges by the ranges' first rows
-    low, high = replies.agg(F.min("conv_id"), F.max("conv_id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    placed = replies.withColumn("range", F.floor((F.col("conv_id") - F.lit(low or 0)) / width))
+    # the next conversation: within a range of ids by a window, across ranges by the ranges' first rows; ranges of about equal numbers of rows
+    bounds = replies.agg(F.percentile_approx("conv_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
+    held = F.lit(np.array(sorted(set(bounds)) or [0], np.int64))
+    placed = replies.withColumn("range", F.size(F.filter(held, lambda b: b < F.col("conv_id"))))
     firsts = placed.groupBy("range").agg(F.min_by("last_text", "conv_id").alias("first_text"))  # at most `ranges` rows
     cycle = Window.orderBy("range")
     whole = cycle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -2,16 +2,18 @@
 
 Texts fall into units that no piece crosses (a run of the space mark with the characters after it, or a line break). For each distinct
 unit of the corpus, substrings of up to the longest piece are exploded and equi-joined to the piece table; the edges found
-are grouped by unit and folded by a higher-order aggregate. Units then go back to their documents by join.
+are grouped by unit and folded by a higher-order aggregate. Units then go back to their documents by join. Characters without a
+piece become bytes.
 
-Two folds: for unigram models Viterbi, the path of greatest summed score; for BPE models, whose scores only rank merges, the
-merge of the best adjacent pair until no edge spans one. The second is what the library does with such a model;
-Viterbi over a BPE model's ranks gives valid but different ids (README). Characters without a piece become bytes.
+The fold is Viterbi: edge by edge in the order of their ends, with the best scores of the last ends and what leads to each, the path
+of greatest summed score. The piece table of a unigram model gives the library's ids. A BPE model's scores rank merges instead;
+their sum has few and common pieces as well, and decodes to the same text, but the library's ids come from merging the best
+adjacent pair until none is left, which is the other fold (``unigram=False``).
 
 The piece table, fixed by the model file, is the only thing broadcast.
 
-The folds look at every edge of a unit in each step, which suits words. Units over ``LONG`` characters (text without spaces)
-are merged or searched by a small helper inside tasks instead, with a heap or a table of ends, to the same result.
+The folds copy what they have of a unit in each step, which suits words. Units over ``LONG`` characters (text without spaces)
+are searched or merged by a small helper inside tasks instead, with a table of ends or a heap, to the same result.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; rows that share a doc_id each get the ids of
 their own text; the leftmost of equally good merges is taken first, and of equal Viterbi paths the one with the longer last piece; an
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import documents, let, materialize
 
 SPACE_MARK = "▁"
-LONG = 48
+LONG = 512
 
 
 def default_model() -> str:
@@ -60,13 +62,13 @@ def units(text: Column) -> Column:
 
 
 def lattice(found: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """unit, and its edges (start, size, id, score) by start and size."""
+    """unit, and its edges (end, size, start, id, score) by end and size."""
     size = F.length("unit")
     starts = found.select("unit", F.explode(F.sequence(F.lit(1), size)).alias("start"))
     spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start") + 1))).alias("size"))
     table = F.broadcast(pieces.filter("NOT is_byte").select("piece", "id", "score"))
     edges = spans.withColumn("piece", F.substring("unit", F.col("start"), F.col("size"))).join(table, "piece", "left").filter("id IS NOT NULL OR size = 1")
-    edge = F.struct("start", "size", "id", "score")
+    edge = F.struct((F.col("start") + F.col("size") - 1).alias("end"), "size", "start", "id", "score")
     return edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
@@ -96,23 +98,46 @@ def merged(edges: Column, length: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), length), start, step, lambda s: s["symbols"])
 
 
-def viterbi(edges: Column, length: Column, unknown: float = -1e4) -> Column:
-    """Unigram: symbols of the path of greatest summed score; a character without a piece costs ``unknown``."""
-    none = F.array().cast("array<struct<start:int,size:int,id:int>>")
-    zero = F.array(F.struct(F.lit(0.0).alias("score"), none.alias("path")))
+def viterbi(edges: Column, length: Column, longest: int, unknown: float = -1e4) -> Column:
+    """Unigram: symbols of the path of greatest summed score; a character without a piece costs ``unknown``.
 
-    def step(states: Column, end: Column) -> Column:
-        arriving = F.filter(edges, lambda e: e["start"] + e["size"] - 1 == end)
+    While edges end at ``end``, best, size and id are those of the best path to there; scores are the best ones of the ``longest``
+    ends before it, and back has for each of all ends before it the size and id of the last symbol on its best path.
+    """
+    def step(state: Column, e: Column) -> Column:
+        on = e["end"] != state["end"]
+        scores = F.when(on, F.concat(state["scores"], F.array(state["best"]))).otherwise(state["scores"])
+        scores = let(scores, lambda x: F.when(F.size(x) > longest, F.slice(x, 2, longest)).otherwise(x))
 
-        def through(e: Column) -> Column:
-            before = F.get(states, e["start"] - 1)
-            symbol = F.struct(e["start"].alias("start"), e["size"].alias("size"), e["id"].alias("id"))
-            return F.struct((before["score"] + F.coalesce(e["score"], F.lit(unknown))).alias("score"), e["size"].alias("size"), F.concat(before["path"], F.array(symbol)).alias("path"))
+        def better(s: Column) -> Column:
+            score = s["score"]
+            wins = on | (score >= state["best"])
+            back = F.when(on, F.concat(state["back"], F.array(F.struct(state["size"].alias("size"), state["id"].alias("id"))))).otherwise(state["back"])
+            return F.struct(
+                e["end"].alias("end"), F.when(wins, score).otherwise(state["best"]).alias("best"), F.when(wins, e["size"]).otherwise(state["size"]).alias("size"),
+                F.when(wins, e["id"]).otherwise(state["id"]).alias("id"), s["scores"].alias("scores"), back.alias("back"),
+            )
 
-        best = F.array_max(F.transform(arriving, through))
-        return F.concat(states, F.array(let(best, lambda b: F.struct(b["score"].alias("score"), b["path"].alias("path")))))
+        arrived = let(scores, lambda x: F.struct((F.element_at(x, -e["size"]) + F.coalesce(e["score"], F.lit(unknown))).alias("score"), x.alias("scores")))
+        return let(arrived, better)
 
-    return F.aggregate(F.sequence(F.lit(1), length), zero, step, lambda s: F.element_at(s, -1)["path"])
+    def trace(back: Column) -> Column:
+        def symbol(state: Column, _: Column) -> Column:
+            def before(b: Column) -> Column:
+                found = F.struct((state["at"] - b["size"] + 1).alias("start"), b["size"].alias("size"), b["id"].alias("id"))
+                return F.struct((state["at"] - b["size"]).alias("at"), F.concat(F.array(found), state["path"]).alias("path"))
+
+            return F.when(state["at"] > 0, let(F.get(back, state["at"]), before)).otherwise(state)
+
+        none = F.array().cast("array<struct<start:int,size:int,id:int>>")
+        return F.aggregate(F.sequence(F.lit(1), length), F.struct(length.alias("at"), none.alias("path")), symbol, lambda s: s["path"])
+
+    zero = F.struct(
+        F.lit(0).alias("end"), F.lit(0.0).alias("best"), F.lit(0).alias("size"), F.lit(None).cast("int").alias("id"),
+        F.array().cast("array<double>").alias("scores"), F.array().cast("array<struct<size:int,id:int>>").alias("back"),
+    )
+    ends = F.aggregate(edges, zero, step, lambda s: F.concat(s["back"], F.array(F.struct(s["size"].alias("size"), s["id"].alias("id")))))
+    return let(ends, trace)
 
 
 def merged_long(unit: str, table: dict[str, tuple[int, float]]) -> list[str]:
@@ -160,7 +185,7 @@ def encode_units(found: DataFrame, pieces: DataFrame, unigram: bool) -> DataFram
     table = F.array(*[F.lit(bytes_.get(f"{b:02X}", 0)) for b in range(256)])
     of_bytes = lambda h: F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.get(table, F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int")))
     ids = lambda s: F.when(s["id"].isNotNull(), F.array(s["id"])).otherwise(of_bytes(F.hex(F.encode(F.substring(F.col("unit"), s["start"], F.lit(1)), "utf-8"))))
-    folded = (viterbi if unigram else merged)(F.col("edges"), F.length("unit"))
+    folded = viterbi(F.col("edges"), F.length("unit"), longest) if unigram else merged(F.col("edges"), F.length("unit"))
     symbols = lattice(found.filter(F.length("unit") <= LONG), pieces, longest).select("unit", folded.alias("symbols"))
     short = symbols.select("unit", F.flatten(F.transform("symbols", ids)).alias("ids"))
 
@@ -180,7 +205,7 @@ def encode_units(found: DataFrame, pieces: DataFrame, unigram: bool) -> DataFram
     return short.unionByName(found.filter(F.length("unit") > LONG).mapInArrow(run, "unit string, ids array<int>"))
 
 
-def encode(docs: DataFrame, model: str | None = None, unigram: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, unigram: bool = True) -> DataFrame:
     """row (a number of the row), doc_id and ids of every row of docs."""
     pieces = piece_table(docs.sparkSession, model or default_model())
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
@@ -192,12 +217,13 @@ def encode(docs: DataFrame, model: str | None = None, unigram: bool = False) ->
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """encoded (row, ids) with the text that the ids stand for."""
+    """encoded (ids) with the text that the ids stand for. The piece table joins as one row: an array with an entry per id."""
     pieces = piece_table(encoded.sparkSession, model or default_model()).select("id", "hex")
-    parts = encoded.select("row", F.posexplode("ids").alias("position", "id")).join(F.broadcast(pieces), "id")
-    text = F.decode(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "hex"))), lambda x: x["hex"]), "")), "utf-8")
-    by_row = parts.groupBy("row").agg(F.substring(text, 2, 2**31 - 1).alias("text"))
-    return encoded.join(by_row, "row", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    by_id = pieces.agg(F.map_from_entries(F.collect_list(F.struct("id", "hex"))).alias("known"), F.max("id").alias("last"))
+    by_id = by_id.select(F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.element_at("known", i), F.lit(""))).alias("pieces"))
+    text = F.decode(F.unhex(F.array_join(F.transform("ids", lambda i: F.get("pieces", i)), "")), "utf-8")
+    joined = encoded.join(F.broadcast(materialize(by_id, "pieces-by-id")))
+    return joined.withColumn("text", F.substring(F.coalesce(text, F.lit("")), 2, 2**31 - 1)).drop("pieces")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

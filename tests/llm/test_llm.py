@@ -7,6 +7,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -90,7 +91,7 @@ def test_quality_rules_edges(spark):
 def paragraphs(text):
     found = set()
     for line in (text or "").split("\n"):
-        for x in re.split("(?<=[.!?]) ", line) if len(line) > fp.LONG else [line]:
+        for x in re.split("(?<=[.!?]) ", line):
             if x.strip(" \t\n\x0b\f\r"):
                 found.add(x.strip(" \t\n\x0b\f\r"))
     return found
@@ -110,6 +111,57 @@ def test_fingerprints(spark, sf_dir, edges):
         assert math.isclose(out[i].near_next, jaccard(paragraphs(text), paragraphs(after)))
 
 
+def peeled(a, b):
+    """How many digests differ between two fingerprints, by peeling what they say; None where their tables do not peel."""
+    import xxhash
+
+    def read(x):
+        cells = [c.split(".") if c else ("0", "0", "0") for c in x.split(":")[1].split(",")]
+        return [[(int(n, 16) + 2**31) % 2**32 - 2**31, int(k, 16), int(c, 16)] for n, k, c in cells]
+
+    x, y = read(a), read(b)
+    if len(x) != len(y):
+        return None
+    cells = [[n - m, k ^ q, c ^ d] for (n, k, c), (m, q, d) in zip(x, y)]
+    check = lambda key: xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
+    found = 0
+    while any(n or k or c for n, k, c in cells):
+        single = next(((t, n, k) for t, (n, k, c) in enumerate(cells) if abs(n) == 1 and check(k) == c), None)
+        if single is None:
+            return None
+        at, n, key = single
+        signed = key - 2**64 if key >= 2**63 else key
+        for j, bits in enumerate((signed, key >> 21, key >> 42)):
+            cell = cells[at // 24 * 24 + 8 * j + bits % 8]
+            cell[0], cell[1], cell[2] = cell[0] - n, cell[1] ^ key, cell[2] ^ check(key)
+        found += 1
+    return found
+
+
+def test_likeness_is_told_by_the_returned_fingerprints(spark, sf_dir):
+    """Of equal texts they are equal, and where the difference is small, what the strings say gives the likeness."""
+    told, by_text = 0, defaultdict(set)
+    texts = {r.doc_id: r.text for r in documents(spark, sf_dir).collect()}
+    for r in fp.document_fingerprints(documents(spark, sf_dir)).collect():
+        by_text[texts[r.doc_id]].add(r.fingerprint)
+        both = sum(int(x.split(":")[0]) for x in (r.fingerprint, r.edited_fingerprint))
+        d = peeled(r.fingerprint, r.edited_fingerprint)
+        if d is not None and both:
+            told += 1
+            assert math.isclose(r.near_edited, (both - d) / (both + d))
+    assert told > 20 and all(len(x) == 1 for x in by_text.values())
+
+
+def test_retries_with_other_hashes(spark, monkeypatch):
+    """Tables too narrow to peel, then seeded ones that do."""
+    monkeypatch.setattr(fp, "RETRIES", ((1, 0), (2, 1), (64, 2)))
+    rows = [(i, "\n".join(f"line {j} of {i if j % 3 else 0}" for j in range(15 * i)), "en", "a") for i in range(6)]
+    out = {r.doc_id: r for r in fp.document_fingerprints(frame(spark, rows)).collect()}
+    for k, (i, text, *_) in enumerate(rows):
+        a, b = paragraphs(text), paragraphs(rows[(k + 1) % 6][1])
+        assert math.isclose(out[i].near_next, len(a & b) / len(a | b) if a | b else 1.0)
+
+
 @pytest.mark.parametrize("length", (200, 700, 790, 810, 900, 1600))
 def test_fingerprints_of_one_line(spark, length):
     """An edit of half a line leaves the other half's sentences in common, on both sides of 800 characters and across."""
@@ -256,7 +308,6 @@ def check_packing(out, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(pk.default_vocabulary())
-    tokenizer.encode_special_tokens = True
     bins, pieces = defaultdict(list), defaultdict(list)
     for r in out:
         bins[r.sequence_id].append((r.offset, r.length))
@@ -290,6 +341,26 @@ def test_packing_edges(spark):
     assert pk.pack(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("text", ["before <|endoftext|> after", "a" + " " * 49_999 + "b", " " * 50_000 + "x", "a" + " " * 50_001 + "b", "\n \t" * 30_000, "a" + " " * 1_000_000 + "b"])
+def test_ids_are_those_of_the_tokenizers_library(text):
+    """With an added token in the text, and on both sides of the length at which runs of white space go to the library."""
+    from tokenizers import Tokenizer
+
+    assert pk._encoder(pk.default_vocabulary())(text) == Tokenizer.from_file(pk.default_vocabulary()).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_beats_best_fit():
+    """A histogram that best-fit decreasing packs into more bins than the bound, which the search meets."""
+    rng = random.Random(11)
+    counts = Counter()
+    for _ in range(150):  # bins that are full
+        at = sorted(rng.sample(range(1, 1024), rng.choice([1, 1, 2])))
+        counts.update(b - a for a, b in zip([0, *at], [*at, 1024]))
+    best = pk.best_fit(dict(counts), 1024)
+    found = pk.complete_bins(dict(counts), 1024)
+    assert sum(n for _, n in found) <= min(sum(n for _, n in best) - 1, 151) and pk.least_bins(dict(counts), 1024) == 150
+
+
 def fewest(sizes, capacity):
     best = [len(sizes)]
 
@@ -424,6 +495,44 @@ def test_html_elements_without_end_tags(page, text):
     assert he.main_text(page % words, he.PRIOR) == words + text
 
 
+ONE, TWO = "A first paragraph with enough words to be read and kept.", "The second paragraph goes on with more of the story, and ends here."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='single has-sidebar'><article><p>{0}</p><p>{1}</p></article></body>",
+        "<body class='sidebar'><article><p>{0}</p><p>{1}</p></article></body>",
+        "<body><div class='page no-sidebar share-enabled'><p>{0}</p><p>{1}</p></div></body>",
+        "<div class='sidebar'><div><main><p>{0}</p><p>{1}</p></main></div></div><div class='site-sidebar'><p>Another story of the day, read it now.</p></div>",
+        "<article><p>{0}</p><svg width='1'/><p>{1}</p></article>",
+        "<article><p>{0}</p><p>{1}</p><section><h2>3 Comments</h2><p>I liked this very much, thank you for it.</p><p>So did I, my friend.</p></section></article>",
+        "<article><p>{0}</p><p>Sponsored: buy one, get one free today at our shop.</p><p>{1}</p></article>",
+    ],
+)
+def test_html_names_comments_and_adverts(page):
+    assert he.main_text(page.format(ONE, TWO), he.PRIOR) == f"{ONE}\n{TWO}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ['<a b="' * 8000, '<a b="' * 8001 + ">x", "<svg>" * 20000 + "<p>x</p>", "<div>" * 8000 + "<p>A word here.</p></div>" * 8000, ("<b>" + "<p>w w</p>") * 4000, '<div><p class="x>some words here <b>and there</p><li>' * 100_000],
+    ids=["quotes", "odd-quotes", "open-elements", "deep", "open-inline", "5-MB"],
+)
+def test_html_broken_pages_take_seconds(page):
+    start = time.time()
+    he.main_text(page, he.PRIOR)
+    assert time.time() - start < 20
+
+
+def test_html_classifier_sees_nothing_of_the_containers(spark, sf_dir):
+    """The same block in an article and in a menu has the same features, and the fitted weights still tell content."""
+    x, y = he.blocks(f"<article><p>{ONE}</p></article>"), he.blocks(f"<div class='menu'><p>{ONE}</p></div>")
+    assert (he.features(x) == he.features(y)).all() and x[0].evidence() != y[0].evidence()
+    w = dict(zip(he.FEATURES, he.fit(table(spark, sf_dir, "pages"))))
+    assert w["link_share"] < 0 and w["paragraph"] > 0
+
+
 def test_minimum_cut_is_least():
     rng = random.Random(3)
     for _ in range(30):
@@ -464,13 +573,41 @@ def test_sentencepiece_matches_the_library(spark, sf_dir):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=sl.default_model())
     docs = documents(spark, sf_dir).limit(60).unionByName(frame(spark).select("doc_id", "text", "lang", "source", "n_chars"))
-    out = sl.decode(sl.encode(docs)).join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("source_text")).distinct(), "doc_id")
+    out = sl.decode(sl.encode(docs, unigram=False)).join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("source_text")).distinct(), "doc_id")
     for r in out.collect():
         if r.doc_id > max(i for i, *_ in EDGES):
             assert r.ids == sp.encode(r.source_text) and r.text == r.source_text
-    for r in sl.decode(sl.encode(frame(spark))).collect():
+    for r in sl.decode(sl.encode(frame(spark), unigram=False)).collect():
         text = {i: t or "" for i, t, _, _ in EDGES}[r.doc_id]
         assert r.ids == sp.encode(text) and r.text == text
+
+
+def best_path(unit, known, longest=16):
+    """Plain Viterbi over all substrings; of equal scores the longer last piece."""
+    table = [(0.0, 0)]
+    for end in range(1, len(unit) + 1):
+        steps = ((n, known[unit[end - n : end]][1] if unit[end - n : end] in known else -1e4) for n in range(1, min(longest, end) + 1) if n == 1 or unit[end - n : end] in known)
+        table.append(max((table[end - n][0] + score, n) for n, score in steps))
+    out, end = [], len(unit)
+    while end:
+        out.append(unit[end - table[end][1] : end])
+        end -= table[end][1]
+    return out[::-1]
+
+
+def test_sentencepiece_query_is_viterbi_and_round_trips(spark, sf_dir):
+    docs = documents(spark, sf_dir).limit(40).unionByName(frame(spark).select("doc_id", "text", "lang", "source", "n_chars"))
+    pieces = sl.piece_table(spark, sl.default_model())
+    known = {r.piece: (r.id, r.score) for r in pieces.filter("NOT is_byte").collect()}
+    raw = {r["hex"].upper(): r.id for r in pieces.filter("is_byte").collect()}
+    texts = defaultdict(set)
+    for r in docs.collect():
+        texts[r.doc_id].add(r.text or "")
+    for r in sl.decode(sl.encode(docs)).collect():
+        assert r.text in texts[r.doc_id]
+        marked = "▁" + r.text.replace(" ", "▁") if r.text else ""
+        parts = [x for unit in re.findall("\n|▁*[^▁\n]+|▁+", marked) for x in best_path(unit, known)]
+        assert r.ids == [i for x in parts for i in ([known[x][0]] if x in known else [raw[f"{b:02X}"] for b in x.encode()])]
     assert sl.encode(frame(spark, [])).count() == 0
 
 
@@ -493,9 +630,10 @@ def test_viterbi(spark):
 def test_long_units_agree_with_the_folds(spark):
     pieces = sl.piece_table(spark, sl.default_model()).filter("NOT is_byte")
     known = {r.piece: (r.id, r.score) for r in pieces.collect()}
-    units = ["▁internationalization", "▁antidisestablishmentarianism", "aaaaaaa", "▁naïveté"]
+    rng = random.Random(4)
+    units = ["▁internationalization", "▁antidisestablishmentarianism", "aaaaaaa", "▁naïveté", *("".join(rng.choice("etaoinshrdlu漢é") for _ in range(sl.LONG + k)) for k in (-1, 0, 1))]
     edges = sl.lattice(spark.createDataFrame([(x,) for x in units], "unit string"), pieces.withColumn("is_byte", F.lit(False)), 16)
-    for fold, helper in ((sl.merged, sl.merged_long), (sl.viterbi, lambda u, t: sl.viterbi_long(u, t, 16))):
+    for fold, helper in ((sl.merged, sl.merged_long), (lambda e, n: sl.viterbi(e, n, 16), lambda u, t: sl.viterbi_long(u, t, 16)), (lambda e, n: sl.viterbi(e, n, 16), best_path)):
         for r in edges.select("unit", fold(F.col("edges"), F.length("unit")).alias("s")).collect():
             assert [r.unit[x.start - 1 : x.start - 1 + x.size] for x in r.s] == helper(r.unit, known)
 
@@ -523,14 +661,14 @@ def lm_brute(texts):
 def test_lm_scoring(spark, sf_dir):
     docs = documents(spark, sf_dir)
     want = lm_brute({r.doc_id: r.text or "" for r in docs.collect()})
-    for r in lm.score(docs).collect():
+    for r in lm.score(docs, least=2, order=2).collect():
         assert r.n_words == want[r.doc_id][0] and math.isclose(r.log_score, want[r.doc_id][1], abs_tol=1e-4)
 
 
 def test_lm_scoring_edges(spark):
     rows = EDGES[:5] + EDGES[6:]
     want = lm_brute({i: t or "" for i, t, _, _ in rows})
-    for r in lm.score(frame(spark, rows)).collect():
+    for r in lm.score(frame(spark, rows), least=2, order=2).collect():
         n, score = want[r.doc_id]
         assert r.n_words == n and (r.log_score is None) == (n == 0) and (n == 0 or math.isclose(r.log_score, score, abs_tol=1e-3))
     assert lm.score(frame(spark)).count() == len(EDGES) and lm.score(frame(spark, [])).count() == 0
@@ -549,7 +687,7 @@ def backoff_brute(texts, least, order):
     return {i: (len(v), sum(ln(tuple(v[max(0, k - order + 1) : k + 1])) for k in range(len(v))) if v else None) for i, v in w.items()}
 
 
-@pytest.mark.parametrize("least, order", ((1, 3), (2, 3), (1, 1), (3, 4)))
+@pytest.mark.parametrize("least, order", ((1, 3), (2, 3), (1, 1), (3, 4), (1, 2), (1, 4)))
 def test_lm_scoring_orders(spark, least, order):
     rng = random.Random(order)
     texts = {i: " ".join(rng.choice("abcdef") * rng.randint(1, 2) for _ in range(rng.randint(0, 40))) for i in range(30)}
@@ -559,6 +697,29 @@ def test_lm_scoring_orders(spark, least, order):
         assert r.n_words == n and (n == 0 or math.isclose(r.log_score, score, abs_tol=1e-4))
 
 
+@pytest.mark.parametrize("hot", (0, 5, 100_000))
+def test_lm_scoring_hot_contexts(spark, monkeypatch, hot):
+    """One pair of words holds a third of all; its counts are taken apart, or in the buckets, to the same scores."""
+    rng, used = random.Random(hot), []
+    monkeypatch.setattr(lm, "HOT", hot)
+    found = lm._hot_keys
+    monkeypatch.setattr(lm, "_hot_keys", lambda *x: used.append(found(*x)) or used[-1])
+    texts = {i: " ".join("of the " + rng.choice("abcdefghij") for _ in range(rng.choice([0, 1, 5, 30]))) + rng.choice(["", " of", " of the", " z"]) for i in range(120)}
+    rows = [(i, t, "en", "a") for i, t in texts.items()]
+    want = backoff_brute(texts, 1, 3)
+    for r in lm.score(frame(spark, rows)).collect():
+        n, score = want[r.doc_id]
+        assert r.n_words == n and (n == 0 or math.isclose(r.log_score, score, abs_tol=1e-4))
+    assert (len(used[0]) > 0) == (hot > 0)
+    # rows that share a doc_id are one document, rows without one count
+    double = lm.score(frame(spark, rows + rows[:40] + [(None, t, "en", "a") for t in list(texts.values())[40:]])).collect()
+    assert len(double) == 240 and all(r.n_words == (0 if r.doc_id is None else want[r.doc_id][0] * (1 + (r.doc_id < 40))) for r in double)
+    for r in double:
+        if r.doc_id is not None and want[r.doc_id][0]:
+            n, score = want[r.doc_id]
+            assert math.isclose(r.log_score, score * (1 + (r.doc_id < 40)), abs_tol=1e-4)
+
+
 def test_lm_scoring_query_keeps_all_counts(spark, sf_dir):
     want = backoff_brute({r.doc_id: r.text or "" for r in documents(spark, sf_dir).collect()}, 1, 3)
     for r in lm.op2_lm_scoring(spark, sf_dir).collect():
@@ -599,6 +760,22 @@ def test_pipeline_judges_rows(spark):
     assert sorted(found.select("doc_id", "text").collect(), key=str) == sorted([(None, good[0]), (5, good[1]), (3, good[2]), (3, good[3]), (4, good[4])], key=str)
 
 
+def test_pipeline_edges_and_clashing_names(spark, sf_dir):
+    """Null, empty, blank, repeated and long texts, no rows, and columns named as the stages name theirs."""
+    import corpus_pipeline as cp
+
+    names = ("score", "lang_pred", "_text", "_row", "row", "kept", "component_id", "n_words", "bucket", "least")
+    clashing = lambda df: df.withColumns({n: F.lit(n) for n in names})
+    for docs in (clashing(frame(spark)), clashing(frame(spark, [])), clashing(documents(spark, sf_dir).limit(80))):
+        before = Counter(map(str, docs.collect()))
+        for _, stage in cp.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns and not Counter(map(str, out.collect())) - before
+        assert {r.doc_id for r in cp.STAGES[-1][1](spark, docs, sf_dir).select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+    kept = cp.keep_one_of_each_group(spark, frame(spark), "").collect()
+    assert len(kept) == len({(x[1] or "").lower().split() and " ".join((x[1] or "").lower().split()) or x[0] for x in EDGES})
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as cp
 
@@ -608,7 +785,7 @@ def test_pipeline(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert set(out.columns) == columns
         if stage is cp.keep_one_of_each_group:
-            want = brute_components([(r.doc_id, r.text) for r in docs.collect()])
+            want = brute_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
             kept = {i for i, (_, c) in want.items() if i == c}
             assert {r.doc_id for r in out.collect()} == kept
         docs = cp.materialize(out, "test-stage")
