@@ -23,32 +23,51 @@ from promptlake.llm.quality_rules import quality_rules
 LEAST_SCORE = 0.3
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with a number for each row as _row, and the same with that number for doc_id. Written once, so that it stays."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    return rows, rows.withColumn("doc_id", F.col("_row")).drop("_row")
+def free(docs: DataFrame, name: str) -> str:
+    """name, with underscores in front until docs has no such column."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """docs with a number for each row, doc_id and text with that number for doc_id, and the number's name. Written once, so that it stays."""
+    row = free(docs, "_row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    return rows, rows.withColumn("doc_id", F.col(row)).drop(row), row
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, by_number = numbered(docs)
-    kept = quality_rules(by_number).filter("kept").select(F.col("doc_id").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    """The rows that quality_rules keeps. Null, empty and short texts go; each row is judged by its own text, also where rows repeat
+    or share a doc_id; an empty table stays empty; all columns of docs are kept, whatever their names."""
+    rows, by_number, row = numbered(docs)
+    kept = quality_rules(by_number).filter("kept").select(F.col("doc_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs, fit(docs.filter(~held_out())), tuple(docs.columns))
-    return found.filter((found["lang_pred"] != UNKNOWN) & (found["score"] >= LEAST_SCORE)).select(*docs.columns)
+    """The rows whose language is known with LEAST_SCORE at least. Null texts and texts without letters go, as do all rows where no
+    language was learned; repeated rows share their verdict; an empty table stays empty; all columns of docs are kept, whatever their names."""
+    names = free(docs, "lang_pred"), free(docs, "score")
+    found = identify(docs, fit(docs.filter(~held_out())), tuple(docs.columns), names)
+    return found.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, by_number = numbered(docs)
-    groups = jaccard_join(by_number, n=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(least.alias("least")).select("least._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    """One row of each group of near-duplicates (five words, 0.8): that with the least doc_id, null after all others, any of those
+    that repeat it. Null texts and texts without words are in no group and stay; an empty table stays empty; all columns of
+    docs are kept, whatever their names."""
+    rows, by_number, row = numbered(docs)
+    groups = jaccard_join(by_number, n=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col(row).alias("row"), "doc_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = ids.join(groups, "row").groupBy("component_id").agg(least.alias("least")).select(F.col("least.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows' token pieces in sequences of 1024 at most. Null and empty texts are packed as the end token alone, repeated rows
+    as often as they occur; an empty table stays empty; other columns are not read."""
     return pack(docs)
 
 
