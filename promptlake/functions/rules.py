@@ -6,6 +6,8 @@ of words.
 
 from __future__ import annotations
 
+import re
+
 # Connectives that are rewritten to one word, in the order in which they apply.
 LOGICAL_EN = (
     ("because|since|as|due to|owing to", "as"),
@@ -44,6 +46,7 @@ PHRASES_EN = (
     ("whether or not", "whether"), ("each and every", "each"), ("first and foremost", "first"), ("any and all", "all"), ("basic essentials?", "essentials"), ("null and void", "void"),
     ("for example", "e.g."), ("for instance", "e.g."), ("that is", "i.e."), ("in other words", "i.e."), ("such as", "like"), ("in particular", "notably"), ("especially", "esp."), ("particularly", "esp."),
 )
+# Words that are dropped.
 FLUFF_EN = (("basically|actually|literally|essentially|virtually|practically|relatively|fundamentally|quite|rather|somewhat|really|very", ""),)
 # Polite phrases and instructions that a prompt can do without; patterns, applied in order.
 POLITE_EN = (
@@ -53,6 +56,7 @@ POLITE_EN = (
     (r"your\s+(task|job|goal)\s+is\s+to", ""), (r"the\s+(task|goal|objective)\s+is\s+to", ""), (r"I'm\s+looking\s+for\s+", ""), (r"I\s+am\s+looking\s+for\s+", ""),
     (r"(please\s+)?provide\s+me\s+with", "provide"), (r"give\s+me", "show"), (r"tell\s+me", ""),
 )
+# Fillers, words that negate, cues of negation, transitions.
 FILLERS = "basically|literally|actually|really|quite|just|vraiment|très|trop|bref|wesh|tkt"
 
 # What gives a sentence its modality in English, the first that matches wins.
@@ -83,10 +87,15 @@ def pattern(phrases: str) -> str:
 
 def sql_pattern(phrases: str) -> str:
     """The same for engines whose words are of ASCII letters alone; see ``sql_marked``."""
-    return (r"(?i)\b(" + spaced(phrases) + r")\b").replace("'", "''")
+    marked = re.sub(r"([^\x00-\x7F])", r"_\1_", spaced(phrases))
+    return (r"(?i)\b(" + marked + r")\b").replace("'", "''")
+
+
+def sql_mark(text: str) -> str:
+    """text where every character beyond ASCII stands between underscores, and so counts as part of a word."""
+    return rf"regexp_replace({text}, '([^\x00-\x7F])', '_\1_', 'g')"
 
 
 def sql_marked(text: str, rewrite) -> str:
     """rewrite(text) where every character beyond ASCII stands between underscores meanwhile, and so counts as part of a word."""
-    marked = rf"regexp_replace({text}, '([^\x00-\x7F])', '_\1_', 'g')"
-    return rf"regexp_replace({rewrite(marked)}, '_([^\x00-\x7F])_', '\1', 'g')"
+    return rf"regexp_replace({rewrite(sql_mark(text))}, '_([^\x00-\x7F])_', '\1', 'g')"

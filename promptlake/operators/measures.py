@@ -13,24 +13,25 @@ def let(value: Column, body) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case words between white space."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    """Lower-case words between white space; none of a null text."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
 
 
 def approximate_tokens(text: Column) -> Column:
+    text = F.coalesce(text, F.lit(""))
     t = F.trim(text)
     n = F.floor(F.regexp_count(t, F.lit(r"[A-Za-z0-9_]+")) * 1.3 + F.regexp_count(t, F.lit(r"[^A-Za-z0-9_\s]")) * 0.5)
     return F.when(F.length(text) == 0, 0).otherwise(F.greatest(n, F.lit(1))).cast("long")
 
 
 def tokens_by_provider(text: Column, provider: Column) -> Column:
-    n = F.length(text)
+    n = F.length(F.coalesce(text, F.lit("")))
     a = F.greatest(F.floor(F.floor(n / 3.5) * 1.1), F.lit(1))
     return F.when(provider == "anthropic", a).when(provider == "google", F.greatest(F.floor(n / 4), F.lit(1))).otherwise(approximate_tokens(text)).cast("long")
 
 
 def quarter_tokens(text: Column) -> Column:
-    return F.greatest(F.floor(F.length(text) / 4), F.lit(1)).cast("long")
+    return F.greatest(F.floor(F.length(F.coalesce(text, F.lit(""))) / 4), F.lit(1)).cast("long")
 
 
 def ngrams(w: Column, n: Column) -> Column:
@@ -43,8 +44,22 @@ def run_counts(items: Column) -> Column:
     return let(F.sort_array(items), lambda s: let(ends(s), lambda e: F.transform(e, lambda x, k: x - F.when(k == 0, 0).otherwise(F.get(e, k - 1)))))
 
 
+def numbered(items: Column) -> Column:
+    """The items in order, each with its number among its equals: multisets as sets."""
+    ends = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+
+    def of(s: Column) -> Column:
+        def runs(e: Column) -> Column:
+            begin = lambda k: F.when(k == 0, 0).otherwise(F.get(e, k - 1))
+            return F.flatten(F.transform(e, lambda x, k: F.transform(F.sequence(F.lit(1), x - begin(k)), lambda j: F.concat(F.get(s, x - 1), F.lit("\n"), j.cast("string")))))
+
+        return let(ends(s), runs)
+
+    return let(F.sort_array(items), of)
+
+
 def ngram_entropy(w: Column, order: int) -> Column:
-    """Shannon entropy of a text's n-grams over the most it could be, within [.1, 1]; 0 without words."""
+    """Shannon entropy of the n-grams of the words w (bound by let) over the most it could be, within [.1, 1]; 0 without words."""
     n = F.least(F.lit(order), F.greatest(F.size(w) - 1, F.lit(1)))
 
     def of(g: Column) -> Column:
@@ -60,9 +75,10 @@ def redundancy(w: Column) -> Column:
     return F.when(F.size(w) == 0, 1.0).otherwise(F.greatest(1.0 - F.least(ratio / 3.0, F.lit(1.0)), F.lit(0.0)))
 
 
-def headroom(entropy: Column, redundant: Column, protected: Column) -> Column:
+def headroom(n_words: Column, entropy: Column, redundant: Column, protected: Column) -> Column:
+    """What a text leaves to compress; nothing where it has no words."""
     footprint = entropy * (1.0 - redundant) + protected * 0.5
-    return 1.0 - F.greatest(F.least(footprint, F.lit(1.0)), F.lit(0.0))
+    return F.when(n_words == 0, 0.0).otherwise(1.0 - F.greatest(F.least(footprint, F.lit(1.0)), F.lit(0.0)))
 
 
 def quenching_floor(entropy: Column, protected: Column) -> Column:
@@ -129,25 +145,26 @@ def judge(a: Column, b: Column) -> Column:
         r = lambda c, n: F.round(c, n)
         return F.struct(r(jaccard, 6).alias("accuracy"), r(complete, 6).alias("completeness"), r(coherent, 6).alias("coherence"), r(faithful, 6).alias("faithfulness"), r(style, 6).alias("style"), r(score, 6).alias("score"))
 
-    return let(F.struct(split(a).alias("a"), split(b).alias("b"), a.alias("ta"), b.alias("tb")), scored)
+    names = ("accuracy", "completeness", "coherence", "faithfulness", "style")
+    unknown = F.struct(*[F.lit(None).cast("double").alias(n) for n in names], F.lit(0.5).alias("score"))
+    empty = (F.length(F.coalesce(a, F.lit(""))) == 0) | (F.length(F.coalesce(b, F.lit(""))) == 0)
+    return F.when(empty, unknown).otherwise(let(F.struct(split(a).alias("a"), split(b).alias("b"), a.alias("ta"), b.alias("tb")), scored))
 
 
 def oracle_gate(j: Column) -> Column:
-    """All five dimensions above their thresholds: score 1, else the least dimension."""
+    """All five dimensions above their thresholds: score 1, else the least dimension; those of an empty answer are 0."""
+    of = {k: F.coalesce(j[k], F.lit(0.0)) for k in ("accuracy", "completeness", "coherence", "faithfulness", "style")}
     least = {"accuracy": 0.80, "completeness": 0.75, "coherence": 0.70, "faithfulness": 0.85, "style": 0.60}
-    failed = F.filter(F.array(*[F.when(j[k] < v, F.lit(k)) for k, v in least.items()]), lambda x: x.isNotNull())
-    return F.struct((F.size(failed) == 0).alias("passed"), F.when(F.size(failed) == 0, 1.0).otherwise(F.least(*[j[k] for k in least])).alias("gate_score"), F.array_join(failed, ",").alias("failed"))
+    failed = F.filter(F.array(*[F.when(of[k] < v, F.lit(k)) for k, v in least.items()]), lambda x: x.isNotNull())
+    return F.struct((F.size(failed) == 0).alias("passed"), F.when(F.size(failed) == 0, 1.0).otherwise(F.least(*[of[k] for k in least])).alias("gate_score"), F.array_join(failed, ",").alias("failed"))
 
 
 def bleu(reference: Column, hypothesis: Column) -> Column:
     """BLEU-4: clipped n-gram precisions' geometric mean times the brevity penalty."""
     def precision(w: Column, n: int) -> Column:
-        def clipped(g: Column) -> Column:
-            count = lambda x, y: F.size(F.filter(y, lambda z: z == x))
-            return F.aggregate(F.array_distinct(g["h"]), F.lit(0), lambda s, x: s + F.least(count(x, g["h"]), count(x, g["r"]))) / F.size(g["h"])
-
+        grams = lambda x: numbered(ngrams(x, F.lit(n)))
         short = (F.size(w["h"]) < n) | (F.size(w["r"]) < n)
-        return F.when(short, 0.0).otherwise(let(F.struct(ngrams(w["h"], F.lit(n)).alias("h"), ngrams(w["r"], F.lit(n)).alias("r")), clipped))
+        return F.when(short, 0.0).otherwise(F.size(F.array_intersect(grams(w["h"]), grams(w["r"]))) / (F.size(w["h"]) - n + 1))
 
     def of(w: Column) -> Column:
         logs = [F.log(F.greatest(precision(w, n), F.lit(1e-10))) for n in (1, 2, 3, 4)]
@@ -157,13 +174,38 @@ def bleu(reference: Column, hypothesis: Column) -> Column:
     return let(F.struct(words(reference).alias("r"), words(hypothesis).alias("h")), of)
 
 
+def rouge_l(reference: Column, hypothesis: Column) -> Column:
+    """F1 of the longest common subsequence of words: one row of the table of lengths per word of the reference."""
+    def of(w: Column) -> Column:
+        def row(before: Column, x: Column) -> Column:
+            cell = lambda acc, j: F.concat(acc, F.array(F.when(F.get(w["h"], j - 1) == x, F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.element_at(acc, -1)))))
+            return F.aggregate(F.sequence(F.lit(1), F.size(w["h"])), F.array(F.lit(0)), cell)
+
+        zeros = F.transform(F.sequence(F.lit(0), F.size(w["h"])), lambda _: F.lit(0))
+        common = F.aggregate(w["r"], zeros, row, lambda last: F.element_at(last, -1))
+        score = let(common, lambda c: F.when(c == 0, 0.0).otherwise(let(F.struct((c / F.size(w["h"])).alias("p"), (c / F.size(w["r"])).alias("r")), lambda x: 2 * x["p"] * x["r"] / (x["p"] + x["r"]))))
+        return F.when((F.size(w["r"]) == 0) | (F.size(w["h"]) == 0), 0.0).otherwise(score)
+
+    return let(F.struct(words(reference).alias("r"), words(hypothesis).alias("h")), of)
+
+
+#: Structures that must not be lost altogether.
+STRUCTURES = (
+    ("code_fence", r"(?s)```\w*\n.*?\n```"), ("json_block", r"(?s)\{.*?\}"), ("latex_display", r"(?s)\$\$.*?\$\$"),
+    ("yaml_frontmatter", r"(?s)---.*?---"), ("markdown_table", r"\|[^\n]+\|[^\n]+\|"),
+)
+
+
 def integrity(original: Column, compressed: Column) -> Column:
-    """Gate on what compression leaves: token ratio, entropy, and a text of three characters at least."""
+    """Gate on what compression leaves: token ratio, entropy, structures, and a text of three characters at least."""
     def of(w: Column) -> Column:
         ratio = F.size(w["c"]) / F.greatest(F.size(w["o"]), F.lit(1))
         collapse = (F.size(w["c"]) == 0) | (F.coalesce(F.try_divide(ngram_entropy(w["c"], 3), ngram_entropy(w["o"], 3)) < 0.20, F.lit(False)))
         empty = F.length(F.trim(compressed)) < 3
-        why = F.concat_ws("; ", F.when(ratio < 0.15, "token ratio"), F.when(collapse, "entropy collapse"), F.when(empty, "empty"))
+        lost = F.filter(F.array(*[F.when(original.rlike(p) & ~compressed.rlike(p), F.lit(n)) for n, p in STRUCTURES]), lambda x: x.isNotNull())
+        lost = F.when((F.size(w["o"]) > 0) & (F.size(w["c"]) > 0) & (F.size(lost) > 0), F.concat(F.lit("structure lost: "), F.array_join(lost, ",")))
+        why = F.concat_ws("; ", F.when(ratio < 0.15, "token ratio"), F.when(collapse, "entropy collapse"), lost, F.when(empty, "empty"))
         return F.struct((why == "").alias("passed"), F.round(ratio, 4).alias("token_ratio"), why.alias("reason"))
 
+    original, compressed = F.coalesce(original, F.lit("")), F.coalesce(compressed, F.lit(""))
     return let(F.struct(words(original).alias("o"), words(compressed).alias("c")), of)

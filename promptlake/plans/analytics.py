@@ -349,14 +349,14 @@ def i14_cell_update(spark: SparkSession, d: str) -> DataFrame:
 _X = ["event_id % 7", "event_id % 11", "floor(value / 50)"]
 
 
-@query(f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY event_id) AS up, row_number() OVER (ORDER BY event_id DESC) AS down FROM events WHERE value IS NOT NULL),
+@query(f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY value, event_id) AS up, row_number() OVER (ORDER BY value DESC, event_id DESC) AS down FROM events WHERE value IS NOT NULL),
 x AS (SELECT event_id AS i, [{', '.join(f'CAST({f} AS DOUBLE)' for f in _X)}] AS v FROM o WHERE up <= 100), y AS (SELECT event_id AS i, [{', '.join(f'CAST({f} AS DOUBLE)' for f in _X)}] AS v FROM o WHERE down <= 100),
-xx AS (SELECT avg(exp(-list_distance(a.v, b.v) ** 2 / 2)) AS k FROM x a, x b WHERE a.i <> b.i), yy AS (SELECT avg(exp(-list_distance(a.v, b.v) ** 2 / 2)) AS k FROM y a, y b WHERE a.i <> b.i), xy AS (SELECT avg(exp(-list_distance(a.v, b.v) ** 2 / 2)) AS k FROM x a, y b)
+xx AS (SELECT avg(exp(-((list_distance(a.v, b.v) ** 2) / 2))) AS k FROM x a, x b WHERE a.i <> b.i), yy AS (SELECT avg(exp(-((list_distance(a.v, b.v) ** 2) / 2))) AS k FROM y a, y b WHERE a.i <> b.i), xy AS (SELECT avg(exp(-((list_distance(a.v, b.v) ** 2) / 2))) AS k FROM x a, y b)
 SELECT round(greatest(xx.k + yy.k - 2 * xy.k, 0), 6) AS mmd, greatest(xx.k + yy.k - 2 * xy.k, 0) > {_num(0.05)} AS drift FROM xx, yy, xy""")
 def i21_drift(spark: SparkSession, d: str) -> DataFrame:
-    e = t.read(spark, d, "events").filter("value IS NOT NULL").selectExpr("event_id", *[f"CAST({f} AS DOUBLE) AS f{i}" for i, f in enumerate(_X)])
+    e = t.read(spark, d, "events").filter("value IS NOT NULL").selectExpr("event_id", "value", *[f"CAST({f} AS DOUBLE) AS f{i}" for i, f in enumerate(_X)])
     names = [f"f{i}" for i in range(len(_X))]
-    return de.mean_discrepancy(e.orderBy("event_id").limit(100), e.orderBy(F.desc("event_id")).limit(100), names)
+    return de.mean_discrepancy(e.orderBy("value", "event_id").limit(100), e.orderBy(F.desc("value"), F.desc("event_id")).limit(100), names)
 
 
 POLICIES = [("no_mini", "deny_model", "gpt-4o-mini", 0, 1), ("only_openai", "limit_provider", "openai", 0, 0), ("small", "max_tokens", "", 4000, 1), ("squeeze", "force_compression", "", 0, 1)]

@@ -97,7 +97,7 @@ def g09_lexical(spark: SparkSession, d: str) -> DataFrame:
     return _phrased(spark, d).select("doc_id", tx.lexical(F.col("t")).alias("out"))
 
 
-@query(f"SELECT doc_id, trim({_sql_chain('t', [('!{2,}', '!'), (chr(92) + '?{2,}', '?'), (rules.sql_pattern(rules.FILLERS), ''), (WS, ' ')])}) AS out FROM ({P}) x")
+@query(f"SELECT doc_id, trim({_sql_chain(rules.sql_marked('t', lambda x: _sql_chain(x, [('!{2,}', '!'), (chr(92) + '?{2,}', '?'), (rules.sql_pattern(rules.FILLERS), '')])), [(WS, ' ')])}) AS out FROM ({P}) x")
 def g22_light_clean(spark: SparkSession, d: str) -> DataFrame:
     return _phrased(spark, d).select("doc_id", tx.light_clean(F.col("t")).alias("out"))
 
@@ -115,7 +115,7 @@ def d02_format_sniff(spark: SparkSession, d: str) -> DataFrame:
     return e.unionByName(p).unionByName(c).select("kind", "id", tx.sniff_format(F.col("x")).alias("format"))
 
 
-@query(f"SELECT doc_id, CASE {' '.join(f'''WHEN regexp_matches(t, '{rules.sql_pattern(w)}') THEN '{n}' ''' for n, w in rules.MODALITY_EN)} ELSE 'MUST' END AS modality FROM ({P}) x")
+@query(f"SELECT doc_id, CASE {' '.join(f'''WHEN regexp_matches({rules.sql_mark('t')}, '{rules.sql_pattern(w)}') THEN '{n}' ''' for n, w in rules.MODALITY_EN)} ELSE 'MUST' END AS modality FROM ({P}) x")
 def e03_modality(spark: SparkSession, d: str) -> DataFrame:
     return _phrased(spark, d).select("doc_id", tx.modality(F.col("t")).alias("modality"))
 
@@ -125,7 +125,7 @@ def e07_constraints(spark: SparkSession, d: str) -> DataFrame:
     return tx.constraints(_phrased(spark, d))
 
 
-@query(f"SELECT doc_id, CAST(len(regexp_extract_all(t, '{rules.sql_pattern(rules.NEGATION_CUES_EN)}')) + len(regexp_extract_all(t, '{rules.sql_pattern(rules.NEGATION_CONTRACTED_EN)}')) AS BIGINT) AS cues FROM ({P}) x")
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all({rules.sql_mark('t')}, '{rules.sql_pattern(rules.NEGATION_CUES_EN)}')) + len(regexp_extract_all({rules.sql_mark('t')}, '{rules.sql_pattern(rules.NEGATION_CONTRACTED_EN)}')) AS BIGINT) AS cues FROM ({P}) x")
 def e08_negation_cues(spark: SparkSession, d: str) -> DataFrame:
     return _phrased(spark, d).select("doc_id", tx.negation_cues(F.col("t")).cast("long").alias("cues"))
 
@@ -218,12 +218,12 @@ FROM (SELECT doc_id, {_SHINGLES} AS w FROM documents)) GROUP BY doc_id, g) GROUP
 
 @query(f"SELECT doc_id, round(entropy, 6) AS entropy FROM ({_sql_entropy(4)}) e")
 def h06_ngram_entropy(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.round(me.ngram_entropy(me.words(F.col("text")), 4), 6).alias("entropy"))
+    return _docs(spark, d).select("doc_id", F.round(me.let(me.words(F.col("text")), lambda w: me.ngram_entropy(w, 4)), 6).alias("entropy"))
 
 
 @query(f"SELECT doc_id, round(entropy, 6) AS entropy FROM ({_sql_entropy(3)}) e")
 def h09_trigram_entropy(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.round(me.ngram_entropy(me.words(F.col("text")), 3), 6).alias("entropy"))
+    return _docs(spark, d).select("doc_id", F.round(me.let(me.words(F.col("text")), lambda w: me.ngram_entropy(w, 3)), 6).alias("entropy"))
 
 
 _REDUNDANT = f"SELECT doc_id, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(1 - least(len(list_distinct(w)) / greatest(sqrt(len(w)), 1) / 3, 1), 0) END AS redundancy FROM (SELECT doc_id, {_SHINGLES} AS w FROM documents)"
@@ -231,14 +231,22 @@ _REDUNDANT = f"SELECT doc_id, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(1 - leas
 
 @query(f"SELECT doc_id, round(redundancy, 6) AS redundancy FROM ({_REDUNDANT}) r")
 def h07_redundancy(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.round(me.redundancy(me.words(F.col("text"))), 6).alias("redundancy"))
+    return _docs(spark, d).select("doc_id", F.round(me.let(me.words(F.col("text")), me.redundancy), 6).alias("redundancy"))
 
 
-@query(f"SELECT doc_id, round(1 - greatest(least(entropy * (1 - redundancy), 1), 0), 6) AS headroom, round(greatest(least(CAST(0.1 AS DOUBLE) + entropy * CAST(0.2 AS DOUBLE), CAST(0.5 AS DOUBLE)), CAST(0.05 AS DOUBLE)), 6) AS quenching_floor FROM ({_sql_entropy(4)}) e JOIN ({_REDUNDANT}) r USING (doc_id)")
+_CODE = "```[A-Za-z0-9_]*\\n[^`]*\\n```"
+_PROTECTED_SHARE = f"SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE list_sum(list_transform(regexp_extract_all(text, '{_CODE}'), lambda x: length(x))) / length(text) END AS p FROM documents"
+
+
+@query(f"""SELECT doc_id, round(CASE WHEN n = 0 THEN 0 ELSE 1 - greatest(least(entropy * (1 - redundancy) + coalesce(p, 0) * CAST(0.5 AS DOUBLE), 1), 0) END, 6) AS headroom, round(greatest(least(CAST(0.1 AS DOUBLE) + entropy * CAST(0.2 AS DOUBLE) + coalesce(p, 0) * CAST(0.15 AS DOUBLE), CAST(0.5 AS DOUBLE)), CAST(0.05 AS DOUBLE)), 6) AS quenching_floor
+FROM ({_sql_entropy(4)}) e JOIN ({_REDUNDANT}) r USING (doc_id) JOIN ({_PROTECTED_SHARE}) s USING (doc_id) JOIN (SELECT doc_id, len({_SHINGLES}) AS n FROM documents) w USING (doc_id)""")
 def h08_h11_headroom(spark: SparkSession, d: str) -> DataFrame:
-    w = me.words(F.col("text"))
-    m = _docs(spark, d).select("doc_id", me.ngram_entropy(w, 4).alias("e"), me.redundancy(w).alias("r"))
-    return m.select("doc_id", F.round(me.headroom(F.col("e"), F.col("r"), F.lit(0.0)), 6).alias("headroom"), F.round(me.quenching_floor(F.col("e"), F.lit(0.0)), 6).alias("quenching_floor"))
+    """With fenced code as what is protected."""
+    code = F.aggregate(F.transform(F.regexp_extract_all("text", F.lit(f"({_CODE})"), F.lit(1)), lambda x: F.length(x)), F.lit(0), lambda s, n: s + n)
+    share = F.coalesce(F.try_divide(code, F.length("text")), F.lit(0.0))
+    of = lambda w: F.struct(F.size(w).alias("n"), me.ngram_entropy(w, 4).alias("e"), me.redundancy(w).alias("r"))
+    m = _docs(spark, d).select("doc_id", share.alias("p"), me.let(me.words(F.col("text")), of).alias("m")).select("doc_id", "p", "m.*")
+    return m.select("doc_id", F.round(me.headroom(F.col("n"), F.col("e"), F.col("r"), F.col("p")), 6).alias("headroom"), F.round(me.quenching_floor(F.col("e"), F.col("p")), 6).alias("quenching_floor"))
 
 
 @query()
@@ -260,7 +268,7 @@ def h16_factual_loss(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", F.round(me.factual_loss(F.col("t"), F.regexp_replace("t", r"\d{4}-\d{2}-\d{2}", "")), 6).alias("factual_loss"))
 
 
-@query(f"SELECT doc_id, round(CASE WHEN n = 0 THEN 0 ELSE least(len(regexp_extract_all(text, '{rules.sql_pattern(rules.TRANSITIONS)}')) / greatest(n * CAST(0.1 AS DOUBLE), 1), 1) END, 6) AS novelty FROM (SELECT doc_id, text, len({_SHINGLES}) AS n FROM documents)")
+@query(f"SELECT doc_id, round(CASE WHEN n = 0 THEN 0 ELSE least(len(regexp_extract_all({rules.sql_mark('text')}, '{rules.sql_pattern(rules.TRANSITIONS)}')) / greatest(n * CAST(0.1 AS DOUBLE), 1), 1) END, 6) AS novelty FROM (SELECT doc_id, text, len({_SHINGLES}) AS n FROM documents)")
 def h17_novelty(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.round(me.novelty(F.col("text")), 6).alias("novelty"))
 
@@ -269,22 +277,22 @@ _W = f"list_filter(regexp_split_to_array({{0}}, '{WS}'), lambda x: x <> '')"
 _BI = "list_distinct(CASE WHEN len({0}) < 2 THEN [] ELSE list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]) END)"
 _share = lambda x, y: f"len(list_intersect({x}, {y})) / CAST(greatest(len(list_distinct(list_concat({x}, {y}))), 1) AS DOUBLE)"
 _n = lambda x: f"CAST({x} AS DOUBLE)"
-_JUDGE = f"""SELECT *, greatest(least(accuracy * {_n(.3)} + completeness * {_n(.25)} + coherence * {_n(.2)} + faithfulness * {_n(.15)} + style * {_n(.1)}, 1), 0) * CASE WHEN lb < la * {_n(.3)} THEN {_n(.7)} ELSE 1 END AS score FROM (
-SELECT conv_id, turn, la, lb, j AS accuracy, least(lb / CAST(greatest(la, 1) AS DOUBLE), 1) * {_n(.8)} + j * {_n(.2)} AS completeness, bi * {_n(.7)} + j * {_n(.3)} AS coherence,
+_JUDGE = f"""SELECT *, CASE WHEN none THEN {_n(.5)} ELSE greatest(least(accuracy * {_n(.3)} + completeness * {_n(.25)} + coherence * {_n(.2)} + faithfulness * {_n(.15)} + style * {_n(.1)}, 1), 0) * CASE WHEN lb < la * {_n(.3)} THEN {_n(.7)} ELSE 1 END END AS score FROM (
+SELECT conv_id, turn, none, la, lb, j AS accuracy, least(lb / CAST(greatest(la, 1) AS DOUBLE), 1) * {_n(.8)} + j * {_n(.2)} AS completeness, bi * {_n(.7)} + j * {_n(.3)} AS coherence,
   greatest(1 - nb / CAST(greatest(db, 1) AS DOUBLE), 0) AS faithfulness, 1 - least(abs(xa - xb) / greatest(xa + xb, 1), 1) AS style FROM (
-SELECT conv_id, turn, len(wa) AS la, len(wb) AS lb, {_share('list_distinct(x)', 'list_distinct(y)')} AS j, {_share('ba', 'bb')} AS bi, len(list_distinct(y)) AS db,
+SELECT conv_id, turn, coalesce(length(a), 0) = 0 OR coalesce(length(b), 0) = 0 AS none, len(wa) AS la, len(wb) AS lb, {_share('list_distinct(x)', 'list_distinct(y)')} AS j, {_share('ba', 'bb')} AS bi, len(list_distinct(y)) AS db,
   len(list_filter(list_distinct(y), lambda z: NOT list_contains(x, z))) AS nb, len(wa) / CAST(length(regexp_replace(a, '[^.!?]+', '', 'g')) + 1 AS DOUBLE) AS xa, len(wb) / CAST(length(regexp_replace(b, '[^.!?]+', '', 'g')) + 1 AS DOUBLE) AS xb FROM (
 SELECT *, list_transform(wa, lambda q: lower(q)) AS x, list_transform(wb, lambda q: lower(q)) AS y, {_BI.format('wa')} AS ba, {_BI.format('wb')} AS bb FROM (
 SELECT conv_id, turn, a, b, {_W.format('a')} AS wa, {_W.format('b')} AS wb FROM ({_PAIRS}) p WHERE a IS NOT NULL))))"""
 _DIMS = ("accuracy", "completeness", "coherence", "faithfulness", "style")
 
 
-@query(f"SELECT conv_id, turn, {', '.join(f'round({k}, 6) AS {k}' for k in (*_DIMS, 'score'))} FROM ({_JUDGE}) j")
+@query(f"SELECT conv_id, turn, {', '.join(f'CASE WHEN none THEN NULL ELSE round({k}, 6) END AS {k}' for k in _DIMS)}, round(score, 6) AS score FROM ({_JUDGE}) j")
 def h19_heuristic_judge(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("conv_id", "turn", me.judge(F.col("a"), F.col("b")).alias("j")).select("conv_id", "turn", "j.*")
 
 
-_ROUNDED = f"SELECT conv_id, turn, {', '.join(f'round({k}, 6) AS {k}' for k in _DIMS)} FROM ({_JUDGE}) j"
+_ROUNDED = f"SELECT conv_id, turn, {', '.join(f'CASE WHEN none THEN 0 ELSE round({k}, 6) END AS {k}' for k in _DIMS)} FROM ({_JUDGE}) j"
 _FAILED = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {k} < {v} THEN '{k}' END" for k, v in zip(_DIMS, (0.80, 0.75, 0.70, 0.85, 0.60))) + "], lambda z: z IS NOT NULL), ',')"
 
 
