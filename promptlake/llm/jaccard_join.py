@@ -162,12 +162,20 @@ class _Links:
         """verify(pairs), written; what links is taken up into the components."""
         found = materialize(verify(pairs, self.grams, self.percent), "verified")
         links = found.filter("link").select("a", "b")
-        before = self.labels
-        if before is not None:
-            links = links.unionByName(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        self.labels = materialize(connected_components(links), "components")
-        if before is not None:
-            discard(before)
+        if self.labels is None:
+            self.labels = materialize(connected_components(links), "components")
+            return found
+        # links between components are few: these are joined, not the texts again
+        ends = links.withColumnRenamed("a", "node")
+        ends = self.of(ends).select(F.col("component").alias("a"), F.col("b").alias("node"))
+        across = materialize(self.of(ends).select("a", F.col("component").alias("b")).filter("a <> b").distinct(), "links-across")
+        if not across.isEmpty():
+            joined = materialize(connected_components(across), "joined-components")
+            before, new = self.labels, joined.select(F.col("node").alias("component"), F.col("component").alias("least"))
+            labels = before.join(new, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+            alone = joined.join(before, "node", "left_anti")
+            self.labels = materialize(labels.unionByName(alone.select("node", "component")), "components")
+            discard(before, joined)
         return found
 
     def of(self, rows: DataFrame) -> DataFrame:
