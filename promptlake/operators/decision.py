@@ -81,7 +81,7 @@ def all_rates(cells: DataFrame) -> DataFrame:
 
 def expected(cells: DataFrame) -> DataFrame:
     """expected_quality and variance of each cell: the tenant's default under one sample, variance 1 under two."""
-    out = all_rates(cells).join(F.broadcast(default_quality(cells)), ["tenant_id", "rate"], "left")
+    out = all_rates(cells).join(default_quality(cells), ["tenant_id", "rate"], "left")
     q = F.when(F.col("n_samples") < 1, F.coalesce("default_quality", F.lit(COLD_QUALITY))).otherwise(quality_ratio())
     out = out.withColumn("expected_quality", q)
     p = F.col("expected_quality")
@@ -161,14 +161,6 @@ def context_neighbours(matrix: DataFrame, k: int = 5) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("context", "other", "cosine", F.col("rank").cast("long").alias("rank"))
 
 
-def pseudo_label() -> Column:
-    """Grade of a request from its signals, the strongest first."""
-    return (
-        F.when(F.col("task_success") == 1, 1.0).when(F.col("thumbs_up") == 1, 0.95).when(F.col("copy") == 1, 0.85)
-        .when(F.col("continuation") == 1, 0.75).when(F.col("reformulation") == 1, 0.2).otherwise(0.5)
-    )
-
-
 def mean_discrepancy(a: DataFrame, b: DataFrame, features: list[str], sigma: float = 1.0, threshold: float = 0.05) -> DataFrame:
     """Unbiased squared maximum mean discrepancy of two bounded windows (of a hundred rows each, say) under a Gaussian kernel."""
     vec = lambda d: d.select(F.monotonically_increasing_id().alias("i"), F.array(*[F.col(c).cast("double") for c in features]).alias("v"))

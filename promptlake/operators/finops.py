@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import RATES
+
 
 def last_days(events: DataFrame, days: int, at: str = "created_at") -> DataFrame:
     """Rows of the days before the latest row. The latest time joins as a one-row aggregate."""
@@ -113,8 +115,9 @@ def roi(events: DataFrame, days: int, fee_per_1k: float = 0.002, assumed_rate: f
 
 def latest_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Upsert semantics: the last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    rest = [c for c in rows.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")  # combines before the exchange
+    return rows.groupBy(*keys).agg(last).select(*[F.col(c) if c in keys else F.col(f"_last.{c}") for c in rows.columns])
 
 
 def budget_status(budgets: DataFrame, spend: DataFrame, add: float = 0.0) -> DataFrame:
@@ -152,3 +155,23 @@ def prices_array(prices: DataFrame) -> Column:
     """The price list, a fixed table of a few rows, as a literal array."""
     rows = prices.collect()
     return F.array(*[F.struct(F.lit(p["model"]).alias("model"), F.lit(p["in_price"]).alias("in_price"), F.lit(p["out_price"]).alias("out_price")) for p in rows])
+
+
+def first_row(rows: DataFrame, key: str) -> DataFrame:
+    """The row with the least key."""
+    return rows.orderBy(key).limit(1)
+
+
+def apply_changes(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """rows after changes (the same columns and op: insert, update or delete; one change per key). What a change names is replaced or left out."""
+    kept = rows.join(changes.select(key), key, "left_anti")
+    return kept.unionByName(changes.filter("op <> 'delete'").drop("op"))
+
+
+def seeded_requests(spark: SparkSession, n: int) -> DataFrame:
+    """n requests whose numbers come from digests of their ids, the same in every run and on every cluster."""
+    def number(name: str) -> Column:
+        return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{name}:"), F.col("id").cast("string")), 256), 1, 8), 16, 10).cast("long")
+
+    rates = F.array(*[F.lit(x) for x in RATES])
+    return spark.range(n).select("id", (number("user") % 40).alias("user_id"), (number("tokens") % 4000 + 20).alias("tokens"), F.get(rates, (number("rate") % 6).cast("int")).alias("rate"))

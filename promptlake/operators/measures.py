@@ -38,6 +38,10 @@ def ngrams(w: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
 
 
+def hashed_ngrams(w: Column, n: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i + 1, n)))
+
+
 def run_counts(items: Column) -> Column:
     """How often each distinct item occurs: lengths of the runs of the sorted items."""
     ends = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
@@ -67,7 +71,7 @@ def ngram_entropy(w: Column, order: int) -> Column:
         bits = F.aggregate(run_counts(g), F.lit(0.0), lambda a, c: a - c / total * F.log2(c / total))
         return F.greatest(F.least(bits / F.log2(F.greatest(total, F.lit(2.0))), F.lit(1.0)), F.lit(0.1))
 
-    return F.when(F.size(w) == 0, 0.0).otherwise(let(ngrams(w, n), of))
+    return F.when(F.size(w) == 0, 0.0).otherwise(let(hashed_ngrams(w, n), of))
 
 
 def redundancy(w: Column) -> Column:
@@ -103,12 +107,15 @@ def explain(original_tokens: Column, optimized_tokens: Column) -> Column:
 
 def factual_elements(text: Column) -> Column:
     """Dates, numbers, addresses, links and names, each with its kind in front."""
+    # fixed values
     kinds = (
-        ("date:", r"(?<![A-Za-z0-9_])[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}(?![A-Za-z0-9_])"),
-        ("email:", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+"),
+        ("date:", r"\b\d{1,4}[-/]\d{1,2}[-/]\d{1,4}\b|\b\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b"),
+        ("number:", r"\b\d+(?:[.,]\d+)?\s*(?:%|€|\$|£|M|k|K|millions?|milliards?)\b|\b\d[\d,]*\d\b"),
+        ("email:", r"\b[\w.+-]+@[\w-]+\.[\w.]+\b"),
         ("url:", r"https?://\S+"),
+        ("entity:", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"),
     )
-    found = [F.transform(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)), lambda x, k=k: F.concat(F.lit(k), x)) for k, p in kinds]
+    found = [F.transform(F.regexp_extract_all(text, F.lit(f"(?U)({p})"), F.lit(1)), lambda x, k=k: F.concat(F.lit(k), x)) for k, p in kinds]
     return F.array_distinct(F.concat(*found))
 
 
@@ -118,6 +125,11 @@ def factual_loss(original: Column, compressed: Column) -> Column:
     return let(factual_elements(original), of)
 
 
+def retry(loss: Column, gained: Column) -> Column:
+    """Whether an answer should be asked for again: too much was lost, and less was gained."""
+    return (loss > 0.15) & (gained < loss)
+
+
 def novelty(text: Column) -> Column:
     n = F.size(words(text))
     return F.when(n == 0, 0.0).otherwise(F.least(F.regexp_count(text, F.lit(rules.pattern(rules.TRANSITIONS))) / F.greatest(n * 0.1, F.lit(1.0)), F.lit(1.0)))

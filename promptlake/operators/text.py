@@ -157,25 +157,5 @@ def table_compaction(headers: Column, rows: Column) -> Column:
     return F.when(F.size(rows) == 1, F.concat(head, F.lit(" | "), F.array_join(F.get(rows, 0), " | "))).otherwise(F.concat(head, F.lit(" ("), F.size(rows).cast("string"), F.lit(" rows)")))
 
 
-def text_type(text: Column, code: Column) -> Column:
-    return (
-        F.when(F.length(F.trim(text)) < 50, "short").when(code | text.rlike(r"(?i)(def |class |function |import |from |public\s+(class|void|int|string))"), "code")
-        .when(text.rlike(r"(?i)(Speaker|Participant|Agent)\s*[0-9]+\s*:"), "meeting").when(text.rlike(r"(?i)\b(Article|Section|Clause|CONTRAT|CONVENU)"), "legal").otherwise("general")
-    )
-
-
-#: Patterns of text that compression must not touch.
-PROTECTED = (r"(?s)```\w*\n.*?\n```", r"(?s)\$\$.*?\$\$", r"(?s)(?<!\$)\$(?!\$).*?(?<!\$)\$(?!\$)", r"(?sm)^---\n.*?\n---", r"(?m)^.*\|.*\n\|[-| ]+\|\n(?:.*\|.*\n)*", r"(?s)<[^>]+>.*?</[^>]+>")
-
-
-def protected_chars(text: Column) -> Column:
-    """How many characters some pattern of PROTECTED covers, overlaps once.
-
-    Spans come from what each pattern's match leaves when it is cut out in turn, so that a stretch counts once.
-    """
-    rest = chain(text, [(p, "") for p in PROTECTED])
-    return F.length(text) - F.length(rest)
-
-
 def rate_cap(ratio: Column) -> Column:
     return F.when(ratio >= 0.30, 0.15).when(ratio >= 0.15, 0.25).when(ratio >= 0.05, 0.40).otherwise(1.0)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..operators import language as la
+from ..operators import learning as le
 from ..operators import measures as me
 from ..operators import sessions as se
 from ..operators import text as tx
@@ -251,8 +253,7 @@ def h08_h11_headroom(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def d11_d13_protected_share(spark: SparkSession, d: str) -> DataFrame:
-    x = _docs(spark, d).select("doc_id", F.col("text").alias("x"), F.length("text").alias("n"))
-    x = x.select("doc_id", F.coalesce(F.try_divide(tx.protected_chars(F.col("x")), F.col("n")), F.lit(0.0)).alias("ratio"))
+    x = _docs(spark, d).select("doc_id", la.protected_ratio(F.col("text")).alias("ratio"))
     return x.select("doc_id", F.round("ratio", 6).alias("protected_ratio"), tx.rate_cap(F.col("ratio")).alias("rate_cap"))
 
 
@@ -313,13 +314,10 @@ def g32_explain_optimisation(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", me.explain(F.col("o"), F.col("p")).alias("m")).select("o_orderkey", "m.*")
 
 
-
-@query("SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], q) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(q, q)) + CAST(1e-9 AS DOUBLE)), 6) AS cosine FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) WHERE vec_id <> 0 ORDER BY list_inner_product(embedding::DOUBLE[], q) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(q, q)) + CAST(1e-9 AS DOUBLE)) DESC, vec_id LIMIT 5")
-def j02_vector_search(spark: SparkSession, d: str) -> DataFrame:
-    """The five vectors most alike to a query vector: one row, joined as a broadcast."""
-    v = t.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = v.filter("vec_id = 0").select(F.col("v").alias("q"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = dot("v", "q") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("q", "q")) + 1e-9)
-    out = v.filter("vec_id <> 0").join(F.broadcast(q)).withColumn("c", cosine).orderBy(F.desc("c"), "vec_id").limit(5)
-    return out.select("vec_id", F.round("c", 6).alias("cosine"))
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT q.vec_id AS query, v.vec_id AS id, list_inner_product(q.v, v.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(v.v, v.v)) + CAST(1e-9 AS DOUBLE)) AS cosine FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+SELECT query, id, round(cosine, 6) AS cosine, row_number() OVER (PARTITION BY query ORDER BY round(cosine, 9) DESC, id) AS rank FROM c QUALIFY rank <= 5""")
+def c06_j02_vector_search(spark: SparkSession, d: str) -> DataFrame:
+    """For every vector whose id is divisible by 20 the five most alike of all others."""
+    v = t.read(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    out = le.nearest(v, v.filter("id % 20 = 0").withColumnRenamed("id", "query"))
+    return out.select("query", "id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
