@@ -4,8 +4,8 @@ A text's set holds the 64-bit hashes of its distinct word n-grams (exact up to c
 s <= r that link differ in at most H = (r + s)(1 - t) / (1 + t) members, which bounds r by s / t; sizes are cut into bands
 so narrow that a partner lies in the same band or the next. In each band the hash universe is cut into m = H + 1 segments,
 so that linked sets have the same members in at least one segment: (band, segment, members) is a signature, and texts that
-share none cannot link. Costs decide what a text spends on a segment: one signature as a rule; a segment of one member or
-none tells little and gets none, and the next segment gets its one-deletion neighbourhood instead, under signatures that
+share none cannot link. Costs decide what a text spends on a segment: one signature as a rule; a segment without members
+tells nothing and gets none, and the next segment gets its one-deletion neighbourhood instead, under signatures that
 name both. That loses nothing: the numbers of members in which a linked pair differs in the segments sum to at most m - 1, so by
 the cycle lemma there is a segment i without a difference after which segment i + 1 has at most one.
 
@@ -100,8 +100,7 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     found = []
     for b, m, at, values, sums in _segments(grams, percent):
         own = _mix(sums * _A + _mix(np.uint64(b << 32) + np.arange(m, dtype=np.uint64)))
-        # one member or none tells little, unless that is the whole set
-        bare = np.bincount(at, minlength=m) < min(2, len(grams))
+        bare = np.bincount(at, minlength=m) == 0
         found.append(own[~bare])
         found += [_neighbourhood(own[i : i + 1] + _C, (i + 1) % m, at, values, sums) for i in np.flatnonzero(bare)]
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
@@ -263,13 +262,15 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, few: int = 16,
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = materialize(_sign(docs, n, percent, kind), "signatures")
-    sets = signed.select("doc_id", "n_shingles", "digest")
+    sets = materialize(signed.select("doc_id", "n_shingles", "digest"), "sets")
     first = materialize(sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first")), "first-of-set")
 
     rows = signed.filter("doc_id is not null").select("doc_id", F.explode("sigs").alias("sig"))
-    shared = materialize(rows.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("sig"), "shared-signatures")
+    # only signatures are exchanged here, not whose they are
+    shared = materialize(rows.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "shared-signatures")
     stands = sets.join(first, "digest").groupBy("doc_id").agg(F.min("first").alias("node"))
     members = materialize(rows.join(shared, "sig").join(stands, "doc_id").select("sig", "node").distinct(), "members")
+    discard(signed, shared)
     sizes = members.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
     sized = members.join(sizes, "sig")
     degrees = sized.groupBy("node").agg(F.sum("size").alias("degree"))
@@ -287,7 +288,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, few: int = 16,
     nodes = materialize(_parted(links.of(open_.distinct()), "sig").select("node").distinct(), "open-nodes")
     if not nodes.isEmpty():
         _refine(nodes, links, percent, few, rounds)
-    discard(shared, members, stars, missed)
+    discard(members, stars, missed)
     by_set = first.join(links.labels.withColumnRenamed("node", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("component_id"))
     return sets.join(by_set, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

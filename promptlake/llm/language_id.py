@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents
 from .features import char_ngrams
@@ -138,20 +139,17 @@ def fit(labelled: DataFrame, sample: int = 600) -> LanguageModel:
     return train(ranked.toPandas().sort_values(["rank", "lang"]).reset_index(drop=True), idf)
 
 
-def identify(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns named, and the language and score of every row of docs under names that are not among them."""
+def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """doc_id (of any type), lang_pred and score of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
-                names=[*columns, *names],
-            )
-
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_text")).mapInArrow(predict, f"{schema}, `{names[0]}` string, `{names[1]}` double")
+            found = [shared.value.predict(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select("doc_id", "text").mapInArrow(predict, schema)
 
 
 def language_id(docs: DataFrame, sample: int = 600) -> DataFrame:
