@@ -30,6 +30,11 @@ def free(docs: DataFrame, name: str) -> str:
     return name
 
 
+def whole_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns named, and the whole row for its doc_id, so that verdicts need not be joined back and no names can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), *columns)
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     """docs with a number for each row, doc_id and text with that number for doc_id, and the number's name. Written once, so that it stays."""
     row = free(docs, "_row")
@@ -40,17 +45,14 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that quality_rules keeps. Null, empty and short texts go; each row is judged by its own text, also where rows repeat
     or share a doc_id; an empty table stays empty; all columns of docs are kept, whatever their names."""
-    rows, by_number, row = numbered(docs)
-    kept = quality_rules(by_number).filter("kept").select(F.col("doc_id").alias(row))
-    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality_rules(whole_rows(docs, "text", "lang", "source")).filter("kept").select("doc_id.*")
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows whose language is known with LEAST_SCORE at least. Null texts and texts without letters go, as do all rows where no
     language was learned; repeated rows share their verdict; an empty table stays empty; all columns of docs are kept, whatever their names."""
-    names = free(docs, "lang_pred"), free(docs, "score")
-    found = identify(docs, fit(docs.filter(~held_out())), tuple(docs.columns), names)
-    return found.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = identify(whole_rows(docs, "text"), fit(docs.filter(~held_out())))
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc_id.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
