@@ -38,6 +38,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the files of exchanges that nothing can read any more once the driver has collected their handles: collect them now."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once per row however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

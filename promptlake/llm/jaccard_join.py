@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import discard, documents, materialize
+from .common import discard, documents, materialize, release_shuffles
 from .components import connected_components
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -271,6 +271,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, few: int = 16,
     stands = sets.join(first, "digest").groupBy("doc_id").agg(F.min("first").alias("node"))
     members = materialize(rows.join(shared, "sig").join(stands, "doc_id").select("sig", "node").distinct(), "members")
     discard(signed, shared)
+    release_shuffles(docs.sparkSession)
     sizes = members.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
     sized = members.join(sizes, "sig")
     degrees = sized.groupBy("node").agg(F.sum("size").alias("degree"))
@@ -281,10 +282,12 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, few: int = 16,
     involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     links = _Links(materialize(_grams(docs.join(involved, "doc_id", "left_semi").distinct(), n, kind), "grams"), percent)
 
+    release_shuffles(docs.sparkSession)
     missed = stars.join(links.check(pairs).filter("not link").drop("link"), ["a", "b"])
     missed = materialize(missed, "missed-members")
     whole = stars.join(missed.filter("near").select("sig").distinct(), "sig", "left_semi")
     open_ = missed.select("sig", F.col("a").alias("node")).unionByName(whole.select("sig", F.col("a").alias("node"))).unionByName(whole.select("sig", F.col("b").alias("node")))
+    release_shuffles(docs.sparkSession)
     nodes = materialize(_parted(links.of(open_.distinct()), "sig").select("node").distinct(), "open-nodes")
     if not nodes.isEmpty():
         _refine(nodes, links, percent, few, rounds)
