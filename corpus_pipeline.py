@@ -3,6 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
 
+Rows are told apart by 64-bit hashes of what a verdict depends on, which no table of numbered rows need keep.
+
 Defined cases: each row has its own verdict, whether its doc_id is null, repeated or shared by other texts; of each group of
 near-duplicates one row stays, that with the least doc_id (null after all others; any of those that repeat it); texts
 without words are in no group and all stay there.
@@ -23,35 +25,29 @@ from promptlake.llm.quality_rules import quality_rules
 LEAST_SCORE = 0.3
 
 
-def free(docs: DataFrame, name: str) -> str:
-    """name, with underscores in front until docs has no such column."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name = f"_{name}"
-    return name
-
-
-def whole_rows(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns named, and the whole row for its doc_id, so that verdicts need not be joined back and no names can clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), *columns)
+KEY = "corpus_pipeline_key"
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
-    """docs with a number for each row, doc_id and text with that number for doc_id, and the number's name. Written once, so that it stays."""
-    row = free(docs, "_row")
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    return rows, rows.withColumn("doc_id", F.col(row)).drop(row), row
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs with KEY, a 64-bit hash of the columns named and of which of them are null: rows that agree in these share it."""
+    named = [F.col(c) for c in columns]
+    return docs.withColumn(KEY, F.xxhash64(*named, *[c.isNull() for c in named]))
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that quality_rules keeps. Null, empty and short texts go; each row is judged by its own text, also where rows repeat
     or share a doc_id; an empty table stays empty; all columns of docs are kept, whatever their names."""
-    return quality_rules(whole_rows(docs, "text", "lang", "source")).filter("kept").select("doc_id.*")
+    rows = keyed(docs, "text", "lang", "source")
+    kept = quality_rules(rows.withColumn("doc_id", F.col(KEY))).filter("kept").select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(kept, KEY, "left_semi").drop(KEY)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows whose language is known with LEAST_SCORE at least. Null texts and texts without letters go, as do all rows where no
     language was learned; repeated rows share their verdict; an empty table stays empty; all columns of docs are kept, whatever their names."""
-    found = identify(whole_rows(docs, "text"), fit(docs.filter(~held_out())))
+    # the whole row stands for its doc_id, so that no names can clash
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
+    found = identify(whole, fit(docs.filter(~held_out())))
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc_id.*")
 
 
@@ -59,12 +55,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One row of each group of near-duplicates (five words, 0.8): that with the least doc_id, null after all others, any of those
     that repeat it. Null texts and texts without words are in no group and stay; an empty table stays empty; all columns of
     docs are kept, whatever their names."""
-    rows, by_number, row = numbered(docs)
-    groups = jaccard_join(by_number, n=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
-    ids = rows.select(F.col(row).alias("row"), "doc_id")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = ids.join(groups, "row").groupBy("component_id").agg(least.alias("least")).select(F.col("least.row").alias(row))
-    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed(docs, "doc_id", "text")
+    groups = jaccard_join(rows.select(F.col(KEY).alias("doc_id"), "text"), n=5, percent=80).select(F.col("doc_id").alias(KEY), "component_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY))
+    kept = rows.select(KEY, "doc_id").distinct().join(groups, KEY).groupBy("component_id").agg(least.alias("least")).select(F.col(f"least.{KEY}").alias(KEY))
+    return rows.join(kept, KEY, "left_semi").dropDuplicates([KEY]).drop(KEY)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
