@@ -349,16 +349,16 @@ def test_ids_are_those_of_the_tokenizers_library(text):
     assert pk._encoder(pk.default_vocabulary())(text) == Tokenizer.from_file(pk.default_vocabulary()).encode(text, add_special_tokens=False).ids
 
 
-def test_packing_beats_best_fit():
-    """A histogram that best-fit decreasing packs into more bins than the bound, which the search meets."""
-    rng = random.Random(11)
-    counts = Counter()
-    for _ in range(150):  # bins that are full
-        at = sorted(rng.sample(range(1, 1024), rng.choice([1, 1, 2])))
-        counts.update(b - a for a, b in zip([0, *at], [*at, 1024]))
-    best = pk.best_fit(dict(counts), 1024)
-    found = pk.complete_bins(dict(counts), 1024)
-    assert sum(n for _, n in found) <= min(sum(n for _, n in best) - 1, 151) and pk.least_bins(dict(counts), 1024) == 150
+def test_packing_beats_best_fit(spark):
+    """The lengths of sf0.01's documents, which best-fit decreasing packs into more bins than the bound that the search meets."""
+    lengths = pk.token_pieces(documents(spark, "/root/testdata/sf0.01"), pk.default_vocabulary()).groupBy("length").count().collect()
+    counts = {r["length"]: r["count"] for r in lengths if r["length"] < 1024}
+    found = pk.complete_bins(counts)
+    packed = Counter()
+    for pattern, n in found:
+        assert sum(pattern) <= 1024
+        packed.update({size: n * k for size, k in Counter(pattern).items()})
+    assert packed == counts and sum(n for _, n in found) == pk.least_bins(counts, 1024) < sum(n for _, n in pk.best_fit(counts, 1024))
 
 
 def fewest(sizes, capacity):
