@@ -26,7 +26,7 @@ from .common import SPACE_SET, documents, let
 #: Width of a fingerprint's sub-tables, how many digests of one version a table is meant for, and of both versions in retries.
 WIDTH, LOAD, LOAD_BOTH = 8, 24, 48
 #: Widths of a sub-table that are tried in turn, with the seeds of their hashes.
-RETRIES = ((16, 0), (32, 0), (64, 0), (128, 0), (256, 0), (256, 1), (512, 2))
+RETRIES = ((32, 0), (64, 0), (256, 0), (256, 1), (512, 2))
 ROUNDS = 12
 
 
