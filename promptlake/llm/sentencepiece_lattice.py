@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import documents, let, materialize
 
 SPACE_MARK = "▁"
-LONG = 512
+LONG = 64
 
 
 def default_model() -> str:
