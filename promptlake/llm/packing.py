@@ -40,32 +40,49 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(2)
-def _encoder(vocabulary: str):
-    """text to ids as the tokenizers library gives them for a byte-level BPE file, run by tiktoken at several times the speed.
-    Texts with a run of white space that is too long for tiktoken's pattern go to the library itself."""
-    import tiktoken
-
+def byte_level_vocabulary(vocabulary: str) -> dict[bytes, int]:
+    """The bytes of each entry of a byte-level BPE file, without added tokens, and its id."""
     with open(vocabulary, encoding="utf-8") as file:
         spec = json.load(file)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-    added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-    ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
-    encoder = tiktoken.Encoding("pieces", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=added)
+    added = {t["content"] for t in spec.get("added_tokens", ())}
+    return {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+
+
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    with open(vocabulary, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file).get("added_tokens", ())}
+
+
+@lru_cache(4)
+def ordinary_encoder(vocabulary: str, added: bool = False):
+    """text to ids as the tokenizers library gives them for a byte-level BPE file, run by tiktoken at several times the speed;
+    ``added``: an added token that a text holds is that token, else plain text.
+    Texts with a run of white space that is too long for tiktoken's pattern go to the library itself."""
+    import tiktoken
+
+    special = added_tokens(vocabulary)
+    encoder = tiktoken.Encoding("pieces", pat_str=WORDS, mergeable_ranks=byte_level_vocabulary(vocabulary), special_tokens=special)
 
     def encode(text: str) -> list[int]:
         if len(text) > LONG_RUN and LONG_SPACE.search(text):
             from tokenizers import Tokenizer
 
-            return Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False).ids
-        if any(x in text for x in added):
+            library = Tokenizer.from_file(vocabulary)
+            library.encode_special_tokens = not added
+            return library.encode(text, add_special_tokens=False).ids
+        if added and any(x in text for x in special):
             return encoder.encode(text, allowed_special="all")
         return encoder.encode_ordinary(text)
 
     return encode
 
 
+def _encoder(vocabulary: str):
+    return ordinary_encoder(vocabulary, added=True)
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; of a document that is cut, the first may be shorter."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
