@@ -7,6 +7,7 @@ from .html_extract import op10_html_extraction
 from .jaccard_join import op5_ngram_jaccard_join
 from .language_id import op8_language_id
 from .lm_scoring import op2_lm_scoring
+from .long_repeats import op11_long_repeats
 from .merkle_manifest import OP12_SQL, op12_merkle_manifest
 from .packing import op7_best_fit_packing
 from .preference import OP6_SQL, op6_preference_formatting
@@ -26,6 +27,7 @@ _FUNCTIONS = (
     op8_language_id,
     op9_quality_classifier,
     op10_html_extraction,
+    op11_long_repeats,
     op12_merkle_manifest,
     op13_token_alignment,
 )
