@@ -268,6 +268,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, few: int = 16,
     rows = signed.filter("doc_id is not null").select("doc_id", F.explode("sigs").alias("sig"))
     # only signatures are exchanged here, not whose they are
     shared = materialize(rows.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "shared-signatures")
+    release_shuffles(docs.sparkSession)  # before the signatures are exchanged again, with whose they are
     stands = sets.join(first, "digest").groupBy("doc_id").agg(F.min("first").alias("node"))
     members = materialize(rows.join(shared, "sig").join(stands, "doc_id").select("sig", "node").distinct(), "members")
     discard(signed, shared)
