@@ -275,6 +275,7 @@ def test_jaccard_join_one_large_group(spark):
     has = np.array([[g in x for g in often] for x in sets], np.float32)
     both, size = has @ has.T, np.array([len(x) for x in sets])
     linked = 100 * both >= 85 * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(linked, True)  # shingles of one text alone are not in ``has``
     at = np.arange(len(rows))
     while (now := np.where(linked, at[None, :], len(rows)).min(1)).tolist() != at.tolist():
         at = now
@@ -760,6 +761,14 @@ def test_pipeline_judges_rows(spark):
     assert sorted(found.select("doc_id", "text").collect(), key=str) == sorted([(None, good[0]), (5, good[1]), (3, good[2]), (3, good[3]), (4, good[4])], key=str)
 
 
+def test_pipeline_keeps_repeats_without_words(spark):
+    import corpus_pipeline as cp
+
+    rows = [(1, None, "en", "a"), (1, None, "en", "a"), (2, "", "en", "a"), (2, "", "en", "a"), (None, " \n", "en", "a"), (None, " \n", "en", "a"), (3, "a b", "en", "a"), (3, "a b", "en", "a")]
+    found = cp.keep_one_of_each_group(spark, frame(spark, rows), "").select("doc_id", "text").collect()
+    assert sorted(found, key=str) == sorted([x[:2] for x in rows[:-1]], key=str)
+
+
 def test_pipeline_edges_and_clashing_names(spark, sf_dir):
     """Null, empty, blank, repeated and long texts, no rows, and columns named as the stages name theirs."""
     import corpus_pipeline as cp
