@@ -25,7 +25,9 @@ from promptlake.llm.quality_rules import quality_rules
 LEAST_SCORE = 0.3
 
 
-KEY = "corpus_pipeline_key"
+KEY, ROW = "corpus_pipeline_key", "corpus_pipeline_row"
+#: Any character but ASCII white space.
+WORDED = r"[^\x20\x09-\x0D]"
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -59,7 +61,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     groups = jaccard_join(rows.select(F.col(KEY).alias("doc_id"), "text"), n=5, percent=80).select(F.col("doc_id").alias(KEY), "component_id").distinct()
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY))
     kept = rows.select(KEY, "doc_id").distinct().join(groups, KEY).groupBy("component_id").agg(least.alias("least")).select(F.col(f"least.{KEY}").alias(KEY))
-    return rows.join(kept, KEY, "left_semi").dropDuplicates([KEY]).drop(KEY)
+    # of rows that share a key one stays, but for those that are in no group
+    one = F.when(F.coalesce("text", F.lit("")).rlike(WORDED), 0).otherwise(F.monotonically_increasing_id())
+    return rows.join(kept, KEY, "left_semi").withColumn(ROW, one).dropDuplicates([KEY, ROW]).drop(KEY, ROW)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
