@@ -182,9 +182,11 @@ def permutation_p_value(a: DataFrame, b: DataFrame, features: list[str], rounds:
 
 
 def recent(samples: DataFrame, key: str, order: list[str], value: str, size: int = 100) -> DataFrame:
-    """samples with the number and mean of the last ``size`` values of each key up to each row."""
+    """samples with the number and mean of the last ``size`` values of each key up to each row; sums are of millionths, so that
+    their order does not tell."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - size, 0)
-    return samples.withColumns({"n": F.count(value).over(w), "mean": r(F.avg(value).over(w))})
+    millionths = F.round(F.col(value) * 1e6).cast("long")
+    return samples.withColumns({"n": F.count(value).over(w), "mean": r(F.sum(millionths).over(w) / F.count(value).over(w) / 1e6)})
 
 
 # --- circuit breaker

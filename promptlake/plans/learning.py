@@ -230,7 +230,7 @@ def j13_k08_breaker(spark: SparkSession, d: str) -> DataFrame:
     return le.breaker_log(e.select(F.col("endpoint").alias("provider"), F.unix_micros(F.to_timestamp_ltz(F.col("at").cast("string"))).cast("double").alias("us"), "id", (F.col("duration_ms") < 150).alias("ok")).withColumn("at", F.col("us") / 1e6))
 
 
-@query(f"SELECT id, user_id, count(quality) OVER w AS n, round(avg(quality) OVER w, 6) AS mean FROM ({R}) r WINDOW w AS (PARTITION BY user_id ORDER BY id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+@query(f"SELECT id, user_id, count(quality) OVER w AS n, round(CAST(sum(CAST(round(quality * 1e6) AS BIGINT)) OVER w AS DOUBLE) / count(quality) OVER w / 1e6, 6) AS mean FROM ({R}) r WINDOW w AS (PARTITION BY user_id ORDER BY id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
 def k03_recent_window(spark: SparkSession, d: str) -> DataFrame:
     return le.recent(t.requests(spark, d), "user_id", ["id"], "quality").select("id", "user_id", "n", "mean")
 
