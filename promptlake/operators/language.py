@@ -278,15 +278,20 @@ def similar_pairs(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
     sets only the least doc_id. Exact, by prefix filtering: of each set the rarest shingles, one of which a pair must share."""
     s = docs.select("doc_id", F.transform(tx.shingles(F.coalesce("text", F.lit("")), k), lambda x: F.xxhash64(x)).alias("s"))
     s = s.groupBy(F.sort_array("s").alias("s")).agg(F.min("doc_id").alias("doc_id"))
-    rows = s.select("doc_id", F.size("s").alias("size"), F.explode("s").alias("shingle"))
+    return set_pairs(s.withColumnRenamed("doc_id", "node"), percent)
+
+
+def set_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of sets (node, s) that agree by percent of their union at least, with their ``jaccard``."""
+    rows = sets.select("node", F.size("s").alias("size"), F.explode("s").alias("shingle"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = rows.join(often, "shingle").groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("shared"))
+    shared = rows.join(often, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("shared"))
     # shingles of one text come first in its prefix, and meet no other
     first = F.slice("shared", 1, F.greatest(F.lit(0), F.size("shared") - F.ceil(F.col("size") * percent / F.lit(100)).cast("int") + 1))
-    prefix = shared.select("doc_id", "size", F.explode(F.transform(first, lambda x: x["shingle"])).alias("shingle"))
-    a, b = (prefix.select("shingle", F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+    prefix = shared.select("node", "size", F.explode(F.transform(first, lambda x: x["shingle"])).alias("shingle"))
+    a, b = (prefix.select("shingle", F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
     near = a.join(b, "shingle").filter(f"a < b and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)").select("a", "b").distinct()
-    both = near.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    both = near.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("sum"))
     return both.filter(f"100 * n >= {percent} * (sum - n)").select("a", "b", F.round(F.col("n") / (F.col("sum") - F.col("n")), 6).alias("jaccard"))
 

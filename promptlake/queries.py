@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analytics, language, learning, texts  # noqa: F401
+from .plans import analytics, clusters, language, learning, texts  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 FLAGSHIP = "b01_cost_summary"
