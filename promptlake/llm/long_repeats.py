@@ -32,6 +32,8 @@ from .common import discard, documents, materialize, release_shuffles
 
 WINDOW, ANCHOR, FEW, MOST = 100, 24, 16, 64
 PART = 4 << 20
+#: With a stretch's number of windows, below this, its anchor's place after its first window's.
+OFFSET = 1 << 12
 STRETCH, SPAN, WINDOWS, MARK = 0, 1, 2, 3
 NO_ID = np.iinfo(np.int64).min
 FACTOR = 0x9E3779B97F4A7C15 | 1
@@ -80,7 +82,7 @@ class Scan:
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR):
         none = np.empty(0, np.int64)
-        self.first = self.last = none
+        self.first = self.last = self.offset = none
         self.a = self.s = np.empty(0, np.uint64)
         if len(data) < window:
             return
@@ -96,7 +98,7 @@ class Scan:
         final = fits.copy()
         final[:-1] &= ~fits[1:] | (at[1:] != at[:-1])
         self.first, self.last = np.flatnonzero(new), np.flatnonzero(final)
-        self.a = parts[at[self.first]]
+        self.a, self.offset = parts[at[self.first]], at[self.first] - self.first
         width = (self.last - self.first).astype(np.uint64)
         self.s = _mixed(self.windows[self.first] * np.uint64(FACTOR) + self.windows[self.last] + width * np.uint64(0xD6E8FEB86659FD93))
 
@@ -163,30 +165,44 @@ def _scan_rows(window: int, anchor: int, few: int, part: int):
                 p = scan.first - base[of] + begins[of]
                 c = scan.last - scan.first + 1
                 order = np.lexsort((p, th, doc, scan.s, scan.a))
-                a, s, doc, th, p, c, first = (x[order] for x in (scan.a, scan.s, doc, th, p, c, scan.first))
+                a, s, doc, th, p, c, first, offset = (x[order] for x in (scan.a, scan.s, doc, th, p, c, scan.first, scan.offset))
                 own = _starts(a, s)
                 f = _firsts(own)
                 later = (doc != doc[f]) | (th != th[f]) | (p != p[f])
                 yield _rows(SPAN, *(x[later] for x in (a, s, doc, th, p, c)))
-                a, s, doc, th, p, c, first = (x[own] for x in (a, s, doc, th, p, c, first))
+                a, s, doc, th, p, c, first, offset = (x[own] for x in (a, s, doc, th, p, c, first, offset))
                 new = _starts(a)
                 group = np.cumsum(new) - 1
                 hot = np.bincount(group)[group] > few
                 cold = ~hot
-                yield _rows(STRETCH, *(x[cold] for x in (a, s, doc, th, p, c)))
+                yield _rows(STRETCH, *(x[cold] for x in (a, s, doc, th, p, c + OFFSET * offset)))
                 if hot.any():
                     marks = hot & new
                     yield _rows(MARK, a[marks], 0, NO_ID, 0, 0, 0)
                     a, doc, th, p, c, first = (x[hot] for x in (a, doc, th, p, c, first))
-                    yield _window_rows(scan.windows, a, doc, th, p, c, first)
+                    yield from _window_rows(scan.windows, a, doc, th, p, c, first)
 
     return run
 
 
-def _window_rows(windows, a, doc, th, p, c, first) -> pa.RecordBatch:
+def _window_rows(windows, a, doc, th, p, c, first) -> Iterator[pa.RecordBatch]:
+    """A row for each different window of the stretches, its first one; the others as spans."""
     step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
     wide = lambda x: np.repeat(x, c)
-    return _rows(WINDOWS, wide(a), windows[wide(first) + step], wide(doc), wide(th), wide(p) + step, 1)
+    s = windows[wide(first) + step]
+    a, doc, th, p = wide(a), wide(doc), wide(th), wide(p) + step
+    order = np.lexsort((p, th, doc, s, a))
+    a, s, doc, th, p = (x[order] for x in (a, s, doc, th, p))
+    own = _starts(a, s)
+    f = _firsts(own)
+    yield _rows(WINDOWS, *(x[own] for x in (a, s, doc, th, p)), 1)
+    later = (doc != doc[f]) | (th != th[f]) | (p != p[f])
+    a, doc, th, p = (x[later] for x in (a, doc, th, p))
+    order = np.lexsort((p, th, doc))
+    a, doc, th, p = (x[order] for x in (a, doc, th, p))
+    new = _starts(doc, th, p - np.arange(len(p)))  # windows in a row are one span
+    at = np.flatnonzero(new)
+    yield _rows(SPAN, a[at], 0, doc[at], th[at], p[at], np.diff(np.append(at, len(p))))
 
 
 def _dealt(most: int):
@@ -204,7 +220,7 @@ def _dealt(most: int):
         different = np.bincount(group, own & real)[group]
         hot = (np.bincount(group, ~real)[group] > 0) | (different > most)
         asked = real & own & (hot | (different > 1))
-        spans = _rows(SPAN, *(x[later] for x in (a, s, doc, th, p, c)))
+        spans = _rows(SPAN, *(x[later] for x in (a, s, doc, th, p, c % OFFSET)))
         wanted = _rows(np.where(hot[asked], WINDOWS, STRETCH), *(x[asked] for x in (a, s, doc, th, p, c)))
         return pa.Table.from_batches([spans, wanted])
 
@@ -216,24 +232,25 @@ def _fetched(window: int):
     schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("s", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int64()), ("c", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                doc, th, asked, text = (batch.column(k)[row] for k in range(4))
-                data = text.as_py().encode()
-                asked = asked.values
-                kind, a, p, c = (asked.field(k).to_numpy(zero_copy_only=False) for k in ("kind", "a", "p", "c"))
-                doc, th = doc.as_py(), th.as_py()
-                plain = kind == STRETCH
-                parts = [data[x : x + n - 1 + window] for x, n in zip(p[plain].tolist(), c[plain].tolist())]
-                out = _rows(STRETCH, a[plain], 0, doc, th, p[plain], c[plain])
+        for whole in batches:
+            for batch in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
+                parts, plain, hot, pieces = [], [], [], []
+                for doc, th, asked, text in zip(_longs(batch.column(0)), _longs(batch.column(1)), batch.column(2), batch.column(3)):
+                    data = text.as_py().encode()
+                    asked = asked.values
+                    kind, a, p, c = (asked.field(k).to_numpy(zero_copy_only=False) for k in ("kind", "a", "p", "c"))
+                    for k, own, x, n in zip(kind.tolist(), a.tolist(), p.tolist(), c.tolist()):
+                        content = data[x : x + n % OFFSET - 1 + window]
+                        (plain if k == STRETCH else hot).append((own, n // OFFSET, doc, th, x, n % OFFSET))
+                        (parts if k == STRETCH else pieces).append(content)
+                out = _rows(STRETCH, *np.array(plain, np.int64).reshape(-1, 6).T)
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(parts, pa.binary())], schema=schema)
-                if not plain.all():
-                    a, p, c = a[~plain], p[~plain], c[~plain].astype(np.int64)
-                    pieces = [np.frombuffer(data, np.uint8)[x : x + n - 1 + window] for x, n in zip(p, c)]
+                if hot:
+                    a, _, doc, th, p, c = np.array(hot, np.int64).T
                     first = np.cumsum([0, *map(len, pieces)])[:-1]
-                    windows = rolling(np.concatenate(pieces), (window,))[0]
-                    out = _window_rows(windows, a, np.full(len(a), doc), np.full(len(a), th), p, c, first)
-                    yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], schema=schema)
+                    windows = rolling(np.frombuffer(b"".join(pieces), np.uint8), (window,))[0]
+                    for out in _window_rows(windows, a, doc, th, p, c, first):
+                        yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], schema=schema)
 
     return run
 
@@ -246,7 +263,9 @@ class RunIndex:
 
     def __init__(self, text: np.ndarray):
         self.text = text
-        order = suffix_order(text)
+        first = first_ranks(text)
+        self.same, self.step = first[1], first[3]  # equal where so many symbols agree
+        order = suffix_order(text, first)
         before = text[order - 1]  # of the first suffix the text's last symbol, a 0
         new = _starts(before)
         self.starts = np.flatnonzero(new)
@@ -272,13 +291,17 @@ class RunIndex:
     def common(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many symbols the suffixes at x and y share, up to most; a 0 ends both."""
         found, active = np.zeros(len(x), np.int64), np.flatnonzero(most > 0)
-        while len(active):
+        while len(active):  # in strides of as many symbols as equal ranks tell
+            active = active[self.same[x[active] + found[active]] == self.same[y[active] + found[active]]]
+            found[active] += self.step
+            active = active[found[active] < most[active]]
+        active = np.flatnonzero(found < most)
+        for _ in range(self.step - 1):
             at, to = x[active] + found[active], y[active] + found[active]
-            same = (self.text[at] == self.text[to]) & (self.text[at] > 0)
-            active = active[same]
+            active = active[(self.text[at] == self.text[to]) & (self.text[at] > 0)]
             found[active] += 1
             active = active[found[active] < most[active]]
-        return found
+        return np.minimum(found, most)
 
     def statistics(self, queries: np.ndarray, ends: np.ndarray, cap: int) -> np.ndarray:
         """For each symbol of the queries, laid end to end, the length up to cap of the longest match that begins there. All queries go
@@ -313,26 +336,45 @@ class RunIndex:
         return found
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes in order by doubling ranks; a 0 ends a suffix's comparison, as zeros differ by place."""
-    n = len(text)
-    zero = text == 0
-    zeros = int(zero.sum())
-    _, rank = np.unique(text, return_inverse=True)
-    rank = np.where(zero, np.cumsum(zero) - 1, rank + zeros).astype(np.int64)
-    size = 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - size] = rank[size:] + 1 if size < n else 0
-        after[zero] = 0
-        keys = rank * (n + zeros + 300) + after if int(rank.max(initial=0) + 1) * (n + zeros + 300) < 1 << 62 else None
-        order = np.argsort(keys, kind="stable") if keys is not None else np.lexsort((after, rank))
-        new = _starts(rank[order], after[order])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        if new.all() or size > n:
-            return order
+def first_ranks(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Suffixes in order by their first ``size`` symbols, each one's rank, which places of the order begin a new rank, and size. A suffix
+    that a 0 ends within these has a rank of its own."""
+    present = np.zeros(int(text.max(initial=0)) + 1, np.int64)
+    present[text] = 1
+    present[0] = 0
+    dense = np.cumsum(present)
+    bits, size, key = int(dense[-1]).bit_length(), 1, np.where(text > 0, dense[text], 0)
+    ended = text == 0
+    while 2 * size * bits <= 62 and size < 8:
+        after, off = np.zeros_like(key), np.ones_like(ended)
+        after[:-size], off[:-size] = key[size:], ended[size:]
+        key = key << (bits * size) | np.where(ended, 0, after)
+        ended = ended | off
         size *= 2
+    order = np.argsort(key, kind="stable")
+    new = _starts(key[order]) | ended[order]
+    rank = np.empty(len(text), np.int64)
+    rank[order] = _firsts(new)
+    return order, rank, new, size
+
+
+def suffix_order(text: np.ndarray, first: tuple | None = None) -> np.ndarray:
+    """Suffixes in order by doubling ranks, of which only those still equal to a neighbour are sorted again; a 0 ends a suffix's comparison, as zeros differ by place."""
+    order, rank, new, size = first or first_ranks(text)
+    order, rank, n = order.copy(), rank.copy(), len(text)
+    alone = new & np.append(new[1:], True)
+    places = np.flatnonzero(~alone)
+    while len(places):
+        at = order[places]
+        key = rank[at] * (n + 1) + np.where(at + size < n, rank[np.minimum(at + size, n - 1)] + 1, 0)
+        turn = np.argsort(key)
+        at, key = at[turn], key[turn]
+        order[places] = at
+        new = _starts(key)
+        rank[at] = places[_firsts(new)]
+        places = places[~(new & np.append(new[1:], True))]
+        size *= 2
+    return order
 
 
 def later_matches(strings: list[bytes], group: np.ndarray, window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
@@ -364,12 +406,30 @@ def later_matches(strings: list[bytes], group: np.ndarray, window: int = WINDOW)
         bit += 1
 
 
-def _matched(window: int):
+def can_match(strings: list[bytes], group: np.ndarray, offset: np.ndarray, window: int, anchor: int, pieces: int = 4) -> np.ndarray:
+    """Whether a string agrees with another of its group on one of a few pieces around the anchor. Windows of equal anchors that are
+    equal have the anchor at the same place, so each contains the piece that belongs to this place's range."""
+    free = window - anchor
+    width = free // pieces + 1
+    may = np.zeros(len(strings), bool)
+    for low in range(0, free + 1, width):
+        high = min(free, low + width - 1)  # bytes before the anchor in the windows meant
+        known: dict[tuple[int, bytes], int] = {}
+        for k, (s, g, at) in enumerate(zip(strings, group.tolist(), offset.tolist())):
+            if at >= low and at + anchor + free - high <= len(s):
+                other = known.setdefault((g, s[at - low : at + anchor + free - high]), k)
+                if other != k:
+                    may[k] = may[other] = True
+    return may
+
+
+def _matched(window: int, anchor: int):
     def run(rows: pa.Table) -> pa.Table:
-        a, doc, th, p = (rows.column(c).to_numpy() for c in ("a", "doc_id", "th", "p"))
+        a, doc, th, p, offset = (rows.column(c).to_numpy() for c in ("a", "doc_id", "th", "p", "s"))
         order = np.lexsort((p, th, doc, a))
         own = _starts(*(x[order] for x in (a, doc, th, p)))
         order = order[own]  # rows of equal documents once
+        order = order[can_match(rows.column("bytes").take(pa.array(order)).to_pylist(), a[order], offset[order], window, anchor)]
         strings = rows.column("bytes").take(pa.array(order)).to_pylist()
         a, doc, th, p = (x[order] for x in (a, doc, th, p))
         found = np.array([*later_matches(strings, a, window)], np.int64).reshape(-1, 3)
@@ -416,16 +476,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     by_text = asked.filter(F.col("kind") != SPAN).groupBy("doc_id", "th").agg(F.collect_list(F.struct("kind", "a", "p", "c")).alias("asked"))
     fetched = texts.join(by_text, ["doc_id", "th"]).select("doc_id", "th", "asked", "text").mapInArrow(_fetched(window), f"{ROWS}, bytes binary")
     fetched = materialize(fetched, "stretch-bytes")
+    release_shuffles(spark)
     strings = fetched.filter(F.col("kind") == STRETCH)
     tasks = 1 + strings.count() // strings_a_task
-    matched = strings.groupBy(F.pmod("a", F.lit(tasks)).alias("task")).applyInArrow(_matched(window), ROWS)
+    matched = strings.groupBy(F.pmod("a", F.lit(tasks)).alias("task")).applyInArrow(_matched(window, anchor), ROWS)
     rows = scanned.filter(F.col("kind") == WINDOWS).unionByName(fetched.drop("bytes").filter(F.col("kind") == WINDOWS))
     place = F.struct("doc_id", "th", "p")
     firsts = rows.groupBy("a", "s").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
     compared = rows.join(firsts, ["a", "s"]).filter(place > F.col("first"))
     columns = ["doc_id", "th", "p", "c"]
-    known = [x.filter(F.col("kind") == SPAN).select(columns) for x in (scanned, asked)]
-    found = materialize(known[0].unionByName(known[1]).unionByName(matched.select(columns)).unionByName(compared.select(columns)), "repeats")
+    found = matched.select(columns).unionByName(compared.select(columns))
+    for known in (scanned, asked, fetched):
+        found = found.unionByName(known.filter(F.col("kind") == SPAN).select(columns))
+    found = materialize(found, "repeats")
     discard(scanned, asked, fetched)
     release_shuffles(spark)
     return found
