@@ -1,19 +1,24 @@
 """Alignment of two tokenizers over the same texts: groups between common token ends, links within groups, counts of linked ids.
 
-Python tasks tokenize only; from the arrays of ids and token ends on, all is Spark's higher-order functions. Where a common end stands
-among a side's ends is found by sorting both arrays together, so that a text of n tokens costs n log n. Only id pairs are
-exchanged, counted before the exchange; their number is bounded by the vocabularies and not by the corpus.
+Python tasks tokenize only; from the arrays of ids and token ends on, all is Spark's higher-order functions. No token of either
+vocabulary goes over a blank between two other characters, so a text is a sequence of units between those, and both tokenizers end a
+token where a unit ends. A task hands on texts in portions: each text as numbers of units, and the portion's different units
+once, with their tokens, so that groups and links are worked out once for each unit of a portion. Where a common end stands among a
+side's ends is found by sorting both arrays together: a unit of n tokens costs n log n. Only id pairs are exchanged, counted
+before the exchange; their number is bounded by the vocabularies and not by the corpus.
 
 Defined cases: a null or empty text, or one that either tokenizer does not give back byte by byte, has no tokens: zeros and an empty
 groups_sha256; strings of special tokens are plain text; each of repeated rows has its own result and counts as a document; a
-very long text is one row of arrays as long as its tokens and links; ties for the highest count are all best; an empty
-table gives an empty result; other columns are not read.
+very long text is a portion of its own, with arrays as long as its units and links; ties for the highest count are all best; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,11 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, documents, let, materialize
 from .packing import byte_level_vocabulary, default_vocabulary, ordinary_encoder
 
-TOKENS = "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+UNIT = "struct<a_ids:array<int>,a_ends:array<int>,b_ids:array<int>,b_ends:array<int>>"
+#: Characters of the texts in a portion, unless one has more; different units that a worker remembers the tokens of.
+PORTION, REMEMBERED = 4_000_000, 500_000
+#: Blanks between characters that are none.
+BLANK = re.compile(r"(?<=\S) (?=\S)")
 PAIR = 1 << 32
 
 
@@ -51,34 +60,76 @@ def _sides(vocabulary: str, pieces: str):
     return (lambda text: encode(" " + text), shown), (lambda text: model.encode(text, num_threads=1), known)
 
 
-def tokenized(docs: DataFrame, vocabulary: str, pieces: str) -> DataFrame:
-    """row, doc_id and, of both tokenizers, the ids and the byte offset where each token ends."""
+def _lists(rows: list) -> pa.ListArray:
+    edges = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([*map(len, rows)], out=edges[1:])
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, edges[-1])))
+
+
+def _one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def portions(docs: DataFrame, vocabulary: str, pieces: str, portion: int = PORTION) -> DataFrame:
+    """Rows of ``docs``, each with row, doc_id, numbers of tokens and ``units`` (places in the row's ``units``), and ``units``: ids and byte
+    offsets of token ends of both tokenizers. A text without tokens has no units."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = _sides(vocabulary, pieces)
-        for whole in batches:
-            for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
-                columns = [[], [], [], []]
-                for text in batch.column(2).to_pylist():
-                    found = [(), (), (), ()]
-                    if text:
-                        target = (" " + text).encode()
-                        ids = [encode(text) for encode, _ in sides]
-                        tokens = [[known[i] for i in own] for own, (_, known) in zip(ids, sides)]
-                        if all(b"".join(own) == target for own in tokens):
-                            ends = [np.cumsum([*map(len, own)], dtype=np.int32) for own in tokens]
-                            found = [ids[0], ends[0], ids[1], ends[1]]
-                    for column, value in zip(columns, found):
-                        column.append(np.asarray(value, np.int32))
-                arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c) if c else np.empty(0, np.int32), pa.int32())) for c in columns]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["row", "doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+        remembered: dict[str, tuple | None] = {}
+
+        def tokens(unit: str) -> tuple | None:
+            found, target = [], (" " + unit).encode()
+            for encode, known in sides:
+                ids = encode(unit)
+                own = [known[i] for i in ids]
+                if b"".join(own) != target:
+                    return None
+                found += [ids, [*accumulate(map(len, own))]]
+            return tuple(found)
+
+        def packed(rows: list, known: dict[str, int], units: list) -> pa.RecordBatch:
+            columns = [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], id_type)]
+            counts = [np.fromiter((len(u[k]) for u in units), np.int64, len(units)) for k in (0, 2)]
+            columns += [pa.array(np.fromiter((n[x[2]].sum() for x in rows), np.int64, len(rows))) for n in counts]
+            texts = pa.StructArray.from_arrays([*columns, _lists([x[2] for x in rows])], names=["row", "doc_id", "n_a", "n_b", "units"])
+            table = pa.StructArray.from_arrays([_lists([u[k] for u in units]) for k in range(4)], names=["a_ids", "a_ends", "b_ids", "b_ends"])
+            return pa.RecordBatch.from_arrays([_one_list(texts), _one_list(table)], names=["docs", "units"])
+
+        rows, known, units, size = [], {}, [], 0
+        for batch in batches:
+            id_type = batch.column(1).type
+            for row, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                text = text or ""
+                if rows and size + len(text) > portion:
+                    yield packed(rows, known, units)
+                    rows, known, units, size = [], {}, [], 0
+                size += len(text)
+                places = []
+                for unit in BLANK.split(text) if text else ():
+                    at = known.get(unit)
+                    if at is None:
+                        if unit not in remembered:
+                            if len(remembered) >= REMEMBERED:
+                                remembered.clear()
+                            remembered[unit] = tokens(unit)
+                        if remembered[unit] is None:
+                            places = []
+                            break
+                        at = known[unit] = len(units)
+                        units.append(remembered[unit])
+                    places.append(at)
+                rows.append((row, doc_id, np.array(places, np.int32)))
+        if rows:
+            yield packed(rows, known, units)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, {TOKENS}")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return numbered.mapInArrow(run, f"docs array<struct<row:long,doc_id:{kind},n_a:long,n_b:long,units:array<int>>>, units array<{UNIT}>")
 
 
 def ends_up_to(ends: Column, common: Column) -> Column:
     """For each of the ascending common ends, how many of the ascending ends are not beyond it."""
-    merged = F.array_sort(F.concat(F.transform(ends, lambda e: e.cast("long") * 2), F.transform(common, lambda e: e.cast("long") * 2 + 1)))
+    merged = F.sort_array(F.concat(F.transform(ends, lambda e: e * F.lit(2)), F.transform(common, lambda e: e * F.lit(2) + F.lit(1))))
     spots = F.filter(F.transform(merged, lambda e, i: F.when(e % 2 == 1, i).otherwise(-1)), lambda i: i >= 0)
     return F.transform(spots, lambda i, k: i - k)
 
@@ -88,35 +139,58 @@ def groups_of(ids: Column, upto: Column) -> Column:
     return let(upto, lambda u: F.transform(u, lambda to, k: let(F.when(k == 0, 0).otherwise(F.get(u, k - 1)), lambda of: F.slice(ids, of + 1, to - of))))
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """row, doc_id, n_a, n_b, n_groups, groups_sha256 and links: an id of A and one of B for each pair of tokens that share a group."""
-    common = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    cut = common.withColumns({f"{x}_groups": groups_of(F.col(f"{x}_ids"), ends_up_to(F.col(f"{x}_ends"), F.col("common"))) for x in "ab"})
-    groups = cut.withColumn("groups", F.arrays_zip(F.col("a_groups").alias("a"), F.col("b_groups").alias("b")))
-    linked = F.transform("groups", lambda g: F.flatten(F.transform(g["a"], lambda a: F.transform(g["b"], lambda b: a.cast("long") * PAIR + b))))
-    shown = F.array_join(F.transform("groups", lambda g: F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ","))), ";")
-    links = groups.select(
-        "row", "doc_id", *[F.size(f"{x}_ids").cast("long").alias(f"n_{x}") for x in "ab"], F.size("groups").cast("long").alias("n_groups"),
-        F.when(F.size("groups") > 0, F.sha2(shown, 256)).otherwise("").alias("groups_sha256"), F.flatten(linked).alias("links"),
-    )
-    return links
+def aligned_unit(unit: Column) -> Column:
+    """groups (as text), n_groups and links of a unit: an id of A and one of B for each pair of tokens that share a group."""
+    def of(common: Column) -> Column:
+        sides = [groups_of(unit[f"{x}_ids"], ends_up_to(unit[f"{x}_ends"], common)) for x in "ab"]
+        return F.zip_with(*sides, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def told(groups: Column) -> Column:
+        shown = F.transform(groups, lambda g: F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ",")))
+        linked = F.transform(groups, lambda g: F.flatten(F.transform(g["a"], lambda a: F.transform(g["b"], lambda b: a.cast("long") * PAIR + b))))
+        return F.struct(F.array_join(shown, ";").alias("groups"), F.size(groups).cast("long").alias("n_groups"), F.flatten(linked).alias("links"))
+
+    return let(let(F.array_intersect(unit["a_ends"], unit["b_ends"]), of), told)
+
+
+def aligned(found: DataFrame) -> DataFrame:
+    """Portions with ``docs`` (row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, units) and, of their units, the linked ids ``of`` A and ``to`` B."""
+    def of(units: Column) -> Column:
+        total = lambda d, value: F.aggregate(d["units"], F.lit(0).cast("long"), lambda n, i: n + value(F.get(units, i)))
+
+        def doc(d: Column) -> Column:
+            text = F.array_join(F.transform(d["units"], lambda i: F.get(units, i)["groups"]), ";")
+            sums = [total(d, lambda u: u["n_groups"]).alias("n_groups"), total(d, lambda u: F.size(u["links"]).cast("long")).alias("n_links")]
+            hashed = F.when(F.size(d["units"]) > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256")
+            return F.struct(*[d[c].alias(c) for c in ("row", "doc_id", "n_a", "n_b")], *sums, hashed, d["units"].alias("units"))
+
+        halves = [F.transform(units, lambda u: F.transform(u["links"], lambda x: F.shiftright(x, 32).cast("int"))), F.transform(units, lambda u: F.transform(u["links"], lambda x: (x % PAIR).cast("int")))]
+        return F.struct(F.transform("docs", doc).alias("docs"), halves[0].alias("of"), halves[1].alias("to"))
+
+    return found.select(let(F.transform("units", aligned_unit), of).alias("x")).select("x.*")
+
+
+def _with_links(kept: DataFrame, value) -> DataFrame:
+    """value(a portion's links by unit), exploded."""
+    links = F.zip_with("of", "to", lambda x, y: F.zip_with(x, y, lambda a, b: a.cast("long") * PAIR + b))
+    return kept.select(F.explode(let(links, value)).alias("x"))
 
 
-def align(docs: DataFrame, vocabulary: str | None = None, pieces: str | None = None) -> DataFrame:
+def align(docs: DataFrame, vocabulary: str | None = None, pieces: str | None = None, portion: int = PORTION) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row."""
-    links = aligned(tokenized(docs, vocabulary or default_vocabulary(), pieces or default_pieces()))
-    own = F.array_distinct("links")  # each with its times: a document's links, with nothing of them lost
-    halves = [F.transform("links", lambda x: F.shiftright(x, 32).cast("int")).alias("of"), F.transform("links", lambda x: (x % PAIR).cast("int")).alias("to")]
-    kept = materialize(links.select(*[c for c in links.columns if c != "links"], *halves, F.size("links").cast("long").alias("n_links")), "links")
-    pairs = kept.withColumn("links", F.zip_with("of", "to", lambda a, b: a.cast("long") * PAIR + b))
-    counts = pairs.select(F.explode(own).alias("pair")).groupBy("pair").agg(F.count("*").alias("documents"))
+    kept = materialize(aligned(portions(docs, vocabulary or default_vocabulary(), pieces or default_pieces(), portion)), "links")
+    of = lambda links, places: F.flatten(F.transform(places, lambda i: F.get(links, i)))
+    held = _with_links(kept, lambda links: F.flatten(F.transform("docs", lambda d: F.array_distinct(of(links, F.array_distinct(d["units"]))))))
+    counts = held.groupBy(F.col("x").alias("pair")).agg(F.count("*").alias("documents"))
     counts = materialize(counts.withColumn("of", F.shiftright("pair", 32)), "link-counts")
     highest = counts.groupBy("of").agg(F.max("documents").alias("highest"))  # at most a row for each id of the vocabulary
     rated = counts.join(broadcast_if_small(highest, highest.count(), 200_000), "of").select("pair", "documents", (F.col("documents") == F.col("highest")).cast("long").alias("best"))
     rated = materialize(rated, "rated-links")
-    sums = pairs.select("row", F.explode("links").alias("pair")).join(broadcast_if_small(rated, rated.count(), 2_000_000), "pair")
+    linked = _with_links(kept, lambda links: F.transform("docs", lambda d: F.struct(d["row"].alias("row"), of(links, d["units"]).alias("links"))))
+    sums = linked.select("x.row", F.explode("x.links").alias("pair")).join(broadcast_if_small(rated, rated.count(), 2_000_000), "pair")
     sums = sums.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("documents").alias("count_sum"))
-    found = kept.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256").join(sums, "row", "left")
+    columns = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    found = kept.select(F.explode(F.transform("docs", lambda d: F.struct(*[d[c].alias(c) for c in columns]))).alias("x")).select("x.*").join(sums, "row", "left")
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")], "groups_sha256")
 
 

@@ -18,7 +18,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, pl
 EDGES = [
     (1, None, None, None), (2, "", "en", "a"), (3, " \n\t ", "en", None), (4, "one", None, "a"), (5, "one", "en", "a"), (5, "one", "en", "a"), (6, "One two\nthree four", "en", "a"),
     (7, "<s> one <|endoftext|> </s>", "en", "c"), (8, "x" * 3000, "en", "a"), (9, "漢字 仮名 😀 é ﬁn\x00", "zz", "é"), (10, "the cat sat. " * 2500, "en", "a"), (11, "a ▁ b", "en", "a"), (None, "no id\n", "en", "a"),
-    (12, " " * 60_000 + "x", "en", "a"),
+    (12, " " * 60_000 + "x", "en", "a"), (13, "a  b \n c\td\xa0e \u2003f \x1c g  ", "en", "a"), (14, " lead and trail ", "en", "a"), (15, "don't 's x'll 12,345.67 ...", "en", "a"),
 ]
 
 
@@ -145,8 +145,9 @@ def brute_alignment(rows):
 
 
 def test_alignment_edges(spark):
-    found = [tuple(r) for r in ta.align(frame(spark)).collect()]
-    assert sorted(map(str, found)) == sorted(map(str, brute_alignment([x[:2] for x in EDGES])))
+    want = sorted(map(str, brute_alignment([x[:2] for x in EDGES])))
+    for portion in (ta.PORTION, 50, 1):
+        assert sorted(map(str, (tuple(r) for r in ta.align(frame(spark), portion=portion).collect()))) == want
     assert ta.align(frame(spark, [])).collect() == []
 
 
@@ -155,6 +156,12 @@ def test_alignment_query(spark, sf_dir):
     assert sorted(tuple(r) for r in ta.op13_token_alignment(spark, sf_dir).collect()) == sorted(brute_alignment(rows))
 
 
+def test_no_token_crosses_a_blank():
+    """What makes units independent: no entry of a vocabulary has a blank between characters that are none."""
+    for _, known in ta._sides(ta.default_vocabulary(), ta.default_pieces()):
+        assert not [x for x in known if ta.BLANK.search(x.decode("utf-8", "replace"))]
+
+
 def test_common_ends_are_placed(spark):
     df = spark.createDataFrame([([1, 3, 4, 9], [3, 9]), ([5], [5]), ([], [])], "ends array<int>, common array<int>")
     assert [r[0] for r in df.select(ta.ends_up_to(F.col("ends"), F.col("common"))).collect()] == [[2, 4], [1], []]
