@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,8 +86,7 @@ def blocks(text: str):
 
 def nodes_of(text: str | None) -> list[dict]:
     found = [{"id": 0, "parent": None, "kind": "document", "level": 0, "content": "", "path": []}]
-    section = subsection = children = None
-    children = {}
+    children: dict[int, int] = {}
 
     def add(parent: int, kind: str, level: int, content: str) -> int:
         children[parent] = children.get(parent, 0) + 1
@@ -150,4 +149,4 @@ def without_noise_sections(tree: DataFrame) -> DataFrame:
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the file's path) and t of whole text and Markdown files; bytes that are not UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("t"))
+    return files.select(F.col("path").alias("doc_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("t"))
