@@ -80,17 +80,24 @@ def chosen(scored: Column, least: float) -> Column:
     return let(F.filter(scored, lambda c: c["score"] >= least), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(F.slice(best(scored), 1, 1)))
 
 
-def semantic_stage(docs: DataFrame, least: float = 0.30, size: int = 384) -> DataFrame:
-    """docs (doc_id, t) with the text of the chunks that are like its intent, joined by blanks, and how many of how many these are, with their mean
-    score and the others'. A text of one chunk stays as it is."""
+def semantic(text: Column, least: float = 0.30, size: int = 384) -> Column:
+    """The text of the chunks that are like its intent, joined by blanks, and how many of how many these are, with their mean score and the others'. A text
+    of one chunk stays as it is."""
     rounded = lambda x: F.round(x, 6)
     mean = lambda x: F.coalesce(F.try_divide(F.aggregate(x, F.lit(0.0), lambda n, c: n + c["score"]), F.size(x)), F.lit(0.0))
-    asked = docs.select("doc_id", "t", chunks(F.col("t"), size).alias("chunks"), hashed(intent(F.col("t"))).alias("intent"))
-    scored = asked.withColumn("scored", F.transform("chunks", lambda c: F.struct(c.alias("chunk"), rounded(likeness(hashed(c), F.col("intent"))).alias("score"))))
-    several = F.size("chunks") > 1
-    kept = scored.withColumn("kept", F.when(several, chosen(F.col("scored"), least)).otherwise(F.col("scored"))).withColumn("dropped", F.when(several, F.filter("scored", lambda c: c["score"] < least)))
-    return kept.select(
-        "doc_id", F.when(several, F.array_join("kept.chunk", " ")).otherwise(F.col("t")).alias("text"), F.size("chunks").cast("long").alias("chunks"), F.size("kept").cast("long").alias("kept"),
-        F.when(several, rounded(1 - F.size("kept") / F.size("chunks"))).otherwise(0.0).alias("dropped_ratio"), F.when(several, rounded(mean(F.col("kept")))).otherwise(0.0).alias("score_kept"),
-        F.when(several, rounded(mean(F.col("dropped")))).otherwise(0.0).alias("score_dropped"),
-    )
+    scored = let(hashed(intent(text)), lambda asked: F.transform(chunks(text, size), lambda c: F.struct(c.alias("chunk"), rounded(likeness(hashed(c), asked)).alias("score"))))
+
+    def of(x: Column) -> Column:
+        several, kept, dropped = F.size(x["scored"]) > 1, x["kept"], F.filter(x["scored"], lambda c: c["score"] < least)
+        return F.struct(
+            F.when(several, F.array_join(F.transform(kept, lambda c: c["chunk"]), " ")).otherwise(text).alias("text"), F.size(x["scored"]).cast("long").alias("chunks"),
+            F.when(several, F.size(kept)).otherwise(F.size(x["scored"])).cast("long").alias("kept"), F.when(several, rounded(1 - F.size(kept) / F.size(x["scored"]))).otherwise(0.0).alias("dropped_ratio"),
+            F.when(several, rounded(mean(kept))).otherwise(0.0).alias("score_kept"), F.when(several, rounded(mean(dropped))).otherwise(0.0).alias("score_dropped"),
+        )
+
+    return let(let(scored, lambda s: F.struct(s.alias("scored"), chosen(s, least).alias("kept"))), of)
+
+
+def semantic_stage(docs: DataFrame, least: float = 0.30, size: int = 384) -> DataFrame:
+    """docs (doc_id, t) with what ``semantic`` makes of each text."""
+    return docs.select("doc_id", semantic(F.col("t"), least, size).alias("x")).select("doc_id", "x.*")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import lexicon, rules
+from ..functions import lexicon, rules, spans
 from ..sources.tables import PROFILE_OF_RATE, lookup
 from . import text as tx
 from .measures import let, words
@@ -77,12 +77,13 @@ def unmark_negated(text: Column) -> Column:
     return F.replace(text, F.lit("¬"), F.lit(""))
 
 
-def consolidate_negations(text: Column) -> Column:
-    """The text in lower case but for placeholders, double negations said outright."""
+def consolidate_negations(text: Column, mark: Column | None = None) -> Column:
+    """The text in lower case but for placeholders (mark and number), double negations said outright."""
+    mark = F.lit("PROTECTED_") if mark is None else mark
     text = F.lower(text)
     for old, new in lexicon.DOUBLE_NEGATIONS:
         text = F.replace(text, F.lit(old), F.lit(new))
-    return F.regexp_replace(text, r"protected_(\d+)", "PROTECTED_$1")
+    return F.regexp_replace(text, F.concat(F.lower(mark), F.lit(r"(\d+)")), F.concat(mark, F.lit("$1")))
 
 
 def without_request_talk(text: Column) -> Column:
@@ -125,20 +126,47 @@ def _keyword(word: str) -> str:
     return rf"(?iU)(?<!\w){re.escape(word)}(?!\w)"
 
 
+def _among(found: Column, words: list[str]) -> Column:
+    return F.size(F.filter(found, lambda w: w.isin(words)))
+
+
+def _counted(text: Column, lists: tuple[tuple[str, ...], ...]) -> Column:
+    """For each list how many of its phrases a text holds, those listed twice counted twice. Words are looked up among the text's words at
+    once; a longer phrase is searched for only where its first word is one of these."""
+    single = lambda x: re.fullmatch(r"\w+", x)
+    head = lambda x: re.match(r"\w+", x)[0].lower()
+    known = sorted({head(x) for phrases in lists for x in phrases})
+    found = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)), lambda w: w.isin(known)))
+
+    def counts(held: Column) -> Column:
+        def of(phrases: tuple[str, ...]) -> Column:
+            words = [x.lower() for x in phrases if single(x)]
+            n = F.lit(0)
+            for times in sorted({words.count(x) for x in words}):
+                n = n + times * _among(held, [x for x in dict.fromkeys(words) if words.count(x) == times])
+            for x in phrases:
+                if not single(x):
+                    n = n + F.when(F.array_contains(held, head(x)), text.rlike(_keyword(x)).cast("int")).otherwise(0)
+            return n
+
+        return F.array(*map(of, lists))
+
+    return let(found, counts)
+
+
 def task(text: Column) -> Column:
     """The task whose keywords occur most; the first on a tie, factuel without any."""
-    hits = [sum((text.rlike(_keyword(w)).cast("int") for w in phrases.split("|")), F.lit(0)) for phrases in lexicon.TASKS.values()]
-    scores = F.array(*[F.struct(h.alias("n"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (h, name) in enumerate(zip(hits, lexicon.TASKS, strict=True))])
-    return let(F.array_max(scores), lambda best: F.when(best["n"] > 0, best["name"]).otherwise("factuel"))
+    named = lambda n: F.array(*[F.struct(F.get(n, i).alias("n"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, name in enumerate(lexicon.TASKS)])
+    best = let(_counted(text, tuple(lexicon.TASKS.values())), lambda n: F.array_max(named(n)))
+    return let(best, lambda best: F.when(best["n"] > 0, best["name"]).otherwise("factuel"))
 
 
 def specificity(text: Column) -> Column:
     """How special a text is, by the terms of a trade and the names that it holds."""
-    terms = dict.fromkeys(w for phrases in lexicon.TERMS for w in phrases.split("|"))
-    n = sum((text.rlike(_keyword(w)).cast("int") for w in terms), F.lit(0))
+    terms = tuple(dict.fromkeys(w for phrases in lexicon.TERMS for w in phrases))
     names = F.regexp_count(text, F.lit(r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"))
     rule = lambda x: F.when((x["n"] >= 3) | ((x["n"] >= 1) & (x["names"] >= 3)), "entity_rich").when((x["n"] >= 1) | (x["names"] >= 2), "domain_jargon").otherwise("generic")
-    return let(F.struct(n.alias("n"), names.alias("names")), rule)
+    return let(F.struct(F.get(_counted(text, (terms,)), 0).alias("n"), names.alias("names")), rule)
 
 
 def preferences(prompts: DataFrame) -> DataFrame:
@@ -185,58 +213,45 @@ def protected_ratio(text: Column) -> Column:
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("original", T.StringType())])
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("originals", T.ArrayType(_SPAN))]))
+_TAKEN = tuple((kind, re.compile(pattern, flags)) for kind, pattern, flags in spans.PROTECTED)
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("originals", T.ArrayType(_SPAN)), T.StructField("mark", T.StringType())]))
 def protect(texts: pd.Series) -> pd.DataFrame:
-    """The text with a placeholder PROTECTED_n for each protected span, pattern after pattern, and the spans by number."""
-    def of(text: str | None) -> tuple[str | None, list[dict]]:
+    """The text with a placeholder for each protected span, kind after kind, the spans by number, and the mark that placeholders begin with:
+    PROTECTED_, or where a text holds that in any case, with so many Q before the line that it does not."""
+    def of(text: str | None) -> tuple[str | None, list[dict], str]:
         originals: list[dict] = []
+        mark, held = "PROTECTED_", (text or "").upper()
+        while mark in held:
+            mark = mark.replace("_", "Q_")
 
         def replace(kind: str):
             def by(m: re.Match) -> str:
                 originals.append({"kind": kind, "original": m[0]})
-                return f"PROTECTED_{len(originals)}"
+                return f"{mark}{len(originals)}"
 
             return by
 
-        for kind, pattern in lexicon.PROTECTED_SPANS:
-            text = text and re.sub(pattern, replace(kind), text)
-        return text, originals
+        for kind, pattern in _TAKEN:
+            text = text and pattern.sub(replace(kind), text)
+        return text, originals, mark
 
-    found = [of(x) for x in texts]
-    return pd.DataFrame({"text": [x for x, _ in found], "originals": [x for _, x in found]})
+    return pd.DataFrame([of(x) for x in texts], columns=["text", "originals", "mark"])
 
 
-def reinject(text: Column, originals: Column) -> Column:
-    """Placeholders back to what they stand for, from the last to the first: PROTECTED_10 before PROTECTED_1, and spans within spans."""
-    numbered = F.reverse(F.transform(originals, lambda o, i: F.struct(F.concat(F.lit("PROTECTED_"), (i + 1).cast("string")).alias("id"), o["original"].alias("original"))))
+def reinject(text: Column, originals: Column, mark: Column | None = None) -> Column:
+    """Placeholders back to what they stand for, from the last to the first: number 10 before 1, and spans within spans."""
+    mark = F.lit("PROTECTED_") if mark is None else mark
+    numbered = F.reverse(F.transform(originals, lambda o, i: F.struct(F.concat(mark, (i + 1).cast("string")).alias("id"), o["original"].alias("original"))))
     return F.aggregate(numbered, text, lambda t, o: F.replace(t, o["id"], o["original"]))
 
 
-def missing(text: Column, originals: Column) -> Column:
-    """The numbers of spans that a text lacks."""
-    return F.filter(F.transform(originals, lambda o, i: F.when(~F.contains(text, o["original"]), i + 1)), lambda i: i.isNotNull())
-
-
-# The stages of each profile, in order.
-STAGES_OF = {
-    "safe": ("structural",), "light": ("structural",), "balanced": ("structural", "lexical", "logical"),
-    "aggressive": ("structural", "lexical", "logical", "temporal"), "max": ("structural", "lexical", "logical", "temporal"), "industrial": ("structural", "lexical", "logical", "temporal"),
-}
-_STAGE = {"structural": tx.structural, "lexical": tx.lexical, "logical": tx.logical, "temporal": tx.temporal}
-
-
-def compiled(docs: DataFrame, profile: str = "balanced") -> DataFrame:
-    """doc_id and t with ``compressed``, the numbers of spans protected and lost: protection, marks on negations, the profile's
-    stages, and everything put back."""
-    p = docs.withColumn("p", protect(F.col("t")))
-    text = F.col("p.text")
-    if profile in ("aggressive", "max", "industrial"):
-        text = consolidate_negations(text)
-    text = mark_negated(text)
-    for name in STAGES_OF[profile]:
-        text = _STAGE[name](text)
-    done = p.withColumn("compressed", reinject(unmark_negated(text), F.col("p.originals")))
-    return done.select("doc_id", "t", "compressed", F.size("p.originals").alias("spans"), F.size(missing(F.col("compressed"), F.col("p.originals"))).alias("lost"))
+def missing(text: Column, originals: Column, mark: Column | None = None) -> Column:
+    """The numbers of spans that a text lacks, each in full with what is protected within it."""
+    mark = F.lit("PROTECTED_") if mark is None else mark
+    whole = lambda o, i: reinject(o["original"], F.slice(originals, F.lit(1), i), mark)  # noqa: E731  spans within come first
+    return F.filter(F.transform(originals, lambda o, i: F.when(~F.contains(text, whole(o, i)), i + 1)), lambda i: i.isNotNull())
 
 
 def compressed_messages(messages: DataFrame, text: Column, tokens, least: float = 0.90) -> DataFrame:

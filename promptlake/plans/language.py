@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, rules
+from ..operators import compiler as co
 from ..operators import language as la
 from ..operators import measures as me
 from ..operators import text as tx
@@ -77,10 +78,11 @@ def d04_language(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def d07_d09_protection(spark: SparkSession, d: str) -> DataFrame:
-    """How many spans are protected, and whether putting them back gives the text again."""
+    """How many spans of how many kinds are protected, and whether putting them back gives the text again."""
     p = _phrased(spark, d).withColumn("p", la.protect(F.col("t")))
-    back = la.reinject(F.col("p.text"), F.col("p.originals"))
-    return p.select("doc_id", F.size("p.originals").cast("long").alias("spans"), (back == F.col("t")).alias("restored"), F.size(la.missing(back, F.col("p.originals"))).cast("long").alias("missing"))
+    back = la.reinject(F.col("p.text"), F.col("p.originals"), F.col("p.mark"))
+    kinds = F.size(F.array_distinct("p.originals.kind")).cast("long")
+    return p.select("doc_id", F.size("p.originals").cast("long").alias("spans"), kinds.alias("kinds"), (back == F.col("t")).alias("restored"), F.size(la.missing(back, F.col("p.originals"), F.col("p.mark"))).cast("long").alias("missing"))
 
 
 @query(f"SELECT o_orderkey, CASE WHEN cap >= CAST(0.7 AS DOUBLE) THEN 'max' WHEN cap >= CAST(0.55 AS DOUBLE) THEN 'aggressive' WHEN cap >= CAST(0.4 AS DOUBLE) THEN 'balanced' WHEN cap >= CAST(0.25 AS DOUBLE) THEN 'light' WHEN cap >= CAST(0.15 AS DOUBLE) THEN 'safe' ELSE 'bypass' END AS profile FROM (SELECT o_orderkey, CASE WHEN p >= CAST(0.3 AS DOUBLE) THEN CAST(0.15 AS DOUBLE) WHEN p >= CAST(0.15 AS DOUBLE) THEN CAST(0.25 AS DOUBLE) WHEN p >= CAST(0.05 AS DOUBLE) THEN CAST(0.4 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS cap FROM (SELECT o_orderkey, (o_orderkey % 50) / CAST(100 AS DOUBLE) AS p FROM orders))")
@@ -184,8 +186,29 @@ def f05_f06_minhash(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def g30_compiled(spark: SparkSession, d: str) -> DataFrame:
-    """Documents compressed by the balanced profile: lengths, protected spans and those lost."""
-    return la.compiled(_phrased(spark, d)).select("doc_id", F.length("t").cast("long").alias("before"), F.length("compressed").cast("long").alias("after"), F.col("spans").cast("long"), F.col("lost").cast("long"))
+    """Documents compressed by the balanced profile: lengths, protected spans and those lost, errors, and whether the original must be taken."""
+    found = co.compiled(_phrased(spark, d))
+    return found.select("doc_id", F.length("t").cast("long").alias("before"), F.length("compressed").cast("long").alias("after"), F.col("spans").cast("long"), F.col("lost").cast("long"), F.array_join("validation", ";").alias("errors"), "fall_back")
+
+
+@query()
+def g30_compiled_industrial(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the industrial profile, with its errors of quality."""
+    found = co.compiled(_phrased(spark, d), "industrial")
+    return found.select("doc_id", F.length("t").cast("long").alias("before"), F.length("compressed").cast("long").alias("after"), F.col("spans").cast("long"), F.array_join(F.concat("validation", "quality"), ";").alias("errors"), "fall_back")
+
+
+_WORDS_HASHED = "list_transform(" + _SHINGLES.replace("text", "{0}") + ", lambda w: substr(sha256(w), 1, 3))"
+_BOTH = "list_sum(list_transform({0}, lambda x: len(list_filter({1}, lambda y: y = x))))"
+
+
+@query(f"""SELECT doc_id, round(similarity, 4) AS similarity, round(ratio, 3) AS token_ratio, CASE WHEN similarity < CAST(0.6 AS DOUBLE) THEN 'similarity' ELSE '' END AS errors
+FROM (SELECT doc_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 1 ELSE {_BOTH.format('a', 'b')} / sqrt(CAST({_BOTH.format('a', 'a')} * {_BOTH.format('b', 'b')} AS DOUBLE)) END AS similarity,
+CASE WHEN length(t) // 4 = 0 THEN 1 ELSE (length(c) // 4) / CAST(length(t) // 4 AS DOUBLE) END AS ratio FROM (SELECT *, {_WORDS_HASHED.format('t')} AS a, {_WORDS_HASHED.format('c')} AS b FROM (SELECT doc_id, t, substr(t, 1, length(t) // 3) AS c FROM ({P}) x) y) z) w""")
+def h14_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Texts cut to a third against themselves: similarity, token ratio and the errors but for critical content."""
+    p = _phrased(spark, d).withColumn("q", co.quality(F.col("t"), F.left("t", F.floor(F.length("t") / 3).cast("int"))))
+    return p.select("doc_id", "q.similarity", "q.token_ratio", F.array_join(F.filter("q.errors", lambda x: ~x.startswith("critical")), ";").alias("errors"))
 
 
 @query(f"SELECT doc_id, o AS original_tokens, c AS compressed_tokens, round((1 - c / CAST(greatest(o, 1) AS DOUBLE)) * 100, 1) AS savings_percent, round((1 - c / CAST(greatest(o, 1) AS DOUBLE)) * 100, 1) > 10 AS compressible FROM (SELECT doc_id, {_APPROX.format('t')} AS o, {_APPROX.format('c')} AS c FROM (SELECT doc_id, t, {_LEXICAL} AS c FROM ({P}) x) y) z")

@@ -8,7 +8,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from promptlake.functions import lexicon
+from promptlake.functions import lexicon, spans
+from promptlake.operators import compiler as co
 from promptlake.operators import language as la
 from promptlake.operators import measures as me
 from promptlake.operators import text as tx
@@ -32,10 +33,10 @@ def test_task_and_specificity(spark):
     hit = lambda w, t: re.search(rf"(?<!\w){re.escape(w)}(?!\w)", t, re.I) is not None
     tasks, kinds = [], []
     for text in TEXTS:
-        scores = {k: sum(hit(w, text) for w in v.split("|")) for k, v in lexicon.TASKS.items()}
+        scores = {k: sum(hit(w, text) for w in v) for k, v in lexicon.TASKS.items()}
         best = max(scores, key=scores.get)
         tasks.append(best if scores[best] else "factuel")
-        n = sum(hit(w, text) for w in dict.fromkeys(x for p in lexicon.TERMS for x in p.split("|")))
+        n = sum(hit(w, text) for w in dict.fromkeys(x for p in lexicon.TERMS for x in p))
         names = len(re.findall(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", text))
         kinds.append("entity_rich" if n >= 3 or n >= 1 and names >= 3 else "domain_jargon" if n >= 1 or names >= 2 else "generic")
     assert results(spark, la.task(F.col("t")), TEXTS) == tasks
@@ -45,16 +46,37 @@ def test_task_and_specificity(spark):
 MIXED = [
     'Mail a.b@example.com on 2025-01-31 at 10:30 AM, see https://x.org/a?b=1, or "quoted text" and `code`.', "No spans here", None, "", "```py\nx = 1\n``` and {{name}} of {user}: 55 %.",
     "".join(f"`v{k}` " for k in range(12)), "<b>bold \"x\"</b> v1.2.3 at 10.0.0.1 by @me",
+    "12 March 2024, March 3, 2024; 10:30-11:45; www.x.org/a; 5 kg for $ 20.50 USD or 30 EUR under Article 12.3", "call +33 612 345 678, {\"a\": {\"b\": 1}}, /usr/lib/x.so, &amp; #ff00ff fe80::1 H2O x = 5 48.85, 2.35",
+    "PROTECTED_3 and protected_1 `a` PROTECTEDQ_2 `b`", "\"outer `inner` 12:30\" 'single' 「q」", "550e8400-e29b-41d4-a716-446655440000 d41d8cd98f00b204e9800998ecf8427e :8080, %s <br/>",
 ]
 
 
+def protected(text):
+    """The kinds one after the other, as a loop over patterns."""
+    found, mark = [], "PROTECTED_"
+    while mark in (text or "").upper():
+        mark = mark.replace("_", "Q_")
+    for kind, pattern, flags in spans.PROTECTED:
+        def taken(m, kind=kind):
+            found.append((kind, m[0]))
+            return f"{mark}{len(found)}"
+
+        text = text and re.sub(pattern, taken, text, flags=flags)
+    return text, found, mark
+
+
 def test_protection_round_trip(spark):
-    df = table(spark, MIXED).withColumn("p", la.protect(F.col("t"))).withColumn("back", la.reinject(F.col("p.text"), F.col("p.originals")))
-    rows = df.select("i", "t", "p", "back", F.size(la.missing(F.col("back"), F.col("p.originals"))).alias("lost"), la.missing(F.lit("nothing"), F.col("p.originals")).alias("all")).orderBy("i").collect()
+    back = la.reinject(F.col("p.text"), F.col("p.originals"), F.col("p.mark"))
+    df = table(spark, MIXED).withColumn("p", la.protect(F.col("t"))).withColumn("back", back)
+    lost = lambda x: la.missing(x, F.col("p.originals"), F.col("p.mark"))
+    rows = df.select("i", "t", "p", "back", F.size(lost(F.col("back"))).alias("lost"), lost(F.lit("nothing")).alias("all")).orderBy("i").collect()
     for r in rows:
-        assert r.back == r.t
+        assert r.back == r.t and (r.p.text, [(o.kind, o.original) for o in r.p.originals], r.p.mark) == protected(r.t)
+        assert not r.t or r.lost == 0 and r.all == list(range(1, len(r.p.originals) + 1))
     assert "example.com" not in rows[0].p.text and "2025" not in rows[0].p.text and "code" not in rows[0].p.text
-    assert len(rows[5].p.originals) == 12 and rows[5].all == list(range(1, 13)) and all(r.lost in (0, -1) for r in rows if r.t)
+    assert len(rows[5].p.originals) == 12
+    kinds = {o.kind for r in rows for o in r.p.originals}
+    assert {"date", "unit", "currency", "legal_ref", "time_range", "semi_url", "phone", "json", "path", "html_entity", "hex_color", "ipv6", "chemical", "math", "coords"} <= kinds
 
 
 def test_protected_blocks_are_merged(spark):
@@ -68,9 +90,9 @@ def test_protected_blocks_are_merged(spark):
 
 def test_compiled_keeps_spans_and_negations(spark):
     texts = ["Please note that, in order to win, you must not pay 55 % however late; see https://x.org/in-order-to-pay.", "Basically, very good"]
-    rows = la.compiled(table(spark, texts).withColumnRenamed("i", "doc_id"), "balanced").orderBy("doc_id").collect()
+    rows = co.compiled(table(spark, texts).withColumnRenamed("i", "doc_id"), "balanced").orderBy("doc_id").collect()
     assert "https://x.org/in-order-to-pay" in rows[0].compressed and "55 %" in rows[0].compressed and " not " in rows[0].compressed and "¬" not in rows[0].compressed
-    assert rows[0].lost == 0 and rows[0].spans == 2 and len(rows[0].compressed) < len(texts[0]) and "in order to win" not in rows[0].compressed
+    assert rows[0].lost == 0 and rows[0].spans >= 1 and not rows[0].fall_back and len(rows[0].compressed) < len(texts[0]) and "in order to win" not in rows[0].compressed
 
 
 def test_sentence_folds(spark):
@@ -172,3 +194,41 @@ def test_preferences_keep_the_last(spark):
 def test_critical_content(spark):
     texts = ["see https://x.org/abc and a@b.com now", 'with {"key": "value"} and `some code`', "nothing"]
     assert results(spark, F.sort_array(la.critical_missing(F.col("t"), F.lit("a@b.com"))), texts) == [["url"], ["code_inline", "json_obj"], []]
+
+
+# --- profiles
+
+BLOCKS = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+PROMPTS = [
+    "\n\n".join(["Explain this, please.", f"{BLOCKS} one", f"{BLOCKS} one", f"{BLOCKS} lambda mu nu xi omicron pi rho sigma tau", f"{BLOCKS} lambda mu nu xi omicron pi rho sigma tau upsilon", "It is not impossible at 10:30.", "The last one stands alone."]),
+    "", None, "PROTECTED_1 stays, as does `code`; you must not lose https://x.org/a.", "short",
+]
+
+
+@pytest.mark.parametrize("profile", [*spans.PHASES])
+def test_profiles(spark, profile):
+    rows = co.compiled(table(spark, PROMPTS).withColumnRenamed("i", "doc_id"), profile).orderBy("doc_id").collect()
+    first = rows[0].compressed
+    assert first.count("alpha") == {"safe": 3, "light": 3, "balanced": 2}.get(profile, first.count("alpha")) and "¬" not in first
+    if profile not in spans.CHUNK_LIKENESS:
+        assert "10:30" in first and not any(r.validation for r in rows)
+    assert rows[1].compressed == "" and rows[2].compressed is None
+    if profile in ("safe", "light", "balanced"):
+        assert all(x in rows[3].compressed for x in ("PROTECTED_1", "`code`", "not", "https://x.org/a")) and "PROTECTEDQ" not in rows[3].compressed
+    assert all(r.fall_back == bool(r.validation or r.quality) for r in rows)
+    assert all("PROTECTEDQ" not in (r.compressed or "") for r in rows)
+
+
+def test_validation_and_quality(spark):
+    df = table(spark, ["see `a` and `b` PROTECTED_9"]).withColumn("originals", F.array(*[F.struct(F.lit("inline_code").alias("kind"), F.lit(x).alias("original")) for x in ("`a`", "`c`")]))
+    assert df.select(co.validation(F.col("t"), F.col("originals"), F.lit("PROTECTED_")).alias("x")).first().x == ["spans missing: 2", "placeholders left: PROTECTED_9"]
+    pairs = [("a b c d", "a b c d"), ("a b c d", "x y"), ("", "x"), ("word " * 10, "word " * 40), ("abc", "abc"), ("mail `code x` to a@b.com", "mail to"), (None, "a")]
+    df = spark.createDataFrame(pairs, "o string, c string")
+    got = [r.x for r in df.select(co.quality(F.col("o"), F.col("c")).alias("x")).collect()]
+    assert [x.errors for x in got[:5]] == [[], ["similarity"], ["token ratio"], ["token ratio"], []] and got[4].token_ratio == 1 and got[3].similarity == 1
+    assert "critical content: email,code_inline" in got[5].errors and got[6].errors == ["token ratio"]
+
+
+def test_equal_blocks(spark):
+    texts = ["a\n\nb  c\n\na\n\nb c\n\nd", "", "one", None]
+    assert results(spark, co.without_equal_blocks(F.col("t")), texts) == ["a\n\nb  c\n\nd", "", "one", None]
