@@ -30,7 +30,7 @@ has the answer of the texts that it equals; an empty table gives an empty result
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 from .common import discard, documents, materialize, release_shuffles
 from .components import connected_components
 
+#: Parts in which pairs are verified.
+PARTS = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -158,8 +160,15 @@ class _Links:
         self.grams, self.percent, self.labels = grams, percent, None
 
     def check(self, pairs: DataFrame) -> DataFrame:
-        """verify(pairs), written; what links is taken up into the components."""
-        found = materialize(verify(pairs, self.grams, self.percent), "verified")
+        """verify(pairs), written; what links is taken up into the components. Pairs are verified in PARTS, one after the other, so that
+        only one part's sets are in exchange files at a time."""
+        parts = []
+        for k in range(PARTS):
+            of = pairs.filter(F.pmod(F.xxhash64("b"), F.lit(PARTS)) == k)
+            parts.append(materialize(verify(of, self.grams, self.percent), "verified-part"))
+            release_shuffles(pairs.sparkSession)
+        found = materialize(reduce(DataFrame.unionByName, parts), "verified")
+        discard(*parts)
         links = found.filter("link").select("a", "b")
         if self.labels is None:
             self.labels = materialize(connected_components(links), "components")
