@@ -30,7 +30,7 @@ from .packing import byte_level_vocabulary, default_vocabulary, ordinary_encoder
 
 UNIT = "struct<a_ids:array<int>,a_ends:array<int>,b_ids:array<int>,b_ends:array<int>>"
 #: Characters of the texts in a portion, unless one has more; different units that a worker remembers the tokens of.
-PORTION, REMEMBERED = 4_000_000, 500_000
+PORTION, REMEMBERED = 1_000_000, 100_000
 #: Blanks between characters that are none.
 BLANK = re.compile(r"(?<=\S) (?=\S)")
 PAIR = 1 << 32
