@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,7 @@ def discard(*tables: DataFrame) -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Spark deletes the files of exchanges that nothing can read any more once the driver has collected their handles: collect them now."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ WINDOW, ANCHOR, FEW, MOST = 100, 24, 16, 64
 PART = 4 << 20
 #: With a stretch's number of windows, below this, its anchor's place after its first window's.
 OFFSET = 1 << 12
-STRETCH, SPAN, WINDOWS, MARK = 0, 1, 2, 3
+STRETCH, SPAN, WINDOWS, MARK, FREQUENT = 0, 1, 2, 3, 4
 NO_ID = np.iinfo(np.int64).min
 FACTOR = 0x9E3779B97F4A7C15 | 1
 WORD = (1 << 64) - 1
@@ -207,8 +208,10 @@ def _window_rows(windows, a, doc, th, p, c, first) -> Iterator[pa.RecordBatch]:
 
 def _dealt(most: int):
     """Of a bucket's stretches: those equal to an earlier one as spans; of anchors with several different ones the first of each,
-    to be compared as bytes (STRETCH) or, of frequent anchors, window by window (WINDOWS)."""
-    def run(rows: pa.Table) -> pa.Table:
+    to be compared as bytes (STRETCH) or, of frequent anchors, window by window (FREQUENT). Other rows pass."""
+    def run(whole: pa.Table) -> pa.Table:
+        known = pc.is_in(whole.column("kind"), pa.array([SPAN, WINDOWS], pa.int8()))
+        rows = whole.filter(pc.invert(known))
         columns = {c: rows.column(c).to_numpy() for c in ("kind", "a", "s", "doc_id", "th", "p", "c")}
         order = np.lexsort([columns[c] for c in ("p", "th", "doc_id", "s", "kind", "a")])
         kind, a, s, doc, th, p, c = (columns[x][order] for x in ("kind", "a", "s", "doc_id", "th", "p", "c"))
@@ -221,14 +224,14 @@ def _dealt(most: int):
         hot = (np.bincount(group, ~real)[group] > 0) | (different > most)
         asked = real & own & (hot | (different > 1))
         spans = _rows(SPAN, *(x[later] for x in (a, s, doc, th, p, c % OFFSET)))
-        wanted = _rows(np.where(hot[asked], WINDOWS, STRETCH), *(x[asked] for x in (a, s, doc, th, p, c)))
-        return pa.Table.from_batches([spans, wanted])
+        wanted = _rows(np.where(hot[asked], FREQUENT, STRETCH), *(x[asked] for x in (a, s, doc, th, p, c)))
+        return pa.concat_tables([whole.filter(known).select(spans.schema.names).cast(spans.schema), pa.Table.from_batches([spans, wanted])])
 
     return run
 
 
 def _fetched(window: int):
-    """The bytes of asked stretches (STRETCH), and the digests of all windows of the others (WINDOWS)."""
+    """The bytes of asked stretches (STRETCH), and the digests of the windows of frequent anchors' (WINDOWS), or spans."""
     schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("s", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int64()), ("c", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,32 +467,33 @@ def _kept(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, few: int = FEW, most: int = MOST, part: int = PART, rows_a_task: int = 150_000, strings_a_task: int = 8_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, few: int = FEW, most: int = MOST, part: int = PART, bytes_a_task: int = 5_000_000, strings_a_task: int = 8_000) -> DataFrame:
     """doc_id, th (the text's hash), p, c: c windows from place p on that also start earlier; in any order, some more than once. A null doc_id is NO_ID."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("th"), "text").filter(F.octet_length("text") >= window)
-    scanned = materialize(texts.mapInArrow(_scan_rows(window, anchor, few, part), ROWS), "stretches")
-    stretches = scanned.filter(F.col("kind").isin(STRETCH, MARK))
-    tasks = 1 + stretches.count() // rows_a_task
-    asked = materialize(stretches.groupBy(F.pmod("a", F.lit(tasks)).alias("task")).applyInArrow(_dealt(most), ROWS), "asked-stretches")
+    # a stretch for about (window - anchor) / 2 bytes; other rows are dealt out by their place, so that no anchor's windows meet in one task
+    tasks = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bytes_a_task
+    scanned = texts.mapInArrow(_scan_rows(window, anchor, few, part), ROWS)
+    by = F.when(F.col("kind").isin(STRETCH, MARK), F.pmod("a", F.lit(tasks))).otherwise(F.pmod(F.xxhash64("doc_id", "th", "p"), F.lit(tasks)))
+    asked = materialize(scanned.groupBy(by.alias("task")).applyInArrow(_dealt(most), ROWS), "asked-stretches")
     release_shuffles(spark)
-    by_text = asked.filter(F.col("kind") != SPAN).groupBy("doc_id", "th").agg(F.collect_list(F.struct("kind", "a", "p", "c")).alias("asked"))
+    by_text = asked.filter(F.col("kind").isin(STRETCH, FREQUENT)).groupBy("doc_id", "th").agg(F.collect_list(F.struct("kind", "a", "p", "c")).alias("asked"))
     fetched = texts.join(by_text, ["doc_id", "th"]).select("doc_id", "th", "asked", "text").mapInArrow(_fetched(window), f"{ROWS}, bytes binary")
     fetched = materialize(fetched, "stretch-bytes")
     release_shuffles(spark)
     strings = fetched.filter(F.col("kind") == STRETCH)
     tasks = 1 + strings.count() // strings_a_task
     matched = strings.groupBy(F.pmod("a", F.lit(tasks)).alias("task")).applyInArrow(_matched(window, anchor), ROWS)
-    rows = scanned.filter(F.col("kind") == WINDOWS).unionByName(fetched.drop("bytes").filter(F.col("kind") == WINDOWS))
+    rows = asked.filter(F.col("kind") == WINDOWS).unionByName(fetched.drop("bytes").filter(F.col("kind") == WINDOWS))
     place = F.struct("doc_id", "th", "p")
     firsts = rows.groupBy("a", "s").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
     compared = rows.join(firsts, ["a", "s"]).filter(place > F.col("first"))
     columns = ["doc_id", "th", "p", "c"]
     found = matched.select(columns).unionByName(compared.select(columns))
-    for known in (scanned, asked, fetched):
+    for known in (asked, fetched):
         found = found.unionByName(known.filter(F.col("kind") == SPAN).select(columns))
     found = materialize(found, "repeats")
-    discard(scanned, asked, fetched)
+    discard(asked, fetched)
     release_shuffles(spark)
     return found
 

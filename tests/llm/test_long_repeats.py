@@ -12,7 +12,7 @@ from promptlake.llm import long_repeats as lr
 from promptlake.llm.common import documents
 
 SCHEMA = "doc_id long, text string, a long, s string, p int, kind int, bytes string"
-SMALL = {"few": 2, "most": 3, "part": 300, "rows_a_task": 200, "strings_a_task": 50}
+SMALL = {"few": 2, "most": 3, "part": 300, "bytes_a_task": 5000, "strings_a_task": 50}
 
 
 def frame(spark, rows):
