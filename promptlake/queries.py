@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analytics, chunks, clusters, documents, language, learning, texts  # noqa: F401
+from .plans import analytics, chunks, clusters, documents, edits, language, learning, texts  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 FLAGSHIP = "b01_cost_summary"
