@@ -72,18 +72,27 @@ def peel(cells: Column, width: Column, seed: Column) -> Column:
     def single(c: Column) -> Column:
         return (F.abs(c["n"]) == 1) & (F.xxhash64(c["key"]) == c["check"])
 
-    def taken(c: Column, i: Column, out: Column) -> Column:
-        table, at = F.floor(i / width).cast("int"), F.pmod(i, width)
-        return F.aggregate(F.filter(out, lambda x: _slot(x["key"], table, width, seed) == at), c, lambda a, x: _put(a, x["key"], -x["n"]))
+    def slots(key: Column, n: int) -> Column:
+        return F.struct(F.lit(n).alias("n"), key.alias("key"), *[_slot(key, F.lit(t), width, seed).cast("int").alias(f"at_{t}") for t in range(3)])
+
+    def taken(cells: Column, out: Column) -> Column:
+        """The cells without the digests of out, whose places are worked out once: a sub-table after the other."""
+        def sub_table(t: int) -> Column:
+            own = F.slice(cells, F.lit(t) * width + 1, width)
+            return F.transform(own, lambda c, j: F.aggregate(F.filter(out, lambda x: x[f"at_{t}"] == j), c, lambda a, x: _put(a, x["key"], -x["n"])))
+
+        return F.concat(*map(sub_table, range(3)))
 
     def step(state: Column, _: Column) -> Column:
         def with_singles(out: Column) -> Column:
-            rest = F.transform(state["cells"], lambda c, i: taken(c, i, out))
             return F.when(F.size(out) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("more"))).otherwise(
-                F.struct(rest.alias("cells"), (state["found"] + F.size(out)).alias("found"), F.lit(True).alias("more"))
+                F.struct(taken(state["cells"], out).alias("cells"), (state["found"] + F.size(out)).alias("found"), F.lit(True).alias("more"))
             )
 
-        singles = F.array_distinct(F.transform(F.filter(state["cells"], single), lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
+        def keys(alone: Column, n: int) -> Column:
+            return F.transform(F.array_distinct(F.transform(F.filter(alone, lambda c: c["n"] == n), lambda c: c["key"])), lambda key: slots(key, n))
+
+        singles = let(F.filter(state["cells"], single), lambda alone: F.concat(keys(alone, 1), keys(alone, -1)))
         return F.when(state["more"], let(singles, with_singles)).otherwise(state)
 
     start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("more"))
