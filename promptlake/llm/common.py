@@ -50,6 +50,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def ends_up_to(ends: Column, common: Column) -> Column:
+    """For each of the ascending common ends, how many of the ascending ends are not beyond it."""
+    merged = F.sort_array(F.concat(F.transform(ends, lambda e: e * F.lit(2)), F.transform(common, lambda e: e * F.lit(2) + F.lit(1))))
+    spots = F.filter(F.transform(merged, lambda e, i: F.when(e % 2 == 1, i).otherwise(-1)), lambda i: i >= 0)
+    return F.transform(spots, lambda i, k: i - k)
+
+
+def cut_at(values: Column, upto: Column) -> Column:
+    """The values cut at the counts in upto, which ascend."""
+    return let(upto, lambda u: F.transform(u, lambda to, k: let(F.when(k == 0, 0).otherwise(F.get(u, k - 1)), lambda of: F.slice(values, of + 1, to - of))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     import_on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_SET, documents, let
+from .common import SPACE_SET, cut_at, documents, ends_up_to, let
 
 #: Width of a fingerprint's sub-tables, how many digests of one version a table is meant for, and of both versions in retries.
 WIDTH, LOAD, LOAD_BOTH = 8, 24, 48
@@ -114,15 +114,17 @@ def _differing(a: Column, b: Column) -> Column:
     return F.coalesce(by_sketch, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
 
 
-def _part(found: Column, tables: Column, i: Column) -> Column:
-    return F.filter(found, lambda x: F.pmod(F.shiftrightunsigned(x, 11), tables) == i)
+def _parts(found: Column, tables: Column) -> Column:
+    """The digests by table: sorted by their table once, and cut where that changes."""
+    keyed = F.sort_array(F.transform(found, lambda x: F.struct(F.pmod(F.shiftrightunsigned(x, 11), tables).cast("int").alias("table"), x.alias("digest"))))
+    return let(keyed, lambda k: cut_at(F.transform(k, lambda x: x["digest"]), ends_up_to(F.transform(k, lambda x: x["table"]), F.sequence(F.lit(0), tables - 1))))
 
 
 def cells(found: Column) -> Column:
     """The cells of a digest array's tables, one after the other."""
     tables = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.size(found) / F.lit(float(LOAD)))))).cast("int")
-    table = lambda i: let(_part(found, tables, i), lambda x: sketch(x, F.lit(WIDTH), F.lit(0)))
-    return F.when(F.size(found) <= LOAD, sketch(found, F.lit(WIDTH), F.lit(0))).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), tables - 1), table)))
+    many = F.transform(_parts(found, tables), lambda x: sketch(x, F.lit(WIDTH), F.lit(0)))
+    return F.when(F.size(found) <= LOAD, sketch(found, F.lit(WIDTH), F.lit(0))).otherwise(F.flatten(many))
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
@@ -134,8 +136,7 @@ def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
 
     both = F.size(a) + F.size(b)
     tables = F.ceil(both / F.lit(LOAD_BOTH)).cast("int")
-    by_table = lambda i: let(_part(a, tables, i), lambda x: let(_part(b, tables, i), lambda y: _differing(x, y)))
-    many = F.aggregate(F.transform(F.sequence(F.lit(0), tables - 1), by_table), F.lit(0), lambda s, x: s + x)
+    many = F.aggregate(F.zip_with(_parts(a, tables), _parts(b, tables), _differing), F.lit(0), lambda s, x: s + x)
     wider = F.when(tables == 1, _differing(a, b)).otherwise(many)
     differing = F.when((both == 0) | (a == b), F.lit(0)).otherwise(F.coalesce(F.when(F.size(cells_a) == F.size(cells_b), by_cells), wider))
     return let(differing.cast("double"), lambda d: F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, documents, let, materialize
+from .common import broadcast_if_small, cut_at, documents, ends_up_to, let, materialize
 from .packing import byte_level_vocabulary, default_vocabulary, ordinary_encoder
 
 UNIT = "struct<a_ids:array<int>,a_ends:array<int>,b_ids:array<int>,b_ends:array<int>>"
@@ -127,22 +127,10 @@ def portions(docs: DataFrame, vocabulary: str, pieces: str, portion: int = PORTI
     return numbered.mapInArrow(run, f"docs array<struct<row:long,doc_id:{kind},n_a:long,n_b:long,units:array<int>>>, units array<{UNIT}>")
 
 
-def ends_up_to(ends: Column, common: Column) -> Column:
-    """For each of the ascending common ends, how many of the ascending ends are not beyond it."""
-    merged = F.sort_array(F.concat(F.transform(ends, lambda e: e * F.lit(2)), F.transform(common, lambda e: e * F.lit(2) + F.lit(1))))
-    spots = F.filter(F.transform(merged, lambda e, i: F.when(e % 2 == 1, i).otherwise(-1)), lambda i: i >= 0)
-    return F.transform(spots, lambda i, k: i - k)
-
-
-def groups_of(ids: Column, upto: Column) -> Column:
-    """The ids cut at the counts in upto."""
-    return let(upto, lambda u: F.transform(u, lambda to, k: let(F.when(k == 0, 0).otherwise(F.get(u, k - 1)), lambda of: F.slice(ids, of + 1, to - of))))
-
-
 def aligned_unit(unit: Column) -> Column:
     """groups (as text), n_groups and links of a unit: an id of A and one of B for each pair of tokens that share a group."""
     def of(common: Column) -> Column:
-        sides = [groups_of(unit[f"{x}_ids"], ends_up_to(unit[f"{x}_ends"], common)) for x in "ab"]
+        sides = [cut_at(unit[f"{x}_ids"], ends_up_to(unit[f"{x}_ends"], common)) for x in "ab"]
         return F.zip_with(*sides, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
     def told(groups: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import compare
 from promptlake.llm import merkle_manifest as mm
 from promptlake.llm import token_alignment as ta
-from promptlake.llm.common import documents
+from promptlake.llm.common import documents, ends_up_to
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, place long, row long, path string"
 EDGES = [
@@ -164,4 +164,4 @@ def test_no_token_crosses_a_blank():
 
 def test_common_ends_are_placed(spark):
     df = spark.createDataFrame([([1, 3, 4, 9], [3, 9]), ([5], [5]), ([], [])], "ends array<int>, common array<int>")
-    assert [r[0] for r in df.select(ta.ends_up_to(F.col("ends"), F.col("common"))).collect()] == [[2, 4], [1], []]
+    assert [r[0] for r in df.select(ends_up_to(F.col("ends"), F.col("common"))).collect()] == [[2, 4], [1], []]
