@@ -44,7 +44,7 @@ def default_pieces() -> str:
 
 @lru_cache(2)
 def _sides(vocabulary: str, pieces: str):
-    """For each of the two: text to ids, and the bytes of each id."""
+    """For each of the two: texts to ids, and the bytes of each id."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=pieces)
@@ -57,7 +57,7 @@ def _sides(vocabulary: str, pieces: str):
     for content, i in entries.items():
         shown[i] = content
     encode = ordinary_encoder(vocabulary)
-    return (lambda text: encode(" " + text), shown), (lambda text: model.encode(text, num_threads=1), known)
+    return (lambda texts: [encode(" " + x) for x in texts], shown), (lambda texts: model.encode(texts, num_threads=1), known)
 
 
 def _lists(rows: list) -> pa.ListArray:
@@ -75,52 +75,49 @@ def portions(docs: DataFrame, vocabulary: str, pieces: str, portion: int = PORTI
     offsets of token ends of both tokenizers. A text without tokens has no units."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = _sides(vocabulary, pieces)
-        remembered: dict[str, tuple | None] = {}
-
-        def tokens(unit: str) -> tuple | None:
-            found, target = [], (" " + unit).encode()
-            for encode, known in sides:
-                ids = encode(unit)
-                own = [known[i] for i in ids]
-                if b"".join(own) != target:
-                    return None
-                found += [ids, [*accumulate(map(len, own))]]
-            return tuple(found)
-
-        def packed(rows: list, known: dict[str, int], units: list) -> pa.RecordBatch:
+        remembered: dict[str, list | None] = {}
+
+        def learned(units: list[str]) -> None:
+            """Remembers the ids and token ends of units, or None where a tokenizer does not give one back."""
+            ids = [encode(units) for encode, _ in sides]
+            for unit, *own in zip(units, *ids):
+                target, found = (" " + unit).encode(), []
+                for one, (_, known) in zip(own, sides):
+                    shown = [known[i] for i in one]
+                    if b"".join(shown) != target:
+                        found = None
+                        break
+                    found += [one, [*accumulate(map(len, shown))]]
+                remembered[unit] = found
+
+        def packed(rows: list, known: dict[str, int]) -> pa.RecordBatch:
+            if len(remembered) > REMEMBERED:
+                remembered.clear()
+            learned([x for x in known if x not in remembered])
+            units = [remembered[x] for x in known]
+            bad = np.array([x is None for x in units], bool)
+            units = [x or ([], [], [], []) for x in units]
+            places = [x[2][:0] if bad[x[2]].any() else x[2] for x in rows]
             columns = [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], id_type)]
             counts = [np.fromiter((len(u[k]) for u in units), np.int64, len(units)) for k in (0, 2)]
-            columns += [pa.array(np.fromiter((n[x[2]].sum() for x in rows), np.int64, len(rows))) for n in counts]
-            texts = pa.StructArray.from_arrays([*columns, _lists([x[2] for x in rows])], names=["row", "doc_id", "n_a", "n_b", "units"])
+            columns += [pa.array(np.fromiter((n[x].sum() for x in places), np.int64, len(rows))) for n in counts]
+            texts = pa.StructArray.from_arrays([*columns, _lists(places)], names=["row", "doc_id", "n_a", "n_b", "units"])
             table = pa.StructArray.from_arrays([_lists([u[k] for u in units]) for k in range(4)], names=["a_ids", "a_ends", "b_ids", "b_ends"])
             return pa.RecordBatch.from_arrays([_one_list(texts), _one_list(table)], names=["docs", "units"])
 
-        rows, known, units, size = [], {}, [], 0
+        rows, known, size = [], {}, 0
         for batch in batches:
             id_type = batch.column(1).type
             for row, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 text = text or ""
                 if rows and size + len(text) > portion:
-                    yield packed(rows, known, units)
-                    rows, known, units, size = [], {}, [], 0
+                    yield packed(rows, known)
+                    rows, known, size = [], {}, 0
                 size += len(text)
-                places = []
-                for unit in BLANK.split(text) if text else ():
-                    at = known.get(unit)
-                    if at is None:
-                        if unit not in remembered:
-                            if len(remembered) >= REMEMBERED:
-                                remembered.clear()
-                            remembered[unit] = tokens(unit)
-                        if remembered[unit] is None:
-                            places = []
-                            break
-                        at = known[unit] = len(units)
-                        units.append(remembered[unit])
-                    places.append(at)
+                places = [known.setdefault(unit, len(known)) for unit in BLANK.split(text)] if text else ()
                 rows.append((row, doc_id, np.array(places, np.int32)))
         if rows:
-            yield packed(rows, known, units)
+            yield packed(rows, known)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -138,7 +135,11 @@ def aligned_unit(unit: Column) -> Column:
         linked = F.transform(groups, lambda g: F.flatten(F.transform(g["a"], lambda a: F.transform(g["b"], lambda b: a.cast("long") * PAIR + b))))
         return F.struct(F.array_join(shown, ";").alias("groups"), F.size(groups).cast("long").alias("n_groups"), F.flatten(linked).alias("links"))
 
-    return let(let(F.array_intersect(unit["a_ends"], unit["b_ends"]), of), told)
+    # where the two agree on all ends, each token has a group
+    pairs = lambda body: F.zip_with(unit["a_ids"], unit["b_ids"], body)
+    shown = F.array_join(pairs(lambda a, b: F.concat_ws("|", a.cast("string"), b.cast("string"))), ";")
+    alike = F.struct(shown.alias("groups"), F.size(unit["a_ids"]).cast("long").alias("n_groups"), pairs(lambda a, b: a.cast("long") * PAIR + b).alias("links"))
+    return F.when(unit["a_ends"] == unit["b_ends"], alike).otherwise(let(let(F.array_intersect(unit["a_ends"], unit["b_ends"]), of), told))
 
 
 def aligned(found: DataFrame) -> DataFrame:
