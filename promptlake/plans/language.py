@@ -12,7 +12,7 @@ from ..operators import measures as me
 from ..operators import text as tx
 from ..sources import tables as t
 from .registry import query
-from .texts import _APPROX, _LEXICAL, _SHINGLES, _docs, _pairs, _phrased
+from .texts import _APPROX, _LEXICAL, _SHINGLES, _docs, _pairs, _phrased, sql_sentences
 
 P = t.PHRASED_SQL
 _mark = rules.sql_mark
@@ -122,7 +122,7 @@ def e11_consolidate_negations(spark: SparkSession, d: str) -> DataFrame:
     return _phrased(spark, d).select("doc_id", F.sha2(la.consolidate_negations(text), 256).alias("consolidated"))
 
 
-@query()
+@query(f"""SELECT doc_id, trim(s) AS segment FROM (SELECT doc_id, unnest({sql_sentences('t')}) AS s FROM ({P}) x) y WHERE {_match('s', rules.NEGATION_CUES_EN)} OR {_match('s', rules.NEGATION_CONTRACTED_EN)}""")
 def e12_negated_segments(spark: SparkSession, d: str) -> DataFrame:
     return _phrased(spark, d).select("doc_id", F.explode(la.negated_segments(F.col("t"))).alias("segment"))
 
@@ -233,7 +233,12 @@ def h10_safe_threshold(spark: SparkSession, d: str) -> DataFrame:
     return t.read(spark, d, "orders").select("o_orderkey", F.round(me.safe_threshold((F.col("o_orderkey") % 100) / 100.0, (F.col("o_orderkey") % 7) / 7.0), 6).alias("threshold"))
 
 
-@query()
+_GONE = ", ".join(
+    f"list_transform(list_filter(list_distinct(regexp_extract_all(t, '{p}')), lambda x: length(x) > 5 AND NOT list_contains(regexp_extract_all(c, '{p}'), x)), lambda x: '{label}')" for label, p in lexicon.CRITICAL
+)
+
+
+@query(f"SELECT doc_id, array_to_string(flatten([{_GONE}]), ',') AS missing FROM (SELECT doc_id, t, regexp_replace(t, 'https?://\\S+|\\S+@\\S+', '', 'g') AS c FROM ({P}) x) y")
 def h13_critical_content(spark: SparkSession, d: str) -> DataFrame:
     """Which addresses, code and data a text without its links and addresses lacks."""
     cut = F.regexp_replace("t", r"https?://\S+|\S+@\S+", "")

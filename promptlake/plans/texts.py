@@ -122,7 +122,20 @@ def e03_modality(spark: SparkSession, d: str) -> DataFrame:
     return _phrased(spark, d).select("doc_id", tx.modality(F.col("t")).alias("modality"))
 
 
-@query()
+def sql_sentences(t: str) -> str:
+    """Stretches that end with . ! or ? before white space; a mark stands in for looking behind."""
+    return f"list_filter(string_split(regexp_replace({t}, '([.!?]){WS}', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')"
+
+
+def _sql_has(text: str, phrases: str) -> str:
+    return f"regexp_matches({rules.sql_mark(text)}, '{rules.sql_pattern(phrases)}')"
+
+
+_KIND = "CASE " + " ".join(f"WHEN {_sql_has('sentence', words)} THEN '{name}'" for name, words in rules.MODALITY_EN) + " ELSE 'MUST' END"
+
+
+@query(f"""SELECT *, modality IN ('FORBIDDEN', 'MUST_NOT', 'SHOULD_NOT') OR ({_sql_has('sentence', '|'.join(w for _, w in rules.MODALITY_EN))} AND {_sql_has('sentence', rules.NEGATED)}) AS negated
+FROM (SELECT *, {_KIND} AS modality FROM (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INT) AS position, unnest(p) AS sentence FROM (SELECT doc_id, {sql_sentences('t')} AS p FROM ({P}) x) y) z) w""")
 def e07_constraints(spark: SparkSession, d: str) -> DataFrame:
     return tx.constraints(_phrased(spark, d))
 
@@ -172,7 +185,9 @@ def f15_token_overlap(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("conv_id", "turn", F.round(se.overlap(se.words(F.col("a")), se.words(F.col("b"))), 6).alias("overlap"))
 
 
-@query()
+@query(f"""SELECT doc_id, position, score, sentence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS rank FROM (SELECT *, CAST(2 * len(regexp_extract_all(sentence, '[A-Za-z0-9_]{{7,}}'))
++ 3 * len(regexp_extract_all(sentence, '[0-9]+')) + len(regexp_extract_all(sentence, '\\b[A-Z][a-z]+')) + CASE WHEN position = 0 OR position = n - 1 THEN 2 ELSE 0 END AS INT) AS score
+FROM (SELECT doc_id, len(p) AS n, CAST(generate_subscripts(p, 1) - 1 AS INT) AS position, unnest(p) AS sentence FROM (SELECT doc_id, {sql_sentences('t')} AS p FROM ({P}) x) y) z) w) v WHERE rank <= 2 OR n <= 3""")
 def g27_key_sentences(spark: SparkSession, d: str) -> DataFrame:
     return tx.key_sentences(_phrased(spark, d))
 
