@@ -84,7 +84,8 @@ def semantic(text: Column, least: float = 0.30, size: int = 384) -> Column:
     """The text of the chunks that are like its intent, joined by blanks, and how many of how many these are, with their mean score and the others'. A text
     of one chunk stays as it is."""
     rounded = lambda x: F.round(x, 6)
-    mean = lambda x: F.coalesce(F.try_divide(F.aggregate(x, F.lit(0.0), lambda n, c: n + c["score"]), F.size(x)), F.lit(0.0))
+    millionths = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, c: n + F.round(c["score"] * 1e6).cast("long"))
+    mean = lambda x: F.coalesce(F.floor(F.try_divide(2 * millionths(x) + F.size(x), 2 * F.size(x))) / 1e6, F.lit(0.0))  # noqa: E731  rounded once
     scored = let(hashed(intent(text)), lambda asked: F.transform(chunks(text, size), lambda c: F.struct(c.alias("chunk"), rounded(likeness(hashed(c), asked)).alias("score"))))
 
     def of(x: Column) -> Column:
@@ -92,7 +93,7 @@ def semantic(text: Column, least: float = 0.30, size: int = 384) -> Column:
         return F.struct(
             F.when(several, F.array_join(F.transform(kept, lambda c: c["chunk"]), " ")).otherwise(text).alias("text"), F.size(x["scored"]).cast("long").alias("chunks"),
             F.when(several, F.size(kept)).otherwise(F.size(x["scored"])).cast("long").alias("kept"), F.when(several, rounded(1 - F.size(kept) / F.size(x["scored"]))).otherwise(0.0).alias("dropped_ratio"),
-            F.when(several, rounded(mean(kept))).otherwise(0.0).alias("score_kept"), F.when(several, rounded(mean(dropped))).otherwise(0.0).alias("score_dropped"),
+            F.when(several, mean(kept)).otherwise(0.0).alias("score_kept"), F.when(several, mean(dropped)).otherwise(0.0).alias("score_dropped"),
         )
 
     return let(let(scored, lambda s: F.struct(s.alias("scored"), chosen(s, least).alias("kept"))), of)

@@ -58,11 +58,14 @@ _HASHED = "list_transform(" + _SHINGLES.replace("text", "{0}") + ", lambda w: su
 _BOTH = "coalesce(list_sum(list_transform({0}, lambda x: len(list_filter({1}, lambda y: y = x)))), 0)"
 
 
+_MEAN = "floor((2 * sum(CAST(round(score * 1e6) AS BIGINT)) FILTER ({0}) + count(*) FILTER ({0})) / CAST(2 * count(*) FILTER ({0}) AS DOUBLE)) / 1e6"
+
+
 @query(f"""WITH cut AS (SELECT doc_id, t, {_chunks('t', 384)} AS c, {_HASHED.format(_INTENT)} AS asked FROM ({t.PHRASED_SQL}) x),
 rows AS (SELECT doc_id, t, len(c) AS n, asked, unnest(c) AS chunk, generate_subscripts(c, 1) AS i FROM cut),
 scored AS (SELECT doc_id, t, n, i, chunk, round(coalesce({_BOTH.format('h', 'asked')} / nullif(sqrt(CAST({_BOTH.format('h', 'h')} AS DOUBLE) * {_BOTH.format('asked', 'asked')}), 0), 0), 6) AS score FROM (SELECT *, {_HASHED.format('chunk')} AS h FROM rows) y),
 judged AS (SELECT *, n = 1 OR score >= 0.3 OR (max(score) OVER (PARTITION BY doc_id) < 0.3 AND row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) = 1) AS stays FROM scored)
 SELECT doc_id, CASE WHEN n = 1 THEN any_value(t) ELSE string_agg(chunk, ' ' ORDER BY i) FILTER (stays) END AS text, n AS chunks, count(*) FILTER (stays) AS kept, CASE WHEN n = 1 THEN 0 ELSE round(1 - count(*) FILTER (stays) / CAST(n AS DOUBLE), 6) END AS dropped_ratio,
-CASE WHEN n = 1 THEN 0 ELSE round(avg(score) FILTER (stays), 6) END AS score_kept, CASE WHEN n = 1 THEN 0 ELSE round(coalesce(avg(score) FILTER (score < 0.3), 0), 6) END AS score_dropped FROM judged GROUP BY doc_id, n""")
+CASE WHEN n = 1 THEN 0 ELSE {_MEAN.format('stays')} END AS score_kept, CASE WHEN n = 1 THEN 0 ELSE coalesce({_MEAN.format('score < 0.3')}, 0) END AS score_dropped FROM judged GROUP BY doc_id, n""")
 def g12_g13_chunks_like_the_intent(spark: SparkSession, d: str) -> DataFrame:
     return ch.semantic_stage(t.phrased_documents(spark, d))
