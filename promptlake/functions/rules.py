@@ -85,6 +85,21 @@ def pattern(phrases: str) -> str:
     return rf"(?iU){EDGE}({spaced(phrases)}){EDGE}"
 
 
+def any_of(patterns: list[str]) -> str:
+    """A Java pattern that is found wherever one of the patterns, made like those of ``pattern``, is: alternatives by their first letter, so that few are tried."""
+    by_letter: dict[str, list[str]] = {}
+    for p in patterns:
+        body = p.removeprefix(f"(?iU){EDGE}")
+        if body.startswith("(") and body.endswith(f"){EDGE}") and not re.search(r"[()]", body[1 : -len(EDGE) - 1]):
+            parts = [x + EDGE for x in body[1 : -len(EDGE) - 1].split("|")]
+        else:
+            parts = [body]
+        for x in parts:
+            first = x[0].lower() if x[0].isalpha() and x[1] not in "?*+{" else ""
+            by_letter.setdefault(first, []).append(x[1:] if first else x)
+    return rf"(?iU){EDGE}(?:" + "|".join(f"{first}(?:{'|'.join(x)})" for first, x in by_letter.items()) + ")"
+
+
 def sql_pattern(phrases: str) -> str:
     """The same for engines whose words are of ASCII letters alone; see ``sql_marked``."""
     marked = re.sub(r"([^\x00-\x7F])", r"_\1_", spaced(phrases))

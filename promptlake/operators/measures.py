@@ -18,10 +18,12 @@ def words(text: Column) -> Column:
 
 
 def approximate_tokens(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    t = F.trim(text)
-    n = F.floor(F.regexp_count(t, F.lit(r"[A-Za-z0-9_]+")) * 1.3 + F.regexp_count(t, F.lit(r"[^A-Za-z0-9_\s]")) * 0.5)
-    return F.when(F.length(text) == 0, 0).otherwise(F.greatest(n, F.lit(1))).cast("long")
+    def of(text: Column) -> Column:
+        t = F.trim(text)
+        n = F.floor(F.regexp_count(t, F.lit(r"[A-Za-z0-9_]+")) * 1.3 + F.length(F.regexp_replace(t, r"[A-Za-z0-9_\s]+", "")) * 0.5)  # runs are skipped faster than other characters are found
+        return F.when(F.length(text) == 0, 0).otherwise(F.greatest(n, F.lit(1)))
+
+    return let(F.coalesce(text, F.lit("")), of).cast("long")
 
 
 def tokens_by_provider(text: Column, provider: Column) -> Column:
@@ -213,11 +215,12 @@ def integrity(original: Column, compressed: Column) -> Column:
     def of(w: Column) -> Column:
         ratio = F.size(w["c"]) / F.greatest(F.size(w["o"]), F.lit(1))
         collapse = (F.size(w["c"]) == 0) | (F.coalesce(F.try_divide(ngram_entropy(w["c"], 3), ngram_entropy(w["o"], 3)) < 0.20, F.lit(False)))
-        empty = F.length(F.trim(compressed)) < 3
-        lost = F.filter(F.array(*[F.when(original.rlike(p) & ~compressed.rlike(p), F.lit(n)) for n, p in STRUCTURES]), lambda x: x.isNotNull())
-        lost = F.when((F.size(w["o"]) > 0) & (F.size(w["c"]) > 0) & (F.size(lost) > 0), F.concat(F.lit("structure lost: "), F.array_join(lost, ",")))
+        empty = F.length(F.trim(w["tc"])) < 3
+        gone = F.array_compact(F.array(*[F.when(w["to"].rlike(p) & ~w["tc"].rlike(p), F.lit(n)) for n, p in STRUCTURES]))
+        lost = F.when((F.size(w["o"]) > 0) & (F.size(w["c"]) > 0), let(gone, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("structure lost: "), F.array_join(x, ",")))))
         why = F.concat_ws("; ", F.when(ratio < 0.15, "token ratio"), F.when(collapse, "entropy collapse"), lost, F.when(empty, "empty"))
-        return F.struct((why == "").alias("passed"), F.round(ratio, 4).alias("token_ratio"), why.alias("reason"))
+        return let(why, lambda why: F.struct((why == "").alias("passed"), F.round(ratio, 4).alias("token_ratio"), why.alias("reason")))
 
     original, compressed = F.coalesce(original, F.lit("")), F.coalesce(compressed, F.lit(""))
-    return let(F.struct(words(original).alias("o"), words(compressed).alias("c")), of)
+    split = lambda x: F.struct(words(x["to"]).alias("o"), words(x["tc"]).alias("c"), x["to"].alias("to"), x["tc"].alias("tc"))
+    return let(let(F.struct(original.alias("to"), compressed.alias("tc")), split), of)

@@ -14,8 +14,19 @@ def chain(text: Column, steps) -> Column:
     return text
 
 
+def in_stretches(text: Column, steps) -> Column:
+    """chain(text, steps) for steps that match no punctuation mark: a match lies between two marks, so that only the stretches in which some step
+    finds something, told by one pattern, go through all steps."""
+    any_step = rules.any_of([p for p, _ in steps])
+    return F.array_join(F.transform(F.split(text, r"(?<=[.,;:!?])", -1), lambda x: F.when(x.rlike(any_step), chain(x, steps)).otherwise(x)), "")
+
+
+def _steps(table) -> list[tuple[str, str]]:
+    return [(rules.pattern(p), s) for p, s in table]
+
+
 def phrases(text: Column, table) -> Column:
-    return chain(text, [(rules.pattern(p), s) for p, s in table])
+    return in_stretches(text, _steps(table))
 
 
 def structural(text: Column) -> Column:
@@ -39,13 +50,16 @@ def without_fluff(text: Column) -> Column:
     return phrases(text, rules.FLUFF_EN)
 
 
+_COURTESY = [(f"(?iU){rules.EDGE}{p}" + ("" if p.endswith("+") or p.endswith(")?") else rules.EDGE), s) for p, s in rules.POLITE_EN]
+
+
 def without_courtesy(text: Column) -> Column:
-    return chain(text, [(f"(?iU){rules.EDGE}{p}" + ("" if p.endswith("+") or p.endswith(")?") else rules.EDGE), s) for p, s in rules.POLITE_EN])
+    return in_stretches(text, _COURTESY)
 
 
 def lexical(text: Column) -> Column:
     """Phrases, fluff and courtesy, then the spaces they leave."""
-    done = without_courtesy(without_fluff(shorten(text)))
+    done = in_stretches(text, _steps(rules.PHRASES_EN) + _steps(rules.FLUFF_EN) + _COURTESY)
     return F.trim(chain(done, [(" +", " "), (r"\s+([.,;:!?])", "$1"), (r"\s{2,}", " ")]))
 
 
