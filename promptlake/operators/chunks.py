@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .measures import let, words
+from .measures import let, run_counts, words
 
 # Separators from the coarsest on, words that tell what a prompt asks for, and how much of its line counts.
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", " ")
@@ -68,15 +68,20 @@ def hashed(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.substring(F.sha2(w, 256), 1, 3))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The cosine of two hashed texts' counts; 0 where one has no words."""
-    both = lambda x, y: F.aggregate(x, F.lit(0.0), lambda n, w: n + F.size(F.filter(y, lambda v: v == w)))
-    return F.coalesce(F.try_divide(both(a, b), F.sqrt(both(a, a) * both(b, b))), F.lit(0.0))
+def squares(w: Column) -> Column:
+    """The sum of squares of how often each word of w occurs."""
+    return F.aggregate(run_counts(w), F.lit(0.0), lambda s, n: s + n * n)
+
+
+def likeness(a: Column, b: Column, squares_of_b: Column | None = None) -> Column:
+    """The cosine of two hashed texts' counts; 0 where one has no words. What both hold in common is told by the squares of both together."""
+    found = F.struct(squares(a).alias("a"), (squares(b) if squares_of_b is None else squares_of_b).alias("b"), squares(F.concat(a, b)).alias("ab"))
+    return let(found, lambda x: F.coalesce(F.try_divide((x["ab"] - x["a"] - x["b"]) / 2, F.sqrt(x["a"] * x["b"])), F.lit(0.0)))
 
 
 def chosen(scored: Column, least: float) -> Column:
     """Of (chunk, score) those of ``least`` at least; where there is none, the first of the best."""
-    best = lambda x: F.filter(x, lambda c: c["score"] == F.array_max(F.transform(x, lambda y: y["score"])))
+    best = lambda x: let(F.array_max(F.transform(x, lambda y: y["score"])), lambda top: F.filter(x, lambda c: c["score"] == top))
     return let(F.filter(scored, lambda c: c["score"] >= least), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(F.slice(best(scored), 1, 1)))
 
 
@@ -86,7 +91,9 @@ def semantic(text: Column, least: float = 0.30, size: int = 384) -> Column:
     rounded = lambda x: F.round(x, 6)
     millionths = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, c: n + F.round(c["score"] * 1e6).cast("long"))
     mean = lambda x: F.coalesce(F.floor(F.try_divide(2 * millionths(x) + F.size(x), 2 * F.size(x))) / 1e6, F.lit(0.0))  # noqa: E731  rounded once
-    scored = let(hashed(intent(text)), lambda asked: F.transform(chunks(text, size), lambda c: F.struct(c.alias("chunk"), rounded(likeness(hashed(c), asked)).alias("score"))))
+    score = lambda c, asked: let(hashed(c), lambda w: rounded(likeness(w, asked["w"], asked["n"])))
+    asked = let(hashed(intent(text)), lambda w: F.struct(w.alias("w"), squares(w).alias("n")))
+    scored = let(asked, lambda asked: F.transform(chunks(text, size), lambda c: F.struct(c.alias("chunk"), score(c, asked).alias("score"))))
 
     def of(x: Column) -> Column:
         several, kept, dropped = F.size(x["scored"]) > 1, x["kept"], F.filter(x["scored"], lambda c: c["score"] < least)
