@@ -51,6 +51,14 @@ PROTECTED = (
     ("placeholder", r"\{\{[^}]+\}\}|\{\w+\}|%[sd]|<\s*\w+\s*/?>|<%\s*\w+\s*%>", 0),
 )
 
+# Characters of which every span of a kind has one; a text without them is not searched for the kind. Other kinds have no such few.
+NEEDS = {
+    "json": "{", "xml": "<", "url": ":", "semi_url": ".", "time_range": ":", "time": ":", "email": "@", "social": "@", "ipv4": ".", "ipv6": ":", "port": ":", "semver": ".",
+    "uuid": "-", "hex_color": "#", "coords": "°˚.", "percent": "%", "path": "/\\", "html_entity": "&", "placeholder": "{%<", "inline_code": "`", "code": "`~", "yaml": "-", "iso_datetime": ":",
+}
+#: Kinds of which every span has a digit, of any script.
+NUMBERED = frozenset(("date", "phone", "legal_ref", "currency", "unit", "ipv4", "coords", "percent", "time", "time_range", "iso_datetime", "port", "semver"))
+
 # The phases of each profile that change a text, in order.
 PHASES = {
     "safe": ("exact_dedup", "structural"),

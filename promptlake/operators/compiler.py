@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans
+from ..storage import written
 from . import chunks as ch
 from . import clusters as cl
 from . import language as la
@@ -24,9 +25,9 @@ def without_equal_blocks(text: Column, separator: str = "\n\n") -> Column:
     return F.array_join(let(let(blocks, lambda b: F.struct(b.alias("blocks"), F.transform(b, tx.block_hash).alias("keys"))), of), separator)
 
 
-def validation(output: Column, originals: Column, mark: Column) -> Column:
-    """Errors of an output: spans that it lacks, placeholders that are left in it."""
-    lost = la.missing(output, originals, mark)
+def validation(output: Column, originals: Column, mark: Column, lost: Column | None = None) -> Column:
+    """Errors of an output: spans that it lacks (by number, where known), placeholders that are left in it."""
+    lost = la.missing(output, originals, mark) if lost is None else lost
     left = F.array_distinct(F.regexp_extract_all(output, F.concat(mark, F.lit(r"\d+")), F.lit(0)))
     told = lambda name, x: F.when(F.size(x) > 0, F.concat(F.lit(name), F.array_join(x.cast("array<string>"), ",")))
     return F.array_compact(F.array(told("spans missing: ", lost), told("placeholders left: ", left)))
@@ -69,17 +70,19 @@ def compiled(docs: DataFrame, profile: str = "balanced") -> DataFrame:
         text = without_equal_blocks(text)
     p = p.withColumn("now", text)
     if "near_dedup" in phases:
+        p = written(p, "protected")  # read twice, worked out once
         p = _without_near_blocks(p)
     text = F.col("now")
     for name in phases:
         text = _PHASE[name](text) if name in _PHASE else text
     p = p.withColumn("now", text).withColumn("compressed", la.reinject(la.unmark_negated(F.col("now")), F.col("p.originals"), F.col("p.mark")))
-    checked = p.withColumn("validation", validation(F.col("compressed"), F.col("p.originals"), F.col("p.mark")))
+    p = p.withColumn("gone", la.missing(F.col("compressed"), F.col("p.originals"), F.col("p.mark")))
+    checked = p.withColumn("validation", validation(F.col("compressed"), F.col("p.originals"), F.col("p.mark"), F.col("gone")))
     none = F.array().cast("array<string>")
     judged = quality(F.col("t"), F.col("compressed"), spans.LEAST_SIMILARITY_INDUSTRIAL if profile == "industrial" else spans.LEAST_SIMILARITY)["errors"] if strong else none
     done = checked.withColumn("quality", F.coalesce(judged, none)).withColumn("validation", F.coalesce("validation", none))
     return done.select(
-        "doc_id", "t", "compressed", F.size("p.originals").alias("spans"), F.size(la.missing(F.col("compressed"), F.col("p.originals"), F.col("p.mark"))).alias("lost"),
+        "doc_id", "t", "compressed", F.size("p.originals").alias("spans"), F.size("gone").alias("lost"),
         "validation", "quality", (F.size("validation") + F.size("quality") > 0).alias("fall_back"),
     )
 

@@ -1,4 +1,4 @@
-"""Detection, features, protection and compression of prompts: column expressions, and two small helpers inside tasks."""
+"""Detection, features, protection and compression of prompts: column expressions, and small helpers inside tasks."""
 
 from __future__ import annotations
 
@@ -213,6 +213,15 @@ def protected_ratio(text: Column) -> Column:
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("original", T.StringType())])
 
 
+_DIGIT = re.compile(r"\d")
+
+
+def _may_hold(text: str, kind: str) -> bool:
+    """Whether a text has the characters that every span of a kind has."""
+    needs = spans.NEEDS.get(kind)
+    return (needs is None or any(x in text for x in needs)) and (kind not in spans.NUMBERED or _DIGIT.search(text) is not None)
+
+
 _TAKEN = tuple((kind, re.compile(pattern, flags)) for kind, pattern, flags in spans.PROTECTED)
 
 
@@ -234,24 +243,76 @@ def protect(texts: pd.Series) -> pd.DataFrame:
             return by
 
         for kind, pattern in _TAKEN:
-            text = text and pattern.sub(replace(kind), text)
+            if text and _may_hold(text, kind):
+                text = pattern.sub(replace(kind), text)
         return text, originals, mark
 
     return pd.DataFrame([of(x) for x in texts], columns=["text", "originals", "mark"])
 
 
+def _put_back(text: str, whole: list[str], originals: list[str], mark: str) -> str:
+    """A text with spans for placeholders as replacing them from the last number to the first gives it (10 before 1); whole are the spans with what
+    is within them put back. In one pass, but where a placeholder may gain digits from what is put back behind it."""
+    if mark not in text:
+        return text
+    numbered, n = re.escape(mark) + "([0-9]+)", len(originals)
+    begun = re.escape(mark) + "[0-9]*"
+    if re.search(f"{begun}{re.escape(mark)}", text) or any(re.search(f"{begun}$|{begun}{re.escape(mark)}", x) for x in originals if mark in x):
+        for i in range(n, 0, -1):
+            text = text.replace(f"{mark}{i}", originals[i - 1])
+        return text
+
+    def by(m: re.Match) -> str:
+        digits = m[1]
+        for k in range(min(len(digits), len(str(n))), 0, -1):
+            if digits[0] != "0" and int(digits[:k]) <= n:
+                return whole[int(digits[:k]) - 1] + digits[k:]
+        return m[0]
+
+    return re.sub(numbered, by, text)
+
+
+def _whole(originals: list[str], mark: str) -> list[str]:
+    """Each span in full, with the earlier ones that are within it."""
+    whole: list[str] = []
+    for x in originals:
+        whole.append(_put_back(x, whole, originals[: len(whole)], mark) if mark in x else x)
+    return whole
+
+
+@F.pandas_udf(T.StringType())
+def _reinjected(texts: pd.Series, originals: pd.Series, marks: pd.Series) -> pd.Series:
+    of = lambda t, o, m: None if t is None or o is None else _put_back(t, _whole(list(o), m), list(o), m)
+    return pd.Series([of(*x) for x in zip(texts, originals, marks)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _missing(texts: pd.Series, originals: pd.Series, marks: pd.Series) -> pd.Series:
+    def of(text: str | None, spans, mark: str) -> list[int] | None:
+        if spans is None:
+            return None
+        lost, at, held = [], 0, {}
+        for i, x in enumerate(_whole(list(spans), mark) if text is not None else (), 1):
+            if x not in held:
+                # spans of a kind come in order: the search goes on from the last one found
+                found = text.find(x, at)
+                found = text.find(x) if found < 0 else found
+                held[x], at = found >= 0, max(found, 0)
+            if not held[x]:
+                lost.append(i)
+        return lost
+
+    return pd.Series([of(*x) for x in zip(texts, originals, marks)], dtype=object)
+
+
 def reinject(text: Column, originals: Column, mark: Column | None = None) -> Column:
     """Placeholders back to what they stand for, from the last to the first: number 10 before 1, and spans within spans."""
-    mark = F.lit("PROTECTED_") if mark is None else mark
-    numbered = F.reverse(F.transform(originals, lambda o, i: F.struct(F.concat(mark, (i + 1).cast("string")).alias("id"), o["original"].alias("original"))))
-    return F.aggregate(numbered, text, lambda t, o: F.replace(t, o["id"], o["original"]))
+    return _reinjected(text, originals["original"], F.lit("PROTECTED_") if mark is None else mark)
 
 
 def missing(text: Column, originals: Column, mark: Column | None = None) -> Column:
     """The numbers of spans that a text lacks, each in full with what is protected within it."""
-    mark = F.lit("PROTECTED_") if mark is None else mark
-    whole = lambda o, i: reinject(o["original"], F.slice(originals, F.lit(1), i), mark)  # noqa: E731  spans within come first
-    return F.filter(F.transform(originals, lambda o, i: F.when(~F.contains(text, whole(o, i)), i + 1)), lambda i: i.isNotNull())
+    return _missing(text, originals["original"], F.lit("PROTECTED_") if mark is None else mark)
 
 
 def compressed_messages(messages: DataFrame, text: Column, tokens, least: float = 0.90) -> DataFrame:

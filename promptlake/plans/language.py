@@ -80,9 +80,9 @@ def d04_language(spark: SparkSession, d: str) -> DataFrame:
 def d07_d09_protection(spark: SparkSession, d: str) -> DataFrame:
     """How many spans of how many kinds are protected, and whether putting them back gives the text again."""
     p = _phrased(spark, d).withColumn("p", la.protect(F.col("t")))
-    back = la.reinject(F.col("p.text"), F.col("p.originals"), F.col("p.mark"))
-    kinds = F.size(F.array_distinct("p.originals.kind")).cast("long")
-    return p.select("doc_id", F.size("p.originals").cast("long").alias("spans"), kinds.alias("kinds"), (back == F.col("t")).alias("restored"), F.size(la.missing(back, F.col("p.originals"), F.col("p.mark"))).cast("long").alias("missing"))
+    p = p.withColumn("back", la.reinject(F.col("p.text"), F.col("p.originals"), F.col("p.mark")))
+    kinds, lost = F.size(F.array_distinct("p.originals.kind")).cast("long"), F.size(la.missing(F.col("back"), F.col("p.originals"), F.col("p.mark"))).cast("long")
+    return p.select("doc_id", F.size("p.originals").cast("long").alias("spans"), kinds.alias("kinds"), (F.col("back") == F.col("t")).alias("restored"), lost.alias("missing"))
 
 
 @query(f"SELECT o_orderkey, CASE WHEN cap >= CAST(0.7 AS DOUBLE) THEN 'max' WHEN cap >= CAST(0.55 AS DOUBLE) THEN 'aggressive' WHEN cap >= CAST(0.4 AS DOUBLE) THEN 'balanced' WHEN cap >= CAST(0.25 AS DOUBLE) THEN 'light' WHEN cap >= CAST(0.15 AS DOUBLE) THEN 'safe' ELSE 'bypass' END AS profile FROM (SELECT o_orderkey, CASE WHEN p >= CAST(0.3 AS DOUBLE) THEN CAST(0.15 AS DOUBLE) WHEN p >= CAST(0.15 AS DOUBLE) THEN CAST(0.25 AS DOUBLE) WHEN p >= CAST(0.05 AS DOUBLE) THEN CAST(0.4 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS cap FROM (SELECT o_orderkey, (o_orderkey % 50) / CAST(100 AS DOUBLE) AS p FROM orders))")
