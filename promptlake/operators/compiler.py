@@ -75,7 +75,8 @@ def compiled(docs: DataFrame, profile: str = "balanced") -> DataFrame:
     text = F.col("now")
     for name in phases:
         text = _PHASE[name](text) if name in _PHASE else text
-    p = p.withColumn("now", text).withColumn("compressed", la.reinject(la.unmark_negated(F.col("now")), F.col("p.originals"), F.col("p.mark")))
+    p = written(p.withColumn("now", text), "rewritten")  # Python's helpers take columns of a table, not long expressions
+    p = p.withColumn("compressed", la.reinject(la.unmark_negated(F.col("now")), F.col("p.originals"), F.col("p.mark")))
     p = p.withColumn("gone", la.missing(F.col("compressed"), F.col("p.originals"), F.col("p.mark")))
     checked = p.withColumn("validation", validation(F.col("compressed"), F.col("p.originals"), F.col("p.mark"), F.col("gone")))
     none = F.array().cast("array<string>")
