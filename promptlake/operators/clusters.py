@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from . import text as tx
-from .language import set_pairs
+from .language import set_key, set_pairs
 
 
 def dropped(links: DataFrame) -> tuple[DataFrame, int]:
@@ -49,14 +49,22 @@ def grouped(texts: DataFrame, percent: int = 85, k: int = 3, scope: Column | Non
     Equal sets are represented by their first text, which decides for all: a later one is like it, or has its leader. Null texts
     count as empty, and empty texts are alike.
     """
-    mark = F.lit(0) if scope is None else scope
-    of = F.sort_array(F.transform(tx.shingles(F.coalesce("text", F.lit("")), k), lambda x: F.xxhash64(x, mark)))
-    sets = written(texts.select("node", of.alias("s")), "shingle-sets")
-    first = written(sets.groupBy("s").agg(F.min("node").alias("node")), "first-of-sets")
-    links = written(set_pairs(first, percent), "similar-sets")
+    return _led(*linked(texts, percent, k, scope))
+
+
+def linked(texts: DataFrame, percent: int, k: int = 3, scope: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The sets of shingles of texts (node, text), and the pairs of different ones of equal scope that agree by percent; both as tables."""
+    sets = texts.select("node", tx.hashed_shingles(F.col("text"), k, F.lit(0) if scope is None else scope).alias("s"))
+    sets = written(sets.select("node", "s", set_key(F.col("s")).alias("key")), "shingle-sets")
+    return sets, written(set_pairs(sets, percent), "similar-sets")
+
+
+def _led(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """node, leader and likeness of each of the sets by the links of the first ones of equal sets."""
     found, _ = leaders(links)
-    led = first.join(found, "node", "left").select("s", F.col("node").alias("first"), "leader", "likeness")
-    return sets.join(led, "s").select("node", F.coalesce("leader", "first").alias("leader"), F.coalesce("likeness", F.lit(1.0)).alias("likeness"))
+    first = sets.groupBy("key").agg(F.min("node").alias("first"))
+    led = first.join(found.withColumnRenamed("node", "first"), "first", "left")
+    return sets.select("node", "key").join(led, "key").select("node", F.coalesce("leader", "first").alias("leader"), F.coalesce("likeness", F.lit(1.0)).alias("likeness"))
 
 
 def deduplicated_blocks(docs: DataFrame, separator: str = "\n", percent: int = 85, least: int = 5) -> DataFrame:
@@ -65,10 +73,9 @@ def deduplicated_blocks(docs: DataFrame, separator: str = "\n", percent: int = 8
     Blocks that hold PROTECTED_ stay and are compared with none; a text with fewer than ``least`` blocks, or as many
     besides those, stays as it is.
     """
-    blocks = docs.select("doc_id", F.posexplode(F.split("text", separator, -1)).alias("position", "block"))
-    fixed = F.contains("block", F.lit("PROTECTED_"))
-    many = docs.select("doc_id", F.size(F.filter(F.split("text", separator, -1), lambda x: ~F.contains(x, F.lit("PROTECTED_")))).alias("n")).filter(F.col("n") >= least).select("doc_id")
-    open_ = blocks.filter(~fixed).join(many, "doc_id", "left_semi")
+    all_, fixed = F.split("text", separator, -1), lambda x: F.contains(x, F.lit("PROTECTED_"))
+    many = docs.filter(F.size(F.filter(all_, lambda x: ~fixed(x))) >= least)
+    open_ = many.select("doc_id", F.posexplode(all_).alias("position", "block")).filter(~fixed(F.col("block")))
     found = grouped(open_.select(F.struct("doc_id", "position").alias("node"), F.col("block").alias("text"), "doc_id"), percent, scope=F.col("doc_id"))
     goes = found.filter("leader <> node").select("node.doc_id", "node.position").groupBy("doc_id").agg(F.collect_set("position").alias("goes"))
     joined = docs.select("doc_id", "text").join(goes, "doc_id", "left").withColumn("goes", F.coalesce("goes", F.array().cast("array<int>")))
@@ -81,11 +88,11 @@ def similarity_report(prompts: DataFrame, percent: int = 85, cluster_percent: in
     shingle sets, clusters of more than one prompt around a leader, and the prompts in those."""
     same = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
     equal = prompts.groupBy("tenant", F.sha2(same, 256).alias("key")).agg(F.count("*").alias("n")).groupBy("tenant").agg(F.count_if(F.col("n") > 1).alias("equal_groups"))
-    of = F.sort_array(F.transform(tx.shingles(F.coalesce("text", F.lit(""))), lambda x: F.xxhash64(x, "tenant")))
-    sets = written(prompts.select("tenant", "node", of.alias("s")).groupBy("s", "tenant").agg(F.min("node").alias("node")), "tenant-sets")
-    pairs = set_pairs(sets.select(F.struct("tenant", "node").alias("node"), "s"), percent).groupBy("a.tenant").agg(F.count("*").alias("similar_pairs"))
     nodes = prompts.select(F.struct("tenant", "node").alias("node"), "text", "tenant")
-    led = grouped(nodes, cluster_percent, scope=F.col("tenant")).groupBy("leader").agg(F.count("*").alias("n")).filter("n > 1")
+    sets, links = linked(nodes, min(percent, cluster_percent), scope=F.col("tenant"))
+    least = lambda p: links.filter(f"100 * n >= {p} * union")
+    pairs = least(percent).groupBy("a.tenant").agg(F.count("*").alias("similar_pairs"))
+    led = _led(sets, least(cluster_percent)).groupBy("leader").agg(F.count("*").alias("n")).filter("n > 1")
     clusters = led.groupBy("leader.tenant").agg(F.count("*").alias("clusters"), F.sum("n").alias("clustered"))
     found = equal.join(pairs, equal["tenant"].eqNullSafe(pairs["tenant"]), "left").drop(pairs["tenant"])
     found = found.join(clusters, found["tenant"].eqNullSafe(clusters["tenant"]), "left").drop(clusters["tenant"])

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import lexicon, rules, spans
 from ..sources.tables import PROFILE_OF_RATE, lookup
+from ..storage import written
 from . import text as tx
 from .measures import let, words
 
@@ -351,25 +352,49 @@ def markdown_rows(text: Column) -> Column:
 
 def similar_pairs(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
     """Pairs (a, b) of documents (doc_id, text) whose sets of k-word shingles agree by percent of their union at least, of equal
-    sets only the least doc_id. Exact, by prefix filtering: of each set the rarest shingles, one of which a pair must share."""
-    s = docs.select("doc_id", F.transform(tx.shingles(F.coalesce("text", F.lit("")), k), lambda x: F.xxhash64(x)).alias("s"))
-    s = s.groupBy(F.sort_array("s").alias("s")).agg(F.min("doc_id").alias("doc_id"))
-    return set_pairs(s.withColumnRenamed("doc_id", "node"), percent)
+    sets only the least doc_id. Exact, by prefix filtering."""
+    sets = written(docs.select(F.col("doc_id").alias("node"), tx.hashed_shingles(F.col("text"), k).alias("s")), "shingle-sets")
+    return set_pairs(sets, percent).select("a", "b", "jaccard")
+
+
+#: Fixed value: shingles are counted by their last 16 bits.
+_BITS = 16
+
+
+def _rarest_first(sets: DataFrame) -> Column:
+    """A set s with its members renamed, one to one, so that they sort by how many of all members of sets share their last bits: those of a
+    frequent member are shared by more, so that it comes late in every set."""
+    last = lambda x: x.bitwiseAND(F.lit((1 << _BITS) - 1))
+    counted = sets.select(F.explode("s").alias("x")).groupBy(last(F.col("x")).cast("int").alias("last")).agg(F.count("*").alias("n")).collect()
+    count = dict(counted)
+    # a fixed number of counts, whatever the input
+    rank = [0] * (1 << _BITS)
+    for r, i in enumerate(sorted(range(1 << _BITS), key=lambda i: (count.get(i, 0), i))):
+        rank[i] = r - (1 << _BITS - 1)
+    ranks = F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
+    name = lambda x: F.shiftleft(F.get(ranks, last(x).cast("int")).cast("long"), 64 - _BITS).bitwiseOR(F.shiftrightunsigned(x, _BITS))
+    return F.sort_array(F.transform("s", name))
+
+
+def set_key(s: Column) -> Column:
+    """128 bits that tell sets (sorted arrays) apart."""
+    return F.struct(F.xxhash64(s).alias("h"), F.xxhash64(F.lit(1), s).alias("g"))
 
 
 def set_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of sets (node, s) that agree by percent of their union at least, with their ``jaccard``."""
-    rows = sets.select("node", F.size("s").alias("size"), F.explode("s").alias("shingle"))
-    often = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = rows.join(often, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("shared"))
-    # shingles of one text come first in its prefix, and meet no other
-    first = F.slice("shared", 1, F.greatest(F.lit(0), F.size("shared") - F.ceil(F.col("size") * percent / F.lit(100)).cast("int") + 1))
-    prefix = shared.select("node", "size", F.explode(F.transform(first, lambda x: x["shingle"])).alias("shingle"))
-    a, b = (prefix.select("shingle", F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
-    near = a.join(b, "shingle").filter(f"a < b and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)").select("a", "b").distinct()
+    """Pairs (a, b), a < b, of sets (node, s: sorted) that agree by percent of their union at least, with how many members they share (``n``), the size
+    of their union and their ``jaccard``. Of equal sets only the first node is in pairs. sets should be a table, as it is read several times."""
+    # of each set the rarest members, one of which a pair must share
+    first = F.slice(_rarest_first(sets), F.lit(1), (F.size("s") - F.ceil(F.size("s") * percent / F.lit(100)) + 1).cast("int"))
+    firsts = sets.select(set_key(F.col("s")).alias("key"), F.struct("node", F.size("s").alias("size"), first.alias("first")).alias("x")).groupBy("key").agg(F.min("x").alias("x"))
+    prefix = firsts.select("x.node", "x.size", F.posexplode("x.first").alias("before", "shingle"))
+    a, b = (prefix.select("shingle", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), (F.col("size") - F.col("before")).alias(f"left_{x}")) for x in "ab")
+    # the first member that a pair shares has what they share before it in neither
+    enough = F.least("left_a", "left_b") * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))
+    near = written(a.join(b, "shingle").filter((F.col("a") < F.col("b")) & enough).select("a", "b").distinct(), "near-sets")
     both = near.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return both.filter(f"100 * n >= {percent} * (sum - n)").select("a", "b", F.round(F.col("n") / (F.col("sum") - F.col("n")), 6).alias("jaccard"))
+    return both.filter(f"100 * n >= {percent} * (sum - n)").select("a", "b", "n", (F.col("sum") - F.col("n")).alias("union"), F.round(F.col("n") / (F.col("sum") - F.col("n")), 6).alias("jaccard"))
 
 
 def minhash(found: Column, n: int = 64) -> Column:

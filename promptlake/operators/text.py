@@ -155,6 +155,14 @@ def shingles(text: Column, k: int = 3) -> Column:
     return F.element_at(F.transform(F.array(w), of), 1)
 
 
+def hashed_shingles(text: Column, k: int = 3, *marks: Column) -> Column:
+    """64-bit hashes of the shingles of a text and of marks, sorted; those of an empty text for a null one."""
+    w = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
+    every = lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - k), lambda i: F.xxhash64(*[F.get(a, i + j) for j in range(k)], *marks))
+    of = lambda a: F.when(F.size(a) < k, F.array(F.xxhash64(a, *marks))).otherwise(F.array_distinct(every(a)))
+    return F.sort_array(F.element_at(F.transform(F.array(w), of), 1))
+
+
 def key_sentences(docs: DataFrame, k: int = 2) -> DataFrame:
     """The k sentences of each document (doc_id, t) that score highest: long words twice, numbers three times, capitals once, and two more at either end."""
     s = docs.select("doc_id", sentences(F.col("t")).alias("s")).select("doc_id", F.size("s").alias("n"), F.posexplode("s").alias("position", "sentence"))

@@ -7,6 +7,8 @@ import random
 import pytest
 
 from promptlake.operators import clusters as cl
+from promptlake.operators.language import set_pairs
+from promptlake.storage import written
 
 
 def greedy(nodes, links):
@@ -89,3 +91,37 @@ def test_report_keeps_tenants_apart(spark):
     want = greedy([x[1] for x in own], links)
     sizes = [n for n in map([*want.values()].count, {*want.values()}) if n > 1]
     assert (found["a"].clusters, found["a"].clustered) == (len(sizes), sum(sizes)) and None in found
+
+
+def moved(spark):
+    """Bytes that stages have written to shuffles so far."""
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.ArrayList
+    stages = spark._jsc.sc().statusStore().stageList(none(), False, False, gateway.new_array(gateway.jvm.double, 0), none()).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteBytes()
+    return total
+
+
+def test_set_pairs(spark):
+    """Pairs of near sets, with a member that all hold and with equal sets; what is moved stays below the size of the sets where few are near."""
+    rng = random.Random(5)
+    sets = [[7] + [rng.getrandbits(62) for _ in range(100)] for _ in range(2000)]
+    sets += [[*x[: 101 - i % 30], *(rng.getrandbits(62) for _ in range(i % 9))] for i, x in enumerate(sets[:60])] + sets[:3] + [[7], [7], [7, 9]]
+    rows = [(i, sorted(x)) for i, x in enumerate(sets)]
+    table = written(spark.createDataFrame(rows, "node long, s array<long>"), "sets")
+    before = moved(spark)
+    pairs = set_pairs(table, 85).collect()
+    assert moved(spark) - before < 8 * sum(map(len, sets))
+    found = {(r.a, r.b): (r.n, r.union, r.jaccard) for r in pairs}
+    first = {}
+    for i, x in rows:
+        first.setdefault(tuple(x), i)
+    # only what shares more than the common member can be near
+    want = {}
+    for a, b in [(i, 2000 + i) for i in range(60)]:
+        x, y = {*sets[a]}, {*sets[b]}
+        if x != y and first[tuple(sorted(y))] == b and 100 * len(x & y) >= 85 * len(x | y):
+            want[a, b] = (len(x & y), len(x | y), round(len(x & y) / len(x | y), 6))
+    assert found == want and want
