@@ -26,22 +26,27 @@ def examples(docs: DataFrame) -> DataFrame:
     return found.filter("example <> ''")
 
 
-def chosen(found: DataFrame, most: int = 3, percent: int = 70) -> DataFrame:
-    """found (doc_id, line, example) with ``leader``, the line of the first example of its cluster, and ``stays``: all where a text has ``most`` at most, else
-    the first ``most`` leaders."""
+def judged(found: DataFrame, most: int = 3, percent: int = 70) -> DataFrame:
+    """Of each example of found (doc_id, line, example) the doc_id, the line, ``leader``, the line of the first example of its cluster, and ``stays``: all
+    where a text has ``most`` at most, else the first ``most`` leaders."""
     led = cl.grouped(found.select(F.struct("doc_id", "line").alias("node"), F.col("example").alias("text"), "doc_id"), percent, scope=F.col("doc_id"))
     led = led.select("node.doc_id", "node.line", F.col("leader.line").alias("leader"))
     whole = Window.partitionBy("doc_id")
     first = F.count_if(F.col("leader") == F.col("line")).over(whole.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
     stays = (F.count("*").over(whole) <= most) | ((F.col("leader") == F.col("line")) & (first <= most))
-    return found.join(led.withColumn("stays", stays), ["doc_id", "line"])
+    return led.withColumn("stays", stays)
+
+
+def chosen(found: DataFrame, most: int = 3, percent: int = 70) -> DataFrame:
+    """found (doc_id, line, example) as judged()."""
+    return found.join(judged(found, most, percent), ["doc_id", "line"])
 
 
 def reduced(docs: DataFrame, most: int = 3, percent: int = 70, protected: Column | None = None) -> DataFrame:
     """doc_id, the text of docs (doc_id, t) without lines of examples that go, and how many went; lines with a placeholder (``protected``: what it begins
     with) stay."""
     mark = F.lit("PROTECTED_") if protected is None else protected
-    goes = chosen(examples(docs), most, percent).filter(~F.col("stays")).groupBy("doc_id").agg(F.collect_set("line").alias("goes"))
+    goes = judged(examples(docs), most, percent).filter(~F.col("stays")).groupBy("doc_id").agg(F.collect_set("line").alias("goes"))
     joined = docs.join(goes, "doc_id", "left").withColumn("goes", F.coalesce("goes", F.array().cast("array<int>")))
     lines = F.split("t", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("goes", i) | F.contains(x, mark))
