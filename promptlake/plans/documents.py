@@ -158,7 +158,7 @@ def e14_sentence_relations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_RELATED} SELECT doc_id, 'sent_' || sentence AS source, 'sent_' || target AS \"to\", relation FROM related WHERE target IS NOT NULL")
 def e15_discourse_edges(spark: SparkSession, d: str) -> DataFrame:
-    return di.edges(di.related(_texts(spark, d)))
+    return di.edges(di.related(_texts(spark, d), relations.FORWARD + relations.BACKWARD))
 
 
 @query(f"""WITH RECURSIVE {_RELATED}, ways AS (SELECT DISTINCT doc_id, sentence, target FROM related WHERE target IS NOT NULL),
@@ -167,4 +167,4 @@ SELECT s.doc_id, s.sentence, least(s.sentence, coalesce(min(w.at), s.sentence))
 FROM sentences s LEFT JOIN walks w ON w.doc_id = s.doc_id AND w.start = s.sentence GROUP BY s.doc_id, s.sentence""")
 def e15_reached_sentences(spark: SparkSession, d: str) -> DataFrame:
     x = _texts(spark, d)
-    return di.reach(x, di.related(x))
+    return di.reach(x, di.related(x, relations.FORWARD + relations.BACKWARD))

@@ -6,10 +6,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from promptlake.functions import relations, rules
 from promptlake.operators import discourse as di
 from promptlake.operators import markdown as md
+from promptlake.storage import written
 
 TEXT = """intro
 # One
@@ -188,3 +190,22 @@ def test_markers(spark):
     for got, lang in zip(found, ("en", "fr")):
         assert got == [(name, m[0]) for name, p in relations.MARKERS[lang].items() if (m := re.search(rf"\b({rules.spaced(p)})\b", text, re.I))]
     assert found[2] == []
+
+
+def test_each_relation_is_found_in_any_case(spark):
+    """Every way to mark a relation is found, however it is written; where no word of a pattern is said, the pattern is not searched for."""
+    said = [re.sub(r"\\b|[()?]", "", re.sub(r"\.[*+]", "x", w.replace(r"\s+", " ").replace(r"\.", "."))) for ps in relations.SENTENCE_RELATIONS.values() for p in ps for w in ways(p)]
+    texts = [f(w) for w in said if "." not in w for f in (str, str.upper, lambda x: f"\u201c{x}\u201d, {x} x", lambda x: x.replace("s", "\u017f").replace("i", "\u0131").replace("k", "\u212a"), lambda x: x.replace("i", "\u0130"), lambda x: f"a{x}a _{x}_")]
+    table = written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string"), "said")
+    found = {(r.doc_id, r.relation): r.marker for r in di.related(table).collect()}
+    plain = lambda p: F.nullif(F.regexp_extract("t", rf"(?iU)\b{p}", 0), F.lit(""))
+    whole = table.select("doc_id", *[F.coalesce(*map(plain, ps)).alias(x) for x, ps in relations.SENTENCE_RELATIONS.items()]).collect()
+    want = {(r.doc_id, x): r[x] for r in whole for x in relations.SENTENCE_RELATIONS if r[x] is not None}
+    assert found == want and len({i for i, _ in want}) > 4 * len(texts) // 6
+    few = di.related(table, relations.FORWARD + relations.BACKWARD).filter("target IS NOT NULL")
+    assert few.count() == di.related(table).filter("target IS NOT NULL").count()
+
+
+def ways(pattern):
+    group = re.match(r"\(([^()]*)\)(.*)", pattern)
+    return [x + group[2] for x in group[1].split("|")] if group else [pattern]
