@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -232,3 +234,27 @@ def test_validation_and_quality(spark):
 def test_equal_blocks(spark):
     texts = ["a\n\nb  c\n\na\n\nb c\n\nd", "", "one", None]
     assert results(spark, co.without_equal_blocks(F.col("t")), texts) == ["a\n\nb  c\n\nd", "", "one", None]
+
+
+def test_rouge_l_of_long_answers(spark):
+    """Some thousand words, by a table of lengths here; equal words, none in common, and empty texts."""
+    rng = random.Random(8)
+    pairs = [(" ".join(f"w{rng.randint(0, 60)}" for _ in range(1500)), " ".join(f"w{rng.randint(0, 60)}" for _ in range(1200))), ("a b a", "a b a"), ("a", "b"), ("", "b"), (None, "b"), ("b", None)]
+
+    def length(x, y):
+        row = [0] * (len(y) + 1)
+        for w in x:
+            before = row
+            row = [0]
+            for j, v in enumerate(y):
+                row.append(before[j] + 1 if v == w else max(before[j + 1], row[-1]))
+        return row[-1]
+
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(pairs)], "i long, a string, b string")
+    start = time.time()
+    found = {r.i: r.f for r in df.select("i", me.rouge_l(F.col("a"), F.col("b")).alias("f")).collect()}
+    assert time.time() - start < 30
+    for i, (a, b) in enumerate(pairs):
+        x, y = (a or "").split(), (b or "").split()
+        n = length(x, y)
+        assert found[i] == pytest.approx(0 if n == 0 else 2 * n / (len(x) + len(y)))
