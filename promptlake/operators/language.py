@@ -329,8 +329,11 @@ def compressed_messages(messages: DataFrame, text: Column, tokens, least: float
 
 def critical_missing(original: Column, compressed: Column) -> Column:
     """Labels of addresses, code and data of more than five characters that a compressed text lacks."""
+    none = F.array().cast("array<string>")
+
     def of(label: str, pattern: str) -> Column:
-        found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(f"({pattern})" if not pattern.startswith("(?s)") else f"(?s)({pattern[4:]})"), F.lit(1)))
+        grouped = f"({pattern})" if not pattern.startswith("(?s)") else f"(?s)({pattern[4:]})"
+        found = lambda t: F.when(~F.contains(t, F.lit(lexicon.CRITICAL_HOLD[label])), none).otherwise(F.array_distinct(F.regexp_extract_all(t, F.lit(grouped), F.lit(1))))
         return F.transform(F.filter(F.array_except(found(original), found(compressed)), lambda x: F.length(x) > 5), lambda x: F.lit(label))
 
     return F.concat(*[of(label, p) for label, p in lexicon.CRITICAL])

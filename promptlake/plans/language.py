@@ -241,8 +241,9 @@ _GONE = ", ".join(
 @query(f"SELECT doc_id, array_to_string(flatten([{_GONE}]), ',') AS missing FROM (SELECT doc_id, t, regexp_replace(t, 'https?://\\S+|\\S+@\\S+', '', 'g') AS c FROM ({P}) x) y")
 def h13_critical_content(spark: SparkSession, d: str) -> DataFrame:
     """Which addresses, code and data a text without its links and addresses lacks."""
-    cut = F.regexp_replace("t", r"https?://\S+|\S+@\S+", "")
-    return _phrased(spark, d).select("doc_id", F.array_join(la.critical_missing(F.col("t"), cut), ",").alias("missing"))
+    cut = F.when(F.contains("t", F.lit("://")) | F.contains("t", F.lit("@")), F.regexp_replace("t", r"https?://\S+|\S+@\S+", "")).otherwise(F.col("t"))
+    p = _phrased(spark, d).withColumn("cut", cut)
+    return p.select("doc_id", F.array_join(la.critical_missing(F.col("t"), F.col("cut")), ",").alias("missing"))
 
 
 @query("SELECT o_orderkey, loss > CAST(0.15 AS DOUBLE) AND novelty < loss AS retry FROM (SELECT o_orderkey, (o_orderkey % 50) / CAST(100 AS DOUBLE) AS loss, (o_orderkey % 7) / CAST(20 AS DOUBLE) AS novelty FROM orders)")

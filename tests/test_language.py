@@ -258,3 +258,15 @@ def test_rouge_l_of_long_answers(spark):
         x, y = (a or "").split(), (b or "").split()
         n = length(x, y)
         assert found[i] == pytest.approx(0 if n == 0 else 2 * n / (len(x) + len(y)))
+
+
+def test_critical_content_of_long_words(spark):
+    """A word of many letters without an address takes no search from each of its letters; what is critical is found beside it."""
+    long = "a" * 100_000
+    texts = [f"{long}{i}" for i in range(20)] + ["see https://a.b/c and x.y@z.org", '{"a": "b"} ["c"] `d = 1 + 2` ```\nlong code\n```', "short `x` [\"\"]", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, t string")
+    start = time.time()
+    found = {r.i: r.x for r in df.select("i", la.critical_missing(F.col("t"), F.lit("")).alias("x")).collect()}
+    assert time.time() - start < 30
+    assert [found[i] for i in range(20)] == [[]] * 20 and found[20] == ["url", "email"] and found[23] is None
+    assert found[21] == ["json_obj", "code_inline", "code_inline", "code_block"] and found[22] == []
