@@ -42,6 +42,8 @@ from .common import discard, documents, materialize, release_shuffles
 from .components import connected_components
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Signatures that a bucket is meant for, texts dealt out at a time.
+BUCKET, SLICE = 2_000_000, 2_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -107,7 +109,7 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sign(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
-    """n_shingles, digest and signatures of every row; of equal sets in one batch only the first has signatures."""
+    """n_shingles, digest, signatures and their number of every row; of equal sets in one batch only the first has signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -126,9 +128,46 @@ def _sign(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
                         seen.add(digest)
                 edges = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32())
                 sigs = pa.ListArray.from_arrays(edges, pa.array(np.concatenate(found).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), sigs], names=["doc_id", "n_shingles", "digest", "sigs"])
+                columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), sigs, pa.array(map(len, found), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "sigs", "n_sigs"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, sigs array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, sigs array<long>, n_sigs long")
+
+
+def _shared_signatures(signed: DataFrame, buckets: int, kind: str) -> DataFrame:
+    """sig and doc_id wherever more than one row of signed (doc_id, sigs) has the signature. Signatures are dealt out once, by their hash and as
+    arrays with the texts that they are of, so that what no other text has goes no further than its bucket."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda edges, values: pa.ListArray.from_arrays(pa.array(np.append(edges, len(values)), pa.int32()), values)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                sigs = batch.column(1).flatten().to_numpy().view(np.uint64)
+                at = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                if not len(sigs):
+                    continue
+                bucket = _mix(sigs) % np.uint64(buckets)
+                order = np.lexsort((at, bucket))
+                sigs, at, bucket = sigs[order], at[order], bucket[order]
+                runs = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (bucket[1:] != bucket[:-1])])
+                first = np.flatnonzero(np.r_[True, bucket[runs][1:] != bucket[runs][:-1]])
+                sizes = pa.array(np.diff(np.append(runs, len(sigs))).astype(np.int32))
+                arrays = [of(first, batch.column(0).take(pa.array(at[runs]))), of(first, sizes), of(runs[first], pa.array(sigs.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[runs[first]].astype(np.int64)), *arrays], names=["bucket", "ids", "sizes", "sigs"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        flat = lambda c: group.column(c).combine_chunks().flatten()
+        ids, sizes, sigs = flat("ids"), flat("sizes").to_numpy(), flat("sigs").to_numpy()
+        order = np.argsort(sigs, kind="stable")
+        ordered = sigs[order]
+        same = ordered[1:] == ordered[:-1]
+        order = order[np.r_[False, same] | np.r_[same, False]]
+        at = np.repeat(np.arange(len(sizes)), sizes)[order]
+        return pa.table({"sig": sigs[order], "doc_id": ids.take(pa.array(at))})
+
+    dealt = signed.filter("doc_id is not null").select("doc_id", "sigs").mapInArrow(deal, f"bucket long, ids array<{kind}>, sizes array<int>, sigs array<long>")
+    return dealt.groupBy("bucket").applyInArrow(meet, f"sig long, doc_id {kind}")
 
 
 def _grams(docs: DataFrame, n: int, kind: str) -> DataFrame:
@@ -244,6 +283,7 @@ def _refine(nodes: DataFrame, links: _Links, percent: int, few: int, rounds: int
     for last in (*[False] * rounds, True):
         open_ = materialize(_parted(_prefixes(rows), *keys), "prefixes")
         links.check(_pairs(open_ if last else open_.filter(F.col("size") <= few), *keys))
+        release_shuffles(nodes.sparkSession)
         if last:
             return
         left = links.of(open_.filter(F.col("size") > few).drop("component", "size"))
@@ -255,6 +295,7 @@ def _refine(nodes: DataFrame, links: _Links, percent: int, few: int, rounds: int
         clusters = materialize(clusters.withColumnRenamed("component", "cluster"), "clusters")
         rows = materialize(_around_references(clusters, links, percent), "open-clusters")
         discard(open_, left)
+        release_shuffles(nodes.sparkSession)
 
 
 def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, few: int = 16, rounds: int = 3) -> DataFrame:
@@ -265,13 +306,13 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, few: int = 16,
     sets = materialize(signed.select("doc_id", "n_shingles", "digest"), "sets")
     first = materialize(sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first")), "first-of-set")
 
-    rows = signed.filter("doc_id is not null").select("doc_id", F.explode("sigs").alias("sig"))
-    # only signatures are exchanged here, not whose they are
-    shared = materialize(rows.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "shared-signatures")
-    release_shuffles(docs.sparkSession)  # before the signatures are exchanged again, with whose they are
+    buckets = 12 + (signed.agg(F.sum("n_sigs")).first()[0] or 0) // BUCKET
+    shared = materialize(_shared_signatures(signed, buckets, kind), "shared-signatures")
+    discard(signed)
+    release_shuffles(docs.sparkSession)
     stands = sets.join(first, "digest").groupBy("doc_id").agg(F.min("first").alias("node"))
-    members = materialize(rows.join(shared, "sig").join(stands, "doc_id").select("sig", "node").distinct(), "members")
-    discard(signed, shared)
+    members = materialize(shared.join(stands, "doc_id").select("sig", "node").distinct(), "members")
+    discard(shared)
     release_shuffles(docs.sparkSession)
     sizes = members.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
     sized = members.join(sizes, "sig")
@@ -279,6 +320,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, few: int = 16,
     pivots = sized.join(degrees, "node").groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("pivot"))
     stars = sized.join(pivots, "sig").select("sig", F.col("node").alias("a"), F.col("pivot.node").alias("b")).filter("a <> b")
     stars = materialize(stars, "signature-stars")
+    release_shuffles(docs.sparkSession)
     pairs = stars.select("a", "b").distinct()
     involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     links = _Links(materialize(_grams(docs.join(involved, "doc_id", "left_semi").distinct(), n, kind), "grams"), percent)
@@ -291,6 +333,9 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, few: int = 16,
     release_shuffles(docs.sparkSession)
     nodes = materialize(_parted(links.of(open_.distinct()), "sig").select("node").distinct(), "open-nodes")
     if not nodes.isEmpty():
+        # the sets that are refined are exchanged several times, the others no more
+        links.grams, every = materialize(links.grams.join(nodes, "node", "left_semi"), "open-grams"), links.grams
+        discard(every)
         _refine(nodes, links, percent, few, rounds)
     discard(members, stars, missed)
     by_set = first.join(links.labels.withColumnRenamed("node", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("component_id"))
