@@ -89,11 +89,10 @@ def consolidate_negations(text: Column, mark: Column | None = None) -> Column:
 
 def without_request_talk(text: Column) -> Column:
     """Without phrases about the request, and without thanks up to the sentence's end."""
-    for phrase in lexicon.ABOUT_THE_REQUEST:
-        text = F.regexp_replace(text, rules.pattern(re.escape(phrase).replace(r"\ ", " ")), "")
-    for phrase in lexicon.THANKS:
-        text = F.regexp_replace(text, rf"(?iU)\b{rules.spaced(phrase)}[^.!?]*[.!?]?", "")
-    return text
+    text = tx.in_stretches(text, [(rules.pattern(re.escape(phrase).replace(r"\ ", " ")), "") for phrase in lexicon.ABOUT_THE_REQUEST])
+    thanks = [(rf"(?iU)\b{rules.spaced(phrase)}[^.!?]*[.!?]?", "") for phrase in lexicon.THANKS]
+    any_thanks = rf"(?iU)\b(?:{'|'.join(map(rules.spaced, lexicon.THANKS))})"
+    return let(text, lambda x: F.when(x.rlike(any_thanks), tx.chain(x, thanks)).otherwise(x))
 
 
 def without_cancelled(sentences: Column) -> Column:
@@ -103,7 +102,7 @@ def without_cancelled(sentences: Column) -> Column:
     def step(kept: Column, s: Column) -> Column:
         head = F.trim(F.get(F.split(s, pattern, 2), 0))
         rest = F.when(F.size(kept) > 0, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
-        return F.when(s.rlike(pattern), F.when(head == "", rest).otherwise(F.concat(rest, F.array(head)))).otherwise(F.concat(kept, F.array(s)))
+        return F.when(s.rlike(rules.any_of([pattern])), F.when(head == "", rest).otherwise(F.concat(rest, F.array(head)))).otherwise(F.concat(kept, F.array(s)))
 
     return F.aggregate(sentences, F.array().cast("array<string>"), step)
 
@@ -112,14 +111,16 @@ def without_repeats(sentences: Column, most: float = 0.6) -> Column:
     """Without sentences whose words agree with the last one kept by more than ``most``."""
     bag = lambda s: F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit(r"(?U)(\w+)"), F.lit(1)))
 
-    def step(kept: Column, s: Column) -> Column:
-        def again(w: Column) -> Column:
-            return (F.size(w["a"]) > 0) & (F.size(w["b"]) > 0) & (F.size(F.array_intersect(w["a"], w["b"])) > most * F.size(F.array_union(w["a"], w["b"])))
-
-        last = F.element_at(kept, -1)
-        return F.when(F.size(kept) == 0, F.array(s)).when(let(F.struct(bag(last).alias("a"), bag(s).alias("b")), again), kept).otherwise(F.concat(kept, F.array(s)))
+    def step(held: Column, x: Column) -> Column:
+        a, b = F.size(held["last"]), F.size(x["bag"])
+        # bags without doubles: their union is told by their sizes and what they share, and can be told to be too large by their sizes alone
+        near = lambda n: n > most * (a + b - n)
+        again = (a > 0) & (b > 0) & (F.least(a, b) > most * F.greatest(a, b)) & let(F.size(F.array_intersect(held["last"], x["bag"])), near)
+        return F.when(again, held).otherwise(F.struct(F.concat(held["kept"], F.array(x["s"])).alias("kept"), x["bag"].alias("last")))
 
-    return F.aggregate(sentences, F.array().cast("array<string>"), step)
+    none = F.array().cast("array<string>")
+    told = F.transform(sentences, lambda s: F.struct(s.alias("s"), bag(s).alias("bag")))
+    return F.aggregate(told, F.struct(none.alias("kept"), none.alias("last")), step, lambda held: held["kept"])
 
 
 def _keyword(word: str) -> str:
