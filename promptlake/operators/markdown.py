@@ -11,11 +11,13 @@ blank line ends it; a fence that is not closed runs to the end; a table ends wit
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import lexicon
 
@@ -112,14 +114,33 @@ def nodes_of(text: str | None) -> list[dict]:
     return found
 
 
-@F.pandas_udf(T.ArrayType(NODE))
-def _nodes(texts: pd.Series) -> pd.Series:
-    return texts.map(nodes_of, na_action=None)
+#: Nodes that a task holds at a time, unless one text has more.
+HELD = 5_000
 
 
 def nodes(docs: DataFrame) -> DataFrame:
     """doc_id and the nodes of each document's text (doc_id, t): id, parent, last, kind, level, content, path (numbers among siblings)."""
-    return docs.select("doc_id", F.explode(_nodes(F.col("t"))).alias("node")).select("doc_id", "node.*")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *NODE.fields])
+    arrow = to_arrow_schema(NODE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            def told(at: list[int], held: list[dict]) -> pa.RecordBatch:
+                columns = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([x[f.name] for x in held], f.type) for f in arrow)]
+                return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+            at, held = [], []
+            for i in range(batch.num_rows):
+                found = nodes_of(batch.column(1)[i].as_py())
+                if held and len(held) + len(found) > HELD:
+                    yield told(at, held)
+                    at, held = [], []
+                at += [i] * len(found)
+                held += found
+            if held:
+                yield told(at, held)
+
+    return docs.select("doc_id", "t").mapInArrow(run, schema)
 
 
 def flat_texts(tree: DataFrame) -> DataFrame:
