@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -246,6 +247,24 @@ def hash_embedding(texts: pd.Series) -> pd.Series:
     return texts.map(of, na_action=None)
 
 
+def best_of_blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """query, id and cosine of the k best and one more for each query of a block, for pairs (mine, theirs) of blocks. One pair is held at a time."""
+    def side(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and vectors of a block, from Arrow's own buffers."""
+        rows = pa.array(rows.values)
+        ids, v = rows.field("id").to_numpy(), rows.field("v")
+        return ids, v.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(ids), -1)
+
+    for batch in batches:
+        for at in range(batch.num_rows):  # a pair of blocks at a time
+            (mine, q), (ids, v) = (side(batch.column(c)[at]) for c in (0, 1))
+            cosine = q @ v.T / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :] + 1e-9)
+            cosine[mine[:, None] == ids[None, :]] = -np.inf
+            best = np.argsort(-cosine, axis=1, kind="stable")[:, : k + 1]
+            rows = [(int(x), int(ids[j]), float(cosine[i, j])) for i, x in enumerate(mine) for j in best[i] if np.isfinite(cosine[i, j])]
+            yield pa.RecordBatch.from_arrays([pa.array([y[c] for y in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query", "id", "cosine"])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 500) -> DataFrame:
     """query, id, cosine, rank: the k vectors (id, v) most alike to each query (query, v) but itself. Both are cut into blocks of about
     ``block`` rows; blocks meet each other, not rows, and of each block only the k best of a query go on."""
@@ -253,21 +272,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 500
         n = max(1, -(-rows.count() // block))
         return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n))).agg(F.collect_list(F.struct(F.col(key).alias("id"), "v")).alias(name)).select(name)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for mine, theirs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                q, v = (np.array([x["v"] for x in side], float) for side in (mine, theirs))
-                cosine = q @ v.T / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :] + 1e-9)
-                ids = np.array([x["id"] for x in theirs])
-                for i, x in enumerate(mine):
-                    cosine[i, ids == x["id"]] = -np.inf
-                best = np.argsort(-cosine, axis=1, kind="stable")[:, : k + 1] if cosine.shape[1] > k else np.argsort(-cosine, axis=1, kind="stable")
-                rows = [(x["id"], int(ids[j]), float(cosine[i, j])) for i, x in enumerate(mine) for j in best[i] if np.isfinite(cosine[i, j])]
-                yield pa.RecordBatch.from_arrays([pa.array([y[c] for y in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query", "id", "cosine"])
-
     pairs = blocks(queries, "query", "mine").repartition(8).join(F.broadcast(blocks(vectors, "id", "theirs")) if vectors.count() <= 20_000 else blocks(vectors, "id", "theirs"))
     w = Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 9)), "id")
-    return pairs.mapInArrow(run, "query long, id long, cosine double").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return pairs.mapInArrow(partial(best_of_blocks, k=k), "query long, id long, cosine double").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 RATE_COLUMNS = [f"rate_{int(round(x * 100)):02d}" for x in RATES]
