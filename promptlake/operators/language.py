@@ -192,19 +192,17 @@ def _spans(patterns: tuple[tuple[str, str], ...], text: str) -> list[tuple[int,
     return sorted((m.start(), m.end(), label) for label, p in patterns for m in re.finditer(p, text))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def protected_blocks(texts: pd.Series) -> pd.Series:
-    """Blocks that compression must not touch; those that overlap or touch are one, under the first one's label."""
-    def of(text: str | None) -> list[dict]:
-        merged: list[dict] = []
-        for start, end, label in _spans(lexicon.PROTECTED_BLOCKS, text or ""):
-            if merged and start <= merged[-1]["end"]:
-                merged[-1]["end"] = max(end, merged[-1]["end"])
-            else:
-                merged.append({"label": label, "start": start, "end": end})
-        return merged
-
-    return texts.map(of, na_action=None)
+@F.udf(T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])), useArrow=False)
+def protected_blocks(text: str | None) -> list[dict]:
+    """Blocks that compression must not touch; those that overlap or touch are one, under the first one's label. Texts come to the task a hundred
+    at a time, not ten thousand."""
+    merged: list[dict] = []
+    for start, end, label in _spans(lexicon.PROTECTED_BLOCKS, text or ""):
+        if merged and start <= merged[-1]["end"]:
+            merged[-1]["end"] = max(end, merged[-1]["end"])
+        else:
+            merged.append({"label": label, "start": start, "end": end})
+    return merged
 
 
 def protected_ratio(text: Column) -> Column:
