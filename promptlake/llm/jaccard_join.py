@@ -13,6 +13,8 @@ Within a signature's group no pairs are listed. Equal sets count once. Each memb
 member that shares most signatures with other texts, and links give components. A member that misses may still link with
 another: distances obey the triangle inequality, so one further than twice a link's distance from the pivot can only link
 with other members that miss. Those, and all members where one comes nearer, stay open if they are of different components.
+Most candidate pairs are far apart, and whole sets are large: sketches meet first (``_possible``), a byte for each of about as many cells as a
+set has members. Sets that differ in d members differ in at most d cells, so what differs in more cells than a pair may is no such pair.
 
 Open texts share a passage or are many edits of one text, and are refined (``_refine``): the rarest members of their sets (prefix
 filtering; linked sets share one of them) part most. Texts that still meet under more than ``few`` of them form a cluster with
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import discard, documents, materialize, release_shuffles
+from .common import broadcast_if_small, discard, documents, materialize, release_shuffles
 from .components import connected_components
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -134,8 +136,8 @@ def _sign(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, sigs array<long>, n_sigs long")
 
 
-def _shared_signatures(signed: DataFrame, buckets: int, kind: str) -> DataFrame:
-    """sig and doc_id wherever more than one row of signed (doc_id, sigs) has the signature. Signatures are dealt out once, by their hash and as
+def _shared_signatures(signed: DataFrame, buckets: int, kind: str, counted: bool = False) -> DataFrame:
+    """sig and doc_id wherever more than one row of signed (doc_id, sigs) has the signature, counted: and n, how many have it. Signatures are dealt out once, by their hash and as
     arrays with the texts that they are of, so that what no other text has goes no further than its bucket."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +166,14 @@ def _shared_signatures(signed: DataFrame, buckets: int, kind: str) -> DataFrame:
         same = ordered[1:] == ordered[:-1]
         order = order[np.r_[False, same] | np.r_[same, False]]
         at = np.repeat(np.arange(len(sizes)), sizes)[order]
-        return pa.table({"sig": sigs[order], "doc_id": ids.take(pa.array(at))})
+        found = {"sig": sigs[order], "doc_id": ids.take(pa.array(at))}
+        if counted:
+            _, of, counts = np.unique(sigs[order], return_inverse=True, return_counts=True)
+            found["n"] = counts[of].astype(np.int64)
+        return pa.table(found)
 
     dealt = signed.filter("doc_id is not null").select("doc_id", "sigs").mapInArrow(deal, f"bucket long, ids array<{kind}>, sizes array<int>, sigs array<long>")
-    return dealt.groupBy("bucket").applyInArrow(meet, f"sig long, doc_id {kind}")
+    return dealt.groupBy("bucket").applyInArrow(meet, f"sig long, doc_id {kind}" + ", n long" * counted)
 
 
 def _grams(docs: DataFrame, n: int, kind: str) -> DataFrame:
@@ -181,6 +187,50 @@ def _grams(docs: DataFrame, n: int, kind: str) -> DataFrame:
     return docs.mapInArrow(run, f"node {kind}, grams array<long>")
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Cells of the hash universe, a power of two and at least three quarters of the members: a byte each, the sum over its members."""
+    cells = 8
+    while 4 * cells < 3 * len(grams):
+        cells *= 2
+    mixed = _mix(grams + _A)
+    return np.bincount((mixed % np.uint64(cells)).astype(np.int64), (mixed >> np.uint64(56)).astype(np.int64), cells).astype(np.int64).astype(np.uint8)
+
+
+def differing_cells(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many cells two sketches differ, the finer one folded: never more than the sets differ in members."""
+    if len(a) < len(b):
+        a, b = b, a
+    return int(np.count_nonzero(a.reshape(-1, len(b)).sum(0, dtype=np.uint8) != b))
+
+
+def _sketches(rows: DataFrame, set_of, kind: str) -> DataFrame:
+    """node, the size of its set and the set's sketch, from rows of a node and what set_of makes a set of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [set_of(x) for x in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "sketch"])
+
+    return rows.mapInArrow(run, f"node {kind}, size long, sketch binary")
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes with ``possible``: false only where no texts of theirs are alike by percent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = batch.column(2).to_numpy()
+            cells = [[np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(k)] for k in (3, 4)]
+            differ = np.fromiter(map(differing_cells, *cells), np.int64, len(sums))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((100 + percent) * differ <= (100 - percent) * sums)], names=["a", "b", "possible"])
+
+    kind = sketches.schema["node"].dataType.simpleString()
+    sides = [sketches.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+    met = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sum"), "sketch_a", "sketch_b")
+    return met.mapInArrow(run, f"a {kind}, b {kind}, possible boolean").groupBy("a", "b").agg(F.max("possible").alias("possible"))
+
+
 def verify(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes with ``link``, and ``near``: whether they lie within twice a link's distance."""
     sides = [grams.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab"]
@@ -190,15 +240,36 @@ def verify(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max(holds(percent)).alias("link"), F.max(holds(2 * percent - 100)).alias("near"))
 
 
-class _Links:
-    """Links found so far, as components: the least node of each."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs (a, b)."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
-    def __init__(self, grams: DataFrame, percent: int):
-        self.grams, self.percent, self.labels = grams, percent, None
 
-    def check(self, pairs: DataFrame) -> DataFrame:
-        """verify(pairs), written; what links is taken up into the components."""
-        found = materialize(verify(pairs, self.grams, self.percent), "verified")
+class _Links:
+    """Links found so far, as components: the least node of each. ``grams`` are the sets of the nodes; where they are not held, ``sets``
+    makes those of some nodes, and sketches are given."""
+
+    def __init__(self, grams: DataFrame | None, percent: int, sketches: DataFrame | None = None, sets=None):
+        self.grams, self.percent, self.labels, self.sets = grams, percent, None, sets
+        if sketches is None:
+            kind = grams.schema["node"].dataType.simpleString()
+            sketches = materialize(_sketches(grams.select("node", "grams"), lambda x: np.array(x, np.int64).view(np.uint64), kind), "sketches")
+        self.sketches = sketches
+
+    def check(self, pairs: DataFrame, near: bool = False) -> DataFrame:
+        """The pairs with ``link`` and, where asked for, ``near``, written; what links is taken up into the components."""
+        least = 2 * self.percent - 100 if near else self.percent
+        seen = materialize(_possible(pairs, self.sketches, least), "possible-pairs")
+        release_shuffles(pairs.sparkSession)
+        some = seen.filter("possible").select("a", "b")
+        if self.grams is None:
+            grams = self.sets(_ends(some), "grams")
+            release_shuffles(pairs.sparkSession)
+        else:
+            grams = self.of_nodes(_ends(some))
+        far = seen.filter("not possible").select("a", "b", F.lit(False).alias("link"), F.lit(False).alias("near"))
+        found = materialize(verify(some, grams, self.percent).unionByName(far), "verified")
+        discard(seen, *([grams] if self.grams is None else []))
         links = found.filter("link").select("a", "b")
         if self.labels is None:
             self.labels = materialize(connected_components(links), "components")
@@ -216,6 +287,10 @@ class _Links:
             discard(before, joined)
         return found
 
+    def of_nodes(self, rows: DataFrame) -> DataFrame:
+        """The sets held of the nodes in rows (node, distinct); these go to the sets where they are few, so that only their sets are exchanged."""
+        return self.grams.join(broadcast_if_small(rows.select("node"), rows.count()), "node", "left_semi")
+
     def of(self, rows: DataFrame) -> DataFrame:
         """rows (node, ...) with the node's component."""
         return rows.join(self.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -234,17 +309,31 @@ def _pairs(rows: DataFrame, *keys: str) -> DataFrame:
     return left.join(right, list(keys)).filter("a < b and c <> d and (not meets_core or core_a <> core_b)").select("a", "b").distinct()
 
 
-def _prefixes(rows: DataFrame) -> DataFrame:
-    """rows (cluster, node, component, core, members, and whom to meet: need, or need_core for pairs of a core text and another) as
-    (cluster, meets_core, member, node, component, core): of each text its rarest members, so many that any pair that shares as
-    many as needed shares one of these."""
+def _shared_members(rows: DataFrame) -> DataFrame:
+    """cluster, node and ``shared``: those members of rows (cluster, node, members) that more than one row of the cluster has, with n, the rarest first."""
     members = rows.select("cluster", "node", F.explode("members").alias("member"))
     often = members.groupBy("cluster", "member").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = members.join(often, ["cluster", "member"]).groupBy("cluster", "node").agg(F.sort_array(F.collect_list(F.struct("n", "member"))).alias("shared"))
+    return members.join(often, ["cluster", "member"]).groupBy("cluster", "node").agg(F.sort_array(F.collect_list(F.struct("n", "member"))).alias("shared"))
+
+
+def _shared_of_all(grams: DataFrame) -> DataFrame:
+    """The same for all of grams as one cluster, 0: members are dealt out once, as arrays, and only shared ones go on."""
+    buckets = 12 + (grams.agg(F.sum(F.size("grams"))).first()[0] or 0) // BUCKET
+    met = _shared_signatures(grams.select(F.col("node").alias("doc_id"), F.col("grams").alias("sigs")), buckets, grams.schema["node"].dataType.simpleString(), counted=True)
+    met = materialize(met, "shared-members")
+    release_shuffles(grams.sparkSession)
+    met = met.select(F.lit(0).alias("cluster"), F.col("doc_id").alias("node"), "n", F.col("sig").alias("member"))
+    return met.groupBy("cluster", "node").agg(F.sort_array(F.collect_list(F.struct("n", "member"))).alias("shared"))
+
+
+def _prefixes(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """rows (cluster, node, component, core, and whom to meet: need, or need_core for pairs of a core text and another), with what they share, as
+    (cluster, meets_core, member, node, component, core): of each text its rarest members, so many that any pair that shares as
+    many as needed shares one of these."""
     # those that no other text has come first, and part nothing
     length = lambda need: F.greatest(F.lit(0), F.size("shared") - F.col(need) + 1)
     kinds = F.array(*[F.struct(F.lit(meets).alias("meets_core"), F.slice("shared", 1, length(need)).alias("first")) for meets, need in ((False, "need"), (True, "need_core"))])
-    out = rows.drop("members").join(shared, ["cluster", "node"]).withColumn("kind", F.explode(kinds))
+    out = rows.join(shared, ["cluster", "node"]).withColumn("kind", F.explode(kinds))
     out = out.filter("(core and kind.meets_core and need_core is not null) or (not core and (not kind.meets_core or need_core is not null))")
     return out.select("cluster", F.col("kind.meets_core").alias("meets_core"), F.explode("kind.first.member").alias("member"), "node", "component", "core")
 
@@ -252,7 +341,7 @@ def _prefixes(rows: DataFrame) -> DataFrame:
 def _around_references(clusters: DataFrame, links: _Links, percent: int) -> DataFrame:
     """clusters (node, cluster) as rows for _prefixes, after all texts are verified against the one that is least from the
     cluster's reference set; without clusters that this leaves with one component."""
-    rows = clusters.join(links.grams, "node")
+    rows = clusters.join(links.of_nodes(clusters), "node")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("texts"))
     often = rows.select("cluster", F.explode("grams").alias("member")).groupBy("cluster", "member").agg(F.count("*").alias("n"))
     # at most twice as many members as the cluster's texts have on average
@@ -276,12 +365,17 @@ def _around_references(clusters: DataFrame, links: _Links, percent: int) -> Data
 def _refine(nodes: DataFrame, links: _Links, percent: int, few: int, rounds: int) -> None:
     """Adds all links between nodes of different components."""
     keys = ["cluster", "meets_core", "member"]
-    rows = links.of(nodes.join(links.grams, "node")).select(
-        F.lit(0).alias("cluster"), "node", "component", F.lit(False).alias("core"), F.col("grams").alias("members"),
-        F.ceil(F.size("grams") * percent / F.lit(100)).cast("int").alias("need"), F.lit(None).cast("int").alias("need_core"),
+    sizes = materialize(links.grams.select("node", F.size("grams").alias("size")), "open-sizes")
+    rows = links.of(sizes).select(
+        F.lit(0).alias("cluster"), "node", "component", F.lit(False).alias("core"),
+        F.ceil(F.col("size") * percent / F.lit(100)).cast("int").alias("need"), F.lit(None).cast("int").alias("need_core"),
     )
+    shared = _shared_of_all(links.grams)
     for last in (*[False] * rounds, True):
-        open_ = materialize(_parted(_prefixes(rows), *keys), "prefixes")
+        reached = materialize(_prefixes(rows, shared), "prefix-members")
+        release_shuffles(nodes.sparkSession)
+        open_ = materialize(_parted(reached, *keys), "prefixes")
+        discard(reached)
         links.check(_pairs(open_ if last else open_.filter(F.col("size") <= few), *keys))
         release_shuffles(nodes.sparkSession)
         if last:
@@ -294,6 +388,7 @@ def _refine(nodes: DataFrame, links: _Links, percent: int, few: int, rounds: int
         clusters = connected_components(left.join(hub, keys).select(F.col("node").alias("a"), "b").distinct())
         clusters = materialize(clusters.withColumnRenamed("component", "cluster"), "clusters")
         rows = materialize(_around_references(clusters, links, percent), "open-clusters")
+        rows, shared = rows.drop("members"), _shared_members(rows)
         discard(open_, left)
         release_shuffles(nodes.sparkSession)
 
@@ -322,20 +417,22 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, few: int = 16,
     stars = materialize(stars, "signature-stars")
     release_shuffles(docs.sparkSession)
     pairs = stars.select("a", "b").distinct()
-    involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    links = _Links(materialize(_grams(docs.join(involved, "doc_id", "left_semi").distinct(), n, kind), "grams"), percent)
 
+    def texts(nodes: DataFrame) -> DataFrame:
+        return docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").distinct()
+
+    sketches = materialize(_sketches(texts(_ends(pairs)), lambda x: ngram_set(x, n), kind), "sketches")
+    links = _Links(None, percent, sketches, lambda nodes, name: materialize(_grams(texts(nodes), n, kind), name))
     release_shuffles(docs.sparkSession)
-    missed = stars.join(links.check(pairs).filter("not link").drop("link"), ["a", "b"])
+    missed = stars.join(links.check(pairs, near=True).filter("not link").drop("link"), ["a", "b"])
     missed = materialize(missed, "missed-members")
     whole = stars.join(missed.filter("near").select("sig").distinct(), "sig", "left_semi")
     open_ = missed.select("sig", F.col("a").alias("node")).unionByName(whole.select("sig", F.col("a").alias("node"))).unionByName(whole.select("sig", F.col("b").alias("node")))
     release_shuffles(docs.sparkSession)
     nodes = materialize(_parted(links.of(open_.distinct()), "sig").select("node").distinct(), "open-nodes")
     if not nodes.isEmpty():
-        # the sets that are refined are exchanged several times, the others no more
-        links.grams, every = materialize(links.grams.join(nodes, "node", "left_semi"), "open-grams"), links.grams
-        discard(every)
+        links.grams = links.sets(nodes, "open-grams")
+        release_shuffles(docs.sparkSession)
         _refine(nodes, links, percent, few, rounds)
     discard(members, stars, missed)
     by_set = first.join(links.labels.withColumnRenamed("node", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("component_id"))
