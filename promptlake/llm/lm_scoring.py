@@ -13,8 +13,9 @@ parts, in lower case; n-grams are known by 64-bit hashes of their context and 30
 
 All counts kept (``least`` = 1, the query): tasks read the texts once and deal out their n-grams by the hash of the context, as
 arrays of a few thousand at a time, so that an n-gram costs twelve bytes of exchange. Where a bucket arrives, the counts of its
-n-grams and contexts are taken and each document's n-grams meet them; what a document has in each bucket is then summed. The
-first words need no tables of their own: the factors c(w1) / N, c(w1 w2) / c(w1), ... of a document's start leave c(w1 ... wk) / N, and
+n-grams and contexts are taken and each document's n-grams meet them. A bucket answers each slice of documents that it has n-grams of
+in one row, with arrays of places in the slice and of values, and a slice's answers are summed together: there is no row for each
+document and bucket, a slice gets no more values than it has n-grams, and a document leaves as one row. The first words need no tables of their own: the factors c(w1) / N, c(w1 w2) / c(w1), ... of a document's start leave c(w1 ... wk) / N, and
 c(w1 ... wk) for k = order - 1 is the count of a context. Documents of fewer words ask for shorter n-grams, whose counts are
 summed by batches of documents before they are dealt out.
 
@@ -203,9 +204,11 @@ def _of_hot_keys(docs: DataFrame, order: int, hot: np.ndarray, kind: str) -> Dat
 
 
 def _dealt(docs: DataFrame, order: int, buckets: int, hot: np.ndarray, kind: str) -> DataFrame:
-    """bucket, ids, sizes, contexts, lasts, ns: the entries of some documents (ids, with their numbers of entries) that fall into a bucket."""
+    """bucket, slice, ids, places, sizes, contexts, lasts, ns: the entries of a slice of documents that fall into a bucket, by places in the
+    slice (-1: none) with their numbers of entries. ids: the slice's documents, in one of its rows only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = 0
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
@@ -217,26 +220,32 @@ def _dealt(docs: DataFrame, order: int, buckets: int, hot: np.ndarray, kind: str
                     # without a hot context's count, its n-grams only need meet each other
                     bucket, last = np.where(of_hot, key % np.uint64(buckets), bucket), np.where(word & of_hot, last | ELSEWHERE, last)
                     doc, context, last, n, bucket = (x[stays] for x in (doc, context, last, n, bucket))
+                if not len(doc):
+                    continue
                 order_ = np.lexsort((doc, bucket))
                 doc, context, last, n, bucket = (x[order_] for x in (doc, context, last, n, bucket))
-                runs = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])]) if len(doc) else np.zeros(0, np.int64)
-                first = np.flatnonzero(np.r_[True, bucket[runs][1:] != bucket[runs][:-1]]) if len(runs) else runs
+                runs = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])])
+                first = np.flatnonzero(np.r_[True, bucket[runs][1:] != bucket[runs][:-1]])
                 of = lambda edges, values: pa.ListArray.from_arrays(pa.array(np.append(edges, len(values)), pa.int32()), values)
-                ids = batch.column(0).take(pa.array(doc[runs], pa.int64(), mask=doc[runs] < 0))
                 sizes = np.diff(np.append(runs, len(doc))).astype(np.int32)
-                at = runs[first] if len(first) else first
-                arrays = [of(first, ids), of(first, pa.array(sizes)), of(at, pa.array(context.view(np.int64))), of(at, pa.array(last.view(np.int32))), of(at, pa.array(n))]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int64)), *arrays], names=["bucket", "ids", "sizes", "contexts", "lasts", "ns"])
+                at = runs[first]
+                number = (batch.column(2)[0].as_py() << 32) + slices
+                slices += 1
+                ids = pa.ListArray.from_arrays(pa.array([0, *[batch.num_rows] * len(first)], pa.int32()), batch.column(0))
+                arrays = [ids, of(first, pa.array(doc[runs].astype(np.int16))), of(first, pa.array(sizes)), of(at, pa.array(context.view(np.int64))), of(at, pa.array(last.view(np.int32))), of(at, pa.array(n))]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int64)), pa.array(np.full(len(first), number)), *arrays], names=["bucket", "slice", "ids", "places", "sizes", "contexts", "lasts", "ns"])
 
-    return docs.mapInArrow(run, f"bucket long, ids array<{kind}>, sizes array<int>, contexts array<long>, lasts array<int>, ns array<int>")
+    parted = docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
+    return parted.mapInArrow(run, f"bucket long, slice long, ids array<{kind}>, places array<short>, sizes array<int>, contexts array<long>, lasts array<int>, ns array<int>")
 
 
 def _of_buckets(dealt: DataFrame, kind: str) -> DataFrame:
-    """doc_id, part, words and asks of each document in each bucket: its n-grams' values by the counts that the bucket holds."""
+    """slice, ids, places, parts, asking and words of each slice in each bucket: its n-grams' values, by the counts that the bucket holds,
+    summed for each place, and the numbers of words of the places that ask for a count."""
 
     def run(table: pa.Table) -> pa.Table:
         flat = lambda c: table.column(c).combine_chunks().flatten()
-        ids, sizes, n = flat("ids"), flat("sizes").to_numpy(), flat("ns").to_numpy()
+        places, sizes, n = flat("places").to_numpy(), flat("sizes").to_numpy(), flat("ns").to_numpy()
         context, last = flat("contexts").to_numpy().view(np.uint64), flat("lasts").to_numpy().view(np.uint32)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         _, at = np.unique(context, return_inverse=True)
@@ -249,11 +258,30 @@ def _of_buckets(dealt: DataFrame, kind: str) -> DataFrame:
         values[known] -= n[known] * of_context[at[known]]
         values[ask] = of_context[at[ask]]
         part = np.bincount(doc, values, len(sizes))
-        words = np.bincount(doc, np.where(ask, n, 0), len(sizes)).astype(np.int64)
-        asks = np.bincount(doc, ask, len(sizes)).astype(np.int64)
-        return pa.table({"doc_id": ids, "part": part, "words": words, "asks": asks})
+        edges = np.append(0, np.cumsum(table.column("places").combine_chunks().value_lengths().to_numpy()))
+        asked = np.searchsorted(edges, doc[ask], side="right") - 1  # the row of each ask
+        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+        asks = np.append(0, np.cumsum(np.bincount(asked, minlength=len(edges) - 1)))
+        arrays = {"places": lists(edges, places), "parts": lists(edges, part), "asking": lists(asks, places[doc[ask]]), "words": lists(asks, n[ask])}
+        return pa.table({"slice": table.column("slice"), "ids": table.column("ids"), **arrays})
 
-    return dealt.groupBy("bucket").applyInArrow(run, f"doc_id {kind}, part double, words long, asks long")
+    return dealt.groupBy("bucket").applyInArrow(run, f"slice long, ids array<{kind}>, places array<short>, parts array<double>, asking array<short>, words array<int>")
+
+
+def _of_slices(answers: DataFrame, kind: str) -> DataFrame:
+    """doc_id, part, words and asks of each document that a slice's answers tell of."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = lambda c: table.column(c).combine_chunks().flatten()
+        ids = flat("ids")
+        places, asking = flat("places").to_numpy(), flat("asking").to_numpy()
+        known = places >= 0
+        told = np.flatnonzero(np.bincount(places[known], minlength=len(ids)))
+        part = np.bincount(places[known], flat("parts").to_numpy()[known], len(ids))
+        words, asks = np.bincount(asking, flat("words").to_numpy(), len(ids)).astype(np.int64), np.bincount(asking, minlength=len(ids)).astype(np.int64)
+        return pa.table({"doc_id": ids.take(pa.array(told)), "part": part[told], "words": words[told], "asks": asks[told]})
+
+    return answers.groupBy("slice").applyInArrow(run, f"doc_id {kind}, part double, words long, asks long")
 
 
 def score(docs: DataFrame, least: int = 1, backoff: float = 0.4, order: int = 3) -> DataFrame:
@@ -269,7 +297,7 @@ def _sums_of_all_counts(docs: DataFrame, order: int) -> DataFrame:
     rows, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
     buckets = 8 + chars // (6 * BUCKET)
     hot = _hot_keys(docs, order, rows, 0.25 / buckets)
-    parts = _of_buckets(_dealt(docs, order, buckets, hot, kind), kind)
+    parts = _of_slices(_of_buckets(_dealt(docs, order, buckets, hot, kind), kind), kind)
     if len(hot):
         parts = parts.unionByName(_of_hot_keys(docs, order, hot, kind))
     sums = materialize(parts.groupBy("doc_id").agg(*[F.sum(x).alias(x) for x in ("part", "words", "asks")]), "document-sums")
