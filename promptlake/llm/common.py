@@ -23,10 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors. rows_a_file bounds what one
+    read holds of very large rows."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.written_to = path
     return found

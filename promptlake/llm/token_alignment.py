@@ -4,8 +4,9 @@ Python tasks tokenize only; from the arrays of ids and token ends on, all is Spa
 vocabulary goes over a blank between two other characters, so a text is a sequence of units between those, and both tokenizers end a
 token where a unit ends. A task hands on texts in portions: each text as numbers of units, and the portion's different units
 once, with their tokens, so that groups and links are worked out once for each unit of a portion. Where a common end stands among a
-side's ends is found by sorting both arrays together: a unit of n tokens costs n log n. Only id pairs are exchanged, counted
-before the exchange; their number is bounded by the vocabularies and not by the corpus.
+side's ends is found by sorting both arrays together: a unit of n tokens costs n log n. A task holds one portion, and no
+units of earlier ones; the files of the table of portions have few rows each, as Spark reads all rows of a file at once up to some thousands.
+Only id pairs are exchanged, counted before the exchange; their number is bounded by the vocabularies and not by the corpus.
 
 Defined cases: a null or empty text, or one that either tokenizer does not give back byte by byte, has no tokens: zeros and an empty
 groups_sha256; strings of special tokens are plain text; each of repeated rows has its own result and counts as a document; a
@@ -18,7 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from .common import broadcast_if_small, cut_at, documents, ends_up_to, let, mate
 from .packing import byte_level_vocabulary, default_vocabulary, ordinary_encoder
 
 UNIT = "struct<a_ids:array<int>,a_ends:array<int>,b_ids:array<int>,b_ends:array<int>>"
-#: Characters of the texts in a portion, unless one has more; different units that a worker remembers the tokens of.
-PORTION, REMEMBERED = 1_000_000, 100_000
+#: Characters of the texts in a portion, unless one has more; portions in a file; units given to a tokenizer at a time; rows read at a time.
+PORTION, PORTIONS, CALL, SLICE = 500_000, 4, 500, 500
 #: Blanks between characters that are none.
 BLANK = re.compile(r"(?<=\S) (?=\S)")
 PAIR = 1 << 32
@@ -70,52 +71,76 @@ def _one_list(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _tokens(texts: list[str], sides) -> list[list[tuple[np.ndarray, np.ndarray]] | None]:
+    """For each text the ids and the ends in bytes of each side's tokens, or None where a tokenizer does not give it back."""
+    found: list[list | None] = []
+    for text, *own in zip(texts, *(encode(texts) for encode, _ in sides)):
+        target, sided = (" " + text).encode(), []
+        for ids, (_, known) in zip(own, sides):
+            shown = [known[i] for i in ids]
+            if b"".join(shown) != target:
+                sided = None
+                break
+            sided.append((np.array(ids, np.int32), np.cumsum([*map(len, shown)], dtype=np.int32)))
+        found.append(sided)
+    return found
+
+
+def laid_out(units: list[str], sides) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Each side's ids and token ends over all units laid end to end, where each unit ends, and which units a tokenizer does not give back,
+    which have no length here. Units without blanks at their ends are tokenized together, a blank between."""
+    sizes = np.fromiter((len(x.encode()) + 1 for x in units), np.int64, len(units))
+    bad, parts = np.zeros(len(units), bool), []
+    for start in range(0, len(units), CALL):
+        some = units[start : start + CALL]
+        joined = None
+        if not any(x[0].isspace() or x[-1].isspace() for x in some):
+            joined = _tokens([" ".join(some)], sides)[0]
+        if joined is not None:
+            parts.append((sizes[start : start + CALL].sum(), joined))
+        else:
+            for k, own in enumerate(_tokens(some, sides), start):
+                bad[k] = own is None
+                if own is not None:
+                    parts.append((sizes[k], own))
+    begins = np.cumsum([0, *(size for size, _ in parts)])
+    none = np.empty(0, np.int32)
+    laid = [(np.concatenate([none, *(own[k][0] for _, own in parts)]), np.concatenate([none, *(own[k][1] + np.int32(at) for at, (_, own) in zip(begins, parts))])) for k in range(2)]
+    return laid, np.cumsum(np.where(bad, 0, sizes)), bad
+
+
 def portions(docs: DataFrame, vocabulary: str, pieces: str, portion: int = PORTION) -> DataFrame:
     """Rows of ``docs``, each with row, doc_id, numbers of tokens and ``units`` (places in the row's ``units``), and ``units``: ids and byte
     offsets of token ends of both tokenizers. A text without tokens has no units."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = _sides(vocabulary, pieces)
-        remembered: dict[str, list | None] = {}
-
-        def learned(units: list[str]) -> None:
-            """Remembers the ids and token ends of units, or None where a tokenizer does not give one back."""
-            ids = [encode(units) for encode, _ in sides]
-            for unit, *own in zip(units, *ids):
-                target, found = (" " + unit).encode(), []
-                for one, (_, known) in zip(own, sides):
-                    shown = [known[i] for i in one]
-                    if b"".join(shown) != target:
-                        found = None
-                        break
-                    found += [one, [*accumulate(map(len, shown))]]
-                remembered[unit] = found
 
         def packed(rows: list, known: dict[str, int]) -> pa.RecordBatch:
-            if len(remembered) > REMEMBERED:
-                remembered.clear()
-            learned([x for x in known if x not in remembered])
-            units = [remembered[x] for x in known]
-            bad = np.array([x is None for x in units], bool)
-            units = [x or ([], [], [], []) for x in units]
+            laid, ends, bad = laid_out([*known], sides)
             places = [x[2][:0] if bad[x[2]].any() else x[2] for x in rows]
+            edges = [np.concatenate([[0], np.searchsorted(side[1], ends, "right")]) for side in laid]
             columns = [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], id_type)]
-            counts = [np.fromiter((len(u[k]) for u in units), np.int64, len(units)) for k in (0, 2)]
-            columns += [pa.array(np.fromiter((n[x].sum() for x in places), np.int64, len(rows))) for n in counts]
+            columns += [pa.array(np.fromiter((n[x].sum() for x in places), np.int64, len(rows))) for n in map(np.diff, edges)]
             texts = pa.StructArray.from_arrays([*columns, _lists(places)], names=["row", "doc_id", "n_a", "n_b", "units"])
-            table = pa.StructArray.from_arrays([_lists([u[k] for u in units]) for k in range(4)], names=["a_ids", "a_ends", "b_ids", "b_ends"])
+            begins, lists = np.concatenate([[0], ends]), []
+            for (ids, tops), edge in zip(laid, edges):
+                for x in (ids, tops - np.repeat(begins[:-1], np.diff(edge))):
+                    lists.append(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(x.astype(np.int32))))
+            table = pa.StructArray.from_arrays(lists, names=["a_ids", "a_ends", "b_ids", "b_ends"])
             return pa.RecordBatch.from_arrays([_one_list(texts), _one_list(table)], names=["docs", "units"])
 
         rows, known, size = [], {}, 0
-        for batch in batches:
-            id_type = batch.column(1).type
-            for row, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                text = text or ""
-                if rows and size + len(text) > portion:
-                    yield packed(rows, known)
-                    rows, known, size = [], {}, 0
-                size += len(text)
-                places = [known.setdefault(unit, len(known)) for unit in BLANK.split(text)] if text else ()
-                rows.append((row, doc_id, np.array(places, np.int32)))
+        for whole in batches:
+            id_type = whole.column(1).type
+            for batch in (whole.slice(k, SLICE) for k in range(0, whole.num_rows, SLICE)):
+                for row, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    text = text or ""
+                    if rows and size + len(text) > portion:
+                        yield packed(rows, known)
+                        rows, known, size = [], {}, 0
+                    size += len(text)
+                    places = [known.setdefault(unit, len(known)) for unit in BLANK.split(text)] if text else ()
+                    rows.append((row, doc_id, np.array(places, np.int32)))
         if rows:
             yield packed(rows, known)
 
@@ -167,7 +192,7 @@ def _with_links(kept: DataFrame, value) -> DataFrame:
 
 def align(docs: DataFrame, vocabulary: str | None = None, pieces: str | None = None, portion: int = PORTION) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row."""
-    kept = materialize(aligned(portions(docs, vocabulary or default_vocabulary(), pieces or default_pieces(), portion)), "links")
+    kept = materialize(aligned(portions(docs, vocabulary or default_vocabulary(), pieces or default_pieces(), portion)), "links", PORTIONS)
     of = lambda links, places: F.flatten(F.transform(places, lambda i: F.get(links, i)))
     held = _with_links(kept, lambda links: F.flatten(F.transform("docs", lambda d: F.array_distinct(of(links, F.array_distinct(d["units"]))))))
     counts = held.groupBy(F.col("x").alias("pair")).agg(F.count("*").alias("documents"))
