@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -355,7 +358,8 @@ def markdown_rows(text: Column) -> Column:
 def similar_pairs(docs: DataFrame, percent: int = 85, k: int = 3) -> DataFrame:
     """Pairs (a, b) of documents (doc_id, text) whose sets of k-word shingles agree by percent of their union at least, of equal
     sets only the least doc_id. Exact, by prefix filtering."""
-    sets = written(docs.select(F.col("doc_id").alias("node"), tx.hashed_shingles(F.col("text"), k).alias("s")), "shingle-sets")
+    sets = docs.select(F.col("doc_id").alias("node"), tx.hashed_shingles(F.col("text"), k).alias("s"))
+    sets = written(sets.select("node", "s", set_key(F.col("s")).alias("key")), "shingle-sets")
     return set_pairs(sets, percent).select("a", "b", "jaccard")
 
 
@@ -383,18 +387,72 @@ def set_key(s: Column) -> Column:
     return F.struct(F.xxhash64(s).alias("h"), F.xxhash64(F.lit(1), s).alias("g"))
 
 
+def parities(sets: DataFrame) -> DataFrame:
+    """node, size and ``bits`` of sets (node, s): of each set how many members fall on each bit of a string of two to four bits a member, as even or odd."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(k, 100) for k in range(0, whole.num_rows, 100)):
+                members, n = batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.column(1).value_lengths().to_numpy()
+                bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+                edges = np.concatenate([[0], np.cumsum(bits)])
+                on = np.repeat(edges[:-1], n) + (members & np.repeat(bits - 1, n))
+                odd = np.packbits((np.bincount(on, minlength=edges[-1]) & 1).astype(bool))
+                found = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((edges // 8).astype(np.int32)), pa.py_buffer(odd)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), found], names=["node", "size", "bits"])
+
+    return sets.select("node", "s").mapInArrow(run, T.StructType([sets.schema["node"], T.StructField("size", T.IntegerType()), T.StructField("bits", T.BinaryType())]))
+
+
+def _odd_bits(a: bytes, b: bytes) -> int:
+    """How many bits two parities differ in, the longer one folded: members in which the sets differ, or fewer."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y, bits = int.from_bytes(a), int.from_bytes(b), 4 * len(a)
+    while bits >= 8 * len(b):
+        x, bits = (x >> bits) ^ (x & ((1 << bits) - 1)), bits // 2
+    return (x ^ y).bit_count()
+
+
+@F.pandas_udf(T.IntegerType())
+def _differ(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_odd_bits(x, y) for x, y in zip(a, b)], dtype="int32")
+
+
+#: Rows of a broadcast table of nodes at most.
+_FEW = 1_000_000
+
+
+def _only(sets: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
+    """sets with (left_semi) or without (left_anti) those of nodes, a table; sets are exchanged only where nodes are many."""
+    return sets.join(F.broadcast(nodes) if nodes.count() <= _FEW else nodes, "node", how)
+
+
 def set_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of sets (node, s: sorted) that agree by percent of their union at least, with how many members they share (``n``), the size
-    of their union and their ``jaccard``. Of equal sets only the first node is in pairs. sets should be a table, as it is read several times."""
+    """Pairs (a, b), a < b, of sets (node, s: sorted; their key, if known) that agree by percent of their union at least, with how many members they share (``n``), the size
+    of their union and their ``jaccard``. Of equal sets only the first node is in pairs. sets should be a table, as it is read several times.
+
+    Whole sets meet last and few: what shares a rare member is a pair of nodes; parities, some twentieth of a set's bytes, rule out pairs that
+    differ too much, which loses none; only sets of a pair that is left are exchanged.
+    """
     # of each set the rarest members, one of which a pair must share
     first = F.slice(_rarest_first(sets), F.lit(1), (F.size("s") - F.ceil(F.size("s") * percent / F.lit(100)) + 1).cast("int"))
-    firsts = sets.select(set_key(F.col("s")).alias("key"), F.struct("node", F.size("s").alias("size"), first.alias("first")).alias("x")).groupBy("key").agg(F.min("x").alias("x"))
-    prefix = firsts.select("x.node", "x.size", F.posexplode("x.first").alias("before", "shingle"))
-    a, b = (prefix.select("shingle", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), (F.col("size") - F.col("before")).alias(f"left_{x}")) for x in "ab")
+    keyed = sets.select("key" if "key" in sets.columns else set_key(F.col("s")).alias("key"), "node")
+    same = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copies = written(keyed.join(same, "key").filter("node > first").select("node"), "equal-sets")
+    firsts = _only(sets, copies, "left_anti")
+    prefix = firsts.select("node", F.size("s").alias("size"), F.posexplode(first).alias("before", "shingle")).select("shingle", "node", "size", (F.col("size") - F.col("before")).alias("left"))
+    a, b = (prefix.select("shingle", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("left").alias(f"left_{x}")) for x in "ab")
     # the first member that a pair shares has what they share before it in neither
     enough = F.least("left_a", "left_b") * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))
-    near = written(a.join(b, "shingle").filter((F.col("a") < F.col("b")) & enough).select("a", "b").distinct(), "near-sets")
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    near = a.join(b, "shingle").filter((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
+    even = parities(sets)
+    for x in "ab":
+        near = near.join(even.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+    likely = _differ("bits_a", "bits_b") * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    near = written(near.filter(likely).select("a", "b").distinct(), "near-sets")
+    nodes = written(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "near-nodes")
+    met = _only(sets.select("node", "s"), nodes, "left_semi")
+    both = near.join(met.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(met.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("sum"))
     return both.filter(f"100 * n >= {percent} * (sum - n)").select("a", "b", "n", (F.col("sum") - F.col("n")).alias("union"), F.round(F.col("n") / (F.col("sum") - F.col("n")), 6).alias("jaccard"))
 

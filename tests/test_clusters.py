@@ -125,3 +125,27 @@ def test_set_pairs(spark):
         if x != y and first[tuple(sorted(y))] == b and 100 * len(x & y) >= 85 * len(x | y):
             want[a, b] = (len(x & y), len(x | y), round(len(x & y) / len(x | y), 6))
     assert found == want and want
+
+
+def test_sets_far_apart_do_not_meet(spark, monkeypatch):
+    """Texts that share a rare passage and little else are ruled out by parities: only sets of near pairs are exchanged."""
+    from promptlake.operators import language as la
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    passage = [f"rare{k}" for k in range(12)]
+    rows = [" ".join([f"t{i}w{k}" for k in range(60)] + passage) for i in range(20)]
+    near = [f"n{k}" for k in range(90)]
+    rows += [" ".join(near), " ".join([*near[:-1], "other"]), " ".join(near)]
+    sets = written(spark.createDataFrame(list(enumerate(rows)), "node long, text string").select("node", la.tx.hashed_shingles(F.col("text"), 3).alias("s")), "sets")
+    kept = []
+    monkeypatch.setattr(la, "written", lambda df, name: kept.append((name, out := written(df, name))) or out)
+    for percent in (75, 85):
+        kept.clear()
+        found = la.set_pairs(sets, percent).select("a", "b").collect()
+        assert [tuple(r) for r in found] == [(20, 21)]
+        assert {r[0] for r in dict(kept)["near-nodes"].collect()} == {20, 21} and [r[0] for r in dict(kept)["equal-sets"].collect()] == [22]
+    x, y = ({rng.getrandbits(63) for _ in range(n)} for n in (40, 200))
+    for a, b in ((x, y), (x, x | y), (y, set(sorted(y)[:-5])), (y, y)):
+        bits = [bytes(r.bits) for r in la.parities(spark.createDataFrame([(k, sorted(s)) for k, s in enumerate((a, b))], "node long, s array<long>")).orderBy("node").collect()]
+        assert la._odd_bits(*bits) <= len(a ^ b) and (la._odd_bits(*bits) > 0) == (a != b)
