@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, documents, materialize, release_shuffles
@@ -467,6 +467,15 @@ def _kept(window: int):
     return run
 
 
+def later_windows(rows: DataFrame) -> DataFrame:
+    """Of rows of windows (a, s, doc_id, th, p, and more) those that are equal to an earlier one, as spans. They are exchanged once, without what all share; a portion
+    of texts has each window once, so that equal ones are no more than there are portions."""
+    place = F.struct("doc_id", "th", "p")
+    first = F.min(place).over(Window.partitionBy("a", "s"))
+    known = rows.select("a", "s", "doc_id", "th", "p").withColumn("first", first)
+    return known.filter(place > F.col("first")).select("doc_id", "th", "p", F.lit(1).alias("c"))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, few: int = FEW, most: int = MOST, part: int = PART, bytes_a_task: int = 5_000_000, strings_a_task: int = 8_000) -> DataFrame:
     """doc_id, th (the text's hash), p, c: c windows from place p on that also start earlier; in any order, some more than once. A null doc_id is NO_ID."""
     spark = docs.sparkSession
@@ -485,9 +494,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     tasks = 1 + strings.count() // strings_a_task
     matched = strings.groupBy(F.pmod("a", F.lit(tasks)).alias("task")).applyInArrow(_matched(window, anchor), ROWS)
     rows = asked.filter(F.col("kind") == WINDOWS).unionByName(fetched.drop("bytes").filter(F.col("kind") == WINDOWS))
-    place = F.struct("doc_id", "th", "p")
-    firsts = rows.groupBy("a", "s").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
-    compared = rows.join(firsts, ["a", "s"]).filter(place > F.col("first"))
+    compared = later_windows(rows)
     columns = ["doc_id", "th", "p", "c"]
     found = matched.select(columns).unionByName(compared.select(columns))
     for known in (asked, fetched):

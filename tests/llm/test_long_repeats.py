@@ -131,3 +131,17 @@ def test_rolling_hashes_and_least():
     keys = np.array([rng.randrange(50) for _ in range(100)], np.uint64)
     for width in (1, 2, 3, 7, 77):
         assert lr.least_of(keys, width).tolist() == [min(keys[i : i + width]) for i in range(101 - width)]
+
+
+def test_windows_are_exchanged_once(spark):
+    """A window equal to an earlier one is a span, by text order; its rows go through one exchange, and not with columns that all share."""
+    rng = random.Random(6)
+    rows = [(lr.WINDOWS, rng.randrange(3), rng.randrange(4), rng.randrange(5), rng.randrange(2), rng.randrange(50), 1) for _ in range(200)] + [(lr.WINDOWS, 9, 9, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, lr.ROWS)
+    firsts = {}
+    for r in rows:
+        firsts[r[1:3]] = min(firsts.get(r[1:3], r[3:6]), r[3:6])
+    later = lr.later_windows(df)
+    assert sorted(tuple(r) for r in later.collect()) == sorted((*r[3:6], 1) for r in rows if r[3:6] > firsts[r[1:3]])
+    plan = later._jdf.queryExecution().sparkPlan().toString() + later._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
