@@ -55,10 +55,14 @@ PROTECTED = (
 NEEDS = {
     "json": "{", "xml": "<", "url": ":", "semi_url": ".", "time_range": ":", "time": ":", "email": "@", "social": "@", "ipv4": ".", "ipv6": ":", "port": ":", "semver": ".",
     "uuid": "-", "hex_color": "#", "coords": "°˚.", "percent": "%", "path": "/\\", "html_entity": "&", "placeholder": "{%<", "inline_code": "`", "code": "`~", "yaml": "-", "iso_datetime": ":",
+    "math": "=<>≈≠≤≥±∓×÷∑∏∫∂∇√∞∧∨⊕⊗\\$", "quoted": "\"'«「",
 }
 #: Kinds of which every span has a digit, of any script.
 NUMBERED = frozenset(("date", "phone", "legal_ref", "currency", "unit", "ipv4", "coords", "percent", "time", "time_range", "iso_datetime", "port", "semver"))
 
+#: What spans of a kind hold that have no digit; the fewest characters, none of them white space, of a kind; what a kind holds, or else how many colons.
+UNNUMBERED, LONG, COLONS = {"chemical": ("NaCl", "HCl", "NaOH")}, {"hash": 32}, {"ipv6": ("::", 7)}
+
 # The phases of each profile that change a text, in order.
 PHASES = {
     "safe": ("exact_dedup", "structural"),

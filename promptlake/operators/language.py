@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -219,10 +220,27 @@ _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("orig
 _DIGIT = re.compile(r"\d")
 
 
+@lru_cache(4)
+def _has_digit(text: str) -> bool:
+    """Remembered, as a text is asked for many kinds in a row."""
+    return _DIGIT.search(text) is not None
+
+
+@lru_cache(4)
+def _longest(text: str) -> int:
+    return max(map(len, text.split()), default=0)
+
+
 def _may_hold(text: str, kind: str) -> bool:
     """Whether a text has the characters that every span of a kind has."""
     needs = spans.NEEDS.get(kind)
-    return (needs is None or any(x in text for x in needs)) and (kind not in spans.NUMBERED or _DIGIT.search(text) is not None)
+    if needs is not None and not any(x in text for x in needs) or kind in spans.NUMBERED and not _has_digit(text):
+        return False
+    if kind in spans.UNNUMBERED and not _has_digit(text) and not any(x in text for x in spans.UNNUMBERED[kind]):
+        return False
+    if kind in spans.COLONS and spans.COLONS[kind][0] not in text and text.count(":") < spans.COLONS[kind][1]:
+        return False
+    return kind not in spans.LONG or _longest(text) >= spans.LONG[kind]
 
 
 _TAKEN = tuple((kind, re.compile(pattern, flags)) for kind, pattern, flags in spans.PROTECTED)

@@ -81,3 +81,19 @@ def test_likeness_of_long_texts_within_seconds(spark):
     same = t.select(me.let(F.struct(ch.hashed(F.col("t")).alias("a"), ch.hashed(F.left("t", F.lit(50_000))).alias("b")), lambda x: F.struct(ch.likeness(x["a"], x["a"]).alias("one"), ch.likeness(x["a"], x["b"]).alias("less")))).first()[0]
     assert abs(same.one - 1) < 1e-12 and 0 < same.less < 1
     assert time.time() - start < 30  # pairs of words: 1.6 thousand million
+
+
+def test_kinds_that_a_text_cannot_hold_are_not_searched_for():
+    """What spans of these kinds need, by texts with and without them; each text's kinds found are among those that it may hold."""
+    import re
+
+    from promptlake.functions import spans
+
+    without = {"hash": "a hex word of few letters", "chemical": "Words and No numbers", "ipv6": "at 12:30 or a:b", "math": "no sign", "quoted": "no mark"}
+    held = {"hash": "x " + "ab12" * 8, "chemical": "NaCl", "ipv6": "1:2:3:4:5:6:7:8", "math": "x = 3", "quoted": "«x»"}
+    found = {kind: re.compile(pattern, flags) for kind, pattern, flags in spans.PROTECTED}
+    for kind in held:
+        assert found[kind].search(held[kind]) and la._may_hold(held[kind], kind)
+        assert not la._may_hold(without[kind], kind) and not found[kind].search(without[kind])
+    for text in ("::1", "H2O", "HCl", "NaOH", "\\(a\\)", "$a$", "'a'", '"a"', "「a」", "a ⊕ b"):
+        assert all(la._may_hold(text, kind) for kind in found if found[kind].search(text))
